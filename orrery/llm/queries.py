@@ -14,7 +14,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_hits(table(spark, sf_dir, "search_hits"), table(spark, sf_dir, "searches")).select("search_id", "rowid")
 
 
-QUERIES = {"p1_found": p1_found}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.neighbours import similar_pairs
+
+    return similar_pairs(table(spark, sf_dir, "records"), table(spark, sf_dir, "collections"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
 
 SQL: dict[str, str] = {}
 
@@ -33,3 +39,21 @@ cand AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY search_id, g1, g2, g3 ORDER BY o, rowid) AS r FROM cand)
 SELECT search_id, rowid FROM ranked WHERE r <= agg_k
 """
+
+SQL["p2_found"] = """
+WITH u AS (
+  SELECT r.rowid, r.collection_id, c.space, list_transform(r.embedding, lambda x: x::DOUBLE) AS e
+  FROM records r JOIN collections c ON r.collection_id = c.collection_id
+  WHERE r.embedding IS NOT NULL AND len(r.embedding) = c.dimension
+    AND len(list_filter(r.embedding, lambda x: isfinite(x))) = c.dimension
+    AND len(list_filter(r.embedding, lambda x: x <> 0)) > 0),
+v AS (SELECT *, list_sum(list_transform(e, lambda x: x * x)) AS sq FROM u),
+d AS (
+  SELECT a.rowid AS a, b.rowid AS b,
+    CASE a.space WHEN 'l2' THEN list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))
+      WHEN 'ip' THEN 1 - list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2]))
+      ELSE 1 - list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (sqrt(a.sq) * sqrt(b.sq)) END AS dist
+  FROM v a JOIN v b ON a.collection_id = b.collection_id AND a.rowid <> b.rowid),
+k AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS r FROM d)
+SELECT DISTINCT least(a, b) AS rowid_a, greatest(a, b) AS rowid_b FROM k WHERE r <= 5
+"""
