@@ -20,7 +20,39 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "records"), table(spark, sf_dir, "collections"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.split import cut_kinds
+
+    return cut_kinds(table(spark, sf_dir, "records"), table(spark, sf_dir, "collections"))
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every oversized document."""
+    from orrery.llm.split import split_documents
+
+    return split_documents(table(spark, sf_dir, "records"), table(spark, sf_dir, "collections"))
+
+
+def scoped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "records").select(F.lit("document").alias("field"), F.col("collection_id").alias("scope"), F.col("document").alias("text"))
+    overviews = table(spark, sf_dir, "movies").select(F.lit("overview").alias("field"), F.col("import_id").alias("scope"), F.col("overview").alias("text"))
+    return documents.unionByName(overviews)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.terms import term_counts
+
+    return term_counts(scoped_texts(spark, sf_dir), least_texts=20).filter("mark is not null").select("field", "scope", "term", "mark")
+
+
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of every scope with its numbers, marked or not."""
+    from orrery.llm.terms import term_counts
+
+    return term_counts(scoped_texts(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_counts": p4_counts}
 
 SQL: dict[str, str] = {}
 
@@ -57,3 +89,27 @@ d AS (
 k AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS r FROM d)
 SELECT DISTINCT least(a, b) AS rowid_a, greatest(a, b) AS rowid_b FROM k WHERE r <= 5
 """
+
+SQL["p3_found"] = r"""
+WITH big AS (
+  SELECT r.rowid, c.chunk_limit, regexp_split_to_array(r.document, '[ \t\n\r。]') AS parts
+  FROM records r JOIN collections c ON r.collection_id = c.collection_id
+  WHERE r.document IS NOT NULL AND c.chunk_limit IS NOT NULL AND strlen(r.document) > c.chunk_limit)
+SELECT rowid, CASE WHEN list_max(list_transform(parts, lambda p: strlen(p))) > chunk_limit THEN 'forced' ELSE 'natural' END AS cut FROM big
+"""
+
+_TERMS = r"""
+WITH texts AS (
+  SELECT 'document' AS field, collection_id AS scope, document AS text, row_number() OVER () AS n FROM records
+  UNION ALL SELECT 'overview', import_id, overview, -row_number() OVER () FROM movies),
+good AS (SELECT * FROM texts WHERE text IS NOT NULL AND scope IS NOT NULL),
+sizes AS (SELECT field, scope, count(*) AS texts FROM good GROUP BY ALL),
+words AS (SELECT field, scope, n, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM good),
+counts AS (SELECT field, scope, term, count(*) AS occurrences, count(DISTINCT n) AS records FROM words GROUP BY ALL),
+marked AS (
+  SELECT c.*, s.texts, CASE WHEN records <= 1 THEN 'rare' WHEN records > 0.5 * texts THEN 'common' END AS mark
+  FROM counts c JOIN sizes s ON c.field = s.field AND c.scope = s.scope)
+"""
+
+SQL["p4_found"] = _TERMS + "SELECT field, scope, term, mark FROM marked WHERE texts >= 20 AND mark IS NOT NULL"
+SQL["p4_counts"] = _TERMS + "SELECT * FROM marked"
