@@ -52,7 +52,21 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_counts(scoped_texts(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_counts": p4_counts}
+def keyed_texts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {
+        "document": table(spark, sf_dir, "records").select(F.col("rowid").alias("key"), F.col("document").alias("text")),
+        "overview": table(spark, sf_dir, "movies").select(F.col("movie_key").alias("key"), F.col("overview").alias("text")),
+    }
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.near import near_pairs
+
+    parts = [near_pairs(texts, 0.5, 3, 10).select(F.lit(field).alias("field"), "key_a", "key_b") for field, texts in keyed_texts(spark, sf_dir).items()]
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found}
 
 SQL: dict[str, str] = {}
 
@@ -113,3 +127,20 @@ marked AS (
 
 SQL["p4_found"] = _TERMS + "SELECT field, scope, term, mark FROM marked WHERE texts >= 20 AND mark IS NOT NULL"
 SQL["p4_counts"] = _TERMS + "SELECT * FROM marked"
+
+SQL["p5_found"] = r"""
+WITH texts AS (
+  SELECT 'document' AS field, rowid AS key, document AS text FROM records
+  UNION ALL SELECT 'overview', movie_key, overview FROM movies),
+words AS (SELECT field, key, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM texts WHERE text IS NOT NULL),
+runs AS (
+  SELECT DISTINCT field, key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+  FROM (SELECT field, key, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 10)),
+sizes AS (SELECT field, key, count(*) AS n FROM runs GROUP BY ALL),
+common AS (
+  SELECT a.field, a.key AS key_a, b.key AS key_b, count(*) AS c
+  FROM runs a JOIN runs b ON a.field = b.field AND a.s = b.s AND a.key < b.key GROUP BY ALL)
+SELECT c.field, c.key_a, c.key_b FROM common c
+JOIN sizes x ON x.field = c.field AND x.key = c.key_a JOIN sizes y ON y.field = c.field AND y.key = c.key_b
+WHERE c.c >= 0.5 * (x.n + y.n - c.c)
+"""
