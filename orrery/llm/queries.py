@@ -66,7 +66,42 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found}
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage of twelve terms of a held-out item, up to two edits."""
+    from orrery.llm.leaks import held_out, leaks
+
+    return leaks(table(spark, sf_dir, "documents"), held_out(table(spark, sf_dir, "eval_items")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_leaks(spark, sf_dir).filter(F.col("run") >= 12).select("doc_id", "item_id")
+
+
+#: Rank file of a public byte-pair vocabulary; a parameter of the mixture.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.mixture import short_sources
+
+    return short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture with their copies, sized in tokens."""
+    from orrery.llm.mixture import Mixture
+
+    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), VOCABULARY).copies()
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the sources of the mixture really reach, in tokens."""
+    from orrery.llm.mixture import Mixture
+
+    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), VOCABULARY).report()
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p6_leaks": p6_leaks, "p6_found": p6_found, "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
 
 SQL: dict[str, str] = {}
 
@@ -144,3 +179,22 @@ SELECT c.field, c.key_a, c.key_b FROM common c
 JOIN sizes x ON x.field = c.field AND x.key = c.key_a JOIN sizes y ON y.field = c.field AND y.key = c.key_b
 WHERE c.c >= 0.5 * (x.n + y.n - c.c)
 """
+
+SQL["p6_found"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+dr AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+f AS (
+  SELECT item_id, question AS t FROM eval_items WHERE split IN ('test', 'validation')
+  UNION ALL SELECT item_id, support FROM eval_items WHERE split IN ('test', 'validation')),
+e AS (SELECT item_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM f WHERE t IS NOT NULL),
+er AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
+SELECT DISTINCT doc_id, item_id FROM dr JOIN er ON dr.s = er.s
+"""
+
+SQL["p7_found"] = r"""
+WITH d AS (
+  SELECT lower(trim(source, E' \t\n\r')) AS source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) END AS n FROM documents),
+s AS (SELECT source, sum(n) AS n FROM d GROUP BY source)
+SELECT m.source FROM mix_targets m LEFT JOIN s ON s.source = m.source
+WHERE m.max_repeats * coalesce(s.n, 0) < m.weight * (SELECT sum(n) FROM d)
+"""
