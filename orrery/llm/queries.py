@@ -101,7 +101,20 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), VOCABULARY).report()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p6_leaks": p6_leaks, "p6_found": p6_found, "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.truncation import truncations
+
+    return truncations(table(spark, sf_dir, "documents")).filter("truncated").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source truncates."""
+    from orrery.llm.truncation import truncation_by_source
+
+    return truncation_by_source(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p6_leaks": p6_leaks, "p6_found": p6_found, "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sources": p8_sources}
 
 SQL: dict[str, str] = {}
 
