@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,21 +16,41 @@ from orrery.runtime import BROADCAST_ROWS, at_most, cut_lineage
 #: Counters of the cost sketch (each 4 bytes), cut into chunks that are summed apart.
 SKETCH, CHUNK = 1 << 20, 1 << 14
 #: Parity segments of the universe, as words of 64 bits.
-WORDS = 8
+WORDS = 4
+#: Bytes kept of a token: two different runs of a pair are taken for one with a chance of 2^-48.
+TOKEN_BYTES = 6
 #: Groups of texts with equal sets up to this size are written out as all their pairs; larger ones as links to their least key.
 EXPAND = 100
 _PARITY = [f"p{i}" for i in range(WORDS)]
-SETS = "key long, n int, s1 long, s2 long, " + ", ".join(f"{p} long" for p in _PARITY) + ", tokens binary"
+SIGNS = "key long, n int, s1 long, s2 long, " + ", ".join(f"{p} long" for p in _PARITY)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All tokens of a binary column, and the index of the row each belongs to."""
     raw = column.to_pylist()
-    lengths = np.array([len(r) // 8 for r in raw], dtype=np.int64)
-    return np.frombuffer(b"".join(raw), dtype=np.uint64), np.repeat(np.arange(len(raw)), lengths)
+    lengths = np.array([len(r) // TOKEN_BYTES for r in raw], dtype=np.int64)
+    wide = np.zeros((lengths.sum(), 8), dtype=np.uint8)
+    wide[:, :TOKEN_BYTES] = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(-1, TOKEN_BYTES)
+    return wide.view(np.uint64).ravel(), np.repeat(np.arange(len(raw)), lengths)
 
 
-def _sets(width: int, least_terms: int):
+def _short(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]).tobytes()
+
+
+def _tokens(width: int, least_terms: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            found = [(k, shingle_set(t, width, hasher, least_terms)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            keys, sets = [k for k, s in found if s is not None], [s for _, s in found if s is not None]
+            columns = [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([_short(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "tokens"])
+
+    return run
+
+
+def _signs(width: int, least_terms: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
@@ -45,13 +66,12 @@ def _sets(width: int, least_terms: int):
             every = np.concatenate(sets)
             row = np.repeat(np.arange(len(sets)), n)
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            parity = np.bincount(row * (64 * WORDS) + (mix(every) >> np.uint64(64 - 9)).astype(np.int64), minlength=len(sets) * 64 * WORDS) & 1
+            parity = np.bincount(row * (64 * WORDS) + (mix(every) % np.uint64(64 * WORDS)).astype(np.int64), minlength=len(sets) * 64 * WORDS) & 1
             parity = np.packbits(parity.astype(np.uint8).reshape(len(sets), WORDS, 64), axis=2, bitorder="little").view(np.int64).reshape(len(sets), WORDS)
             columns = [pa.array(keys, pa.int64()), pa.array(n, pa.int32())]
             columns += [pa.array(np.add.reduceat(mix(every + np.uint64(salt)), starts).view(np.int64)) for salt in (1, 2)]
             columns += [pa.array(np.ascontiguousarray(parity[:, i])) for i in range(WORDS)]
-            columns.append(pa.array([s.tobytes() for s in sets], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "s1", "s2", *_PARITY, "tokens"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "s1", "s2", *_PARITY])
 
     return run
 
@@ -62,13 +82,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, _ = _lists(batch.column(0))
         counts += np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
     used = [c for c in range(SKETCH // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
-    yield pa.RecordBatch.from_pydict({"chunk": pa.array(used, pa.int32()), "counts": pa.array([counts[c * CHUNK : (c + 1) * CHUNK].tobytes() for c in used], pa.binary())})
+    yield pa.RecordBatch.from_pydict({"chunk": pa.array(used, pa.int32()), "counts": pa.array([zlib.compress(counts[c * CHUNK : (c + 1) * CHUNK].tobytes(), 1) for c in used], pa.binary())})
 
 
 def _add(table: pa.Table) -> pa.Table:
     total = np.zeros(CHUNK, dtype=np.uint64)
     for raw in table.column("counts").to_pylist():
-        total += np.frombuffer(raw, dtype=np.uint32)
+        total += np.frombuffer(zlib.decompress(raw), dtype=np.uint32)
     low = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
     return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([low.tobytes()], pa.binary())})
 
@@ -121,7 +141,7 @@ class Near:
 
     texts(key BIGINT unique, text STRING). The set of a text are its distinct runs of `width` terms;
     texts with fewer than max(least_terms, width) terms, or null, take no part. A link joins two
-    different sets with |A n B| >= similarity * |A u B|. Links are exact (up to 64-bit hashes of runs).
+    different sets with |A n B| >= similarity * |A u B|. Links are exact (up to 48-bit hashes of runs).
 
     Method. Of two linked sets the smaller, of size n, lacks at most e = n - o tokens in the other, o
     being the least overlap their sizes allow. Each set's tokens are put in one global order, by cost
@@ -129,17 +149,15 @@ class Near:
     of two tokens; a segment with threshold 1 is indexed by its one-deletion neighbourhood, its two
     single tokens. The error budget e + 1 is spent on the cheapest segments and the others get threshold
     -1: no link can miss all of them. Candidates that meet are dropped if their places leave too little
-    to share, or if the parities of the 512 hash segments of the universe differ more often than the
+    to share, or if the parities of the 256 hash segments of the universe differ more often than the
     pair's symmetric difference may; those left are counted in full.
     """
 
     def __init__(self, texts: DataFrame, similarity: float = 0.8, width: int = 5, least_terms: int = 0):
-        spark = texts.sparkSession
         self.similarity = similarity
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows = texts.select("key", "text").filter("key is not null and text is not null")
-        made = rows.mapInArrow(_sets(width, least_terms), SETS)
-        self.all = cut_lineage(made.repartition(parts, "key"))
+        # signs are written out; the sets, several times their size, are made again from the texts where needed
+        self.all = cut_lineage(rows.mapInArrow(_signs(width, least_terms), SIGNS))
         classes = self.all.groupBy("n", "s1", "s2").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
         narrow = self.all.select("key", "n", "s1", "s2")
         #: (key, rep, copies) of every text that shares its set
@@ -147,10 +165,11 @@ class Near:
         self.members = cut_lineage(narrow.join(classes, ["n", "s1", "s2"]).select("key", "rep", "copies"))
         others = self.members.filter("key <> rep").select("key")
         others = F.broadcast(others) if at_most(others, BROADCAST_ROWS) else others
-        self.sets = self.all.join(others, "key", "left_anti")
+        self.signs = self.all.join(others, "key", "left_anti")
+        self.sets = rows.join(others, "key", "left_anti").mapInArrow(_tokens(width, least_terms), "key long, n int, tokens binary")
 
     def links(self) -> DataFrame:
-        """(a, b, na, nb, common): the links between different sets, each named by the least key that has it."""
+        """(a, b, na, nb, common): the links between different sets, each named by the least key of its texts."""
         t, sets = self.similarity, self.sets
         context = sets.sparkSession.sparkContext
         cost = context.broadcast(cost_sketch(sets))
@@ -158,22 +177,23 @@ class Near:
         # size and place travel as one number through the exchange
         size = lambda side: F.shiftright(F.col(side + "np"), 32).cast("int")
         place = lambda side: F.col(side + "np").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-        index = rows.filter(place("") < size("") - F.ceil(F.lit(2 * t / (1 + t)) * size("") - 1e-9) + 1)
-        a, b = index.alias("a"), rows.alias("b")
+        # `smaller` and `fits` together keep places of a below na - ceil(2t / (1 + t) na) + 1, all that the
+        # smaller set needs; saying so in a filter would only make a second exchange of the same rows
+        a, b = rows.alias("a"), rows.alias("b")
         na, nb = size("a."), size("b.")
         smaller = (na < nb) | ((na == nb) & (F.col("a.key") < F.col("b.key")))
         least = F.ceil(F.lit(t / (1 + t)) * (na + nb) - 1e-9)
         fits = (na >= F.lit(t) * nb - 1e-9) & (F.least(na - place("a."), nb - place("b.")) >= least)
-        met = a.join(b, (F.col("a.token") == F.col("b.token")) & smaller & fits)
-        pairs = met.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), na.alias("na"), nb.alias("nb")).distinct()
-        sign = sets.select("key", *_PARITY)
+        met = a.hint("merge").join(b, (F.col("a.token") == F.col("b.token")) & smaller & fits)
+        pairs = met.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).repartition("a").distinct()
         for side in ("a", "b"):
-            pairs = pairs.join(sign.select(F.col("key").alias(side), *(F.col(p).alias(side + p) for p in _PARITY)), side)
+            own = self.signs.select(F.col("key").alias(side), F.col("n").alias("n" + side), *(F.col(p).alias(side + p) for p in _PARITY))
+            pairs = pairs.join(own.hint("merge"), side)
         differ = sum((F.bit_count(F.col("a" + p).bitwiseXOR(F.col("b" + p))) for p in _PARITY), F.lit(0))
         least = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)
         pairs = pairs.filter(differ <= F.col("na") + F.col("nb") - 2 * least).select("a", "b", "na", "nb")
         for side in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("tokens").alias("t" + side)), side)
+            pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("tokens").alias("t" + side)).hint("merge"), side)
         counted = pairs.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_overlaps, "a long, b long, na int, nb int, common long")
         return counted.filter(F.col("common") >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)
 
