@@ -218,3 +218,45 @@ def near_pairs(texts: DataFrame, similarity: float = 0.8, width: int = 5, least_
     stars = members.filter((F.col("copies") > expand) & (F.col("key") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("key").alias("b"))
     every = links.unionByName(within).unionByName(stars)
     return every.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, group): the least node of each connected component of edges(a, b).
+
+    Each round gives every node the least label among its neighbours and follows that label's own label,
+    so paths shrink at least by half; the labels are written out each round. Labels are gathered by an
+    aggregation that combines before the shuffle, so a node with very many edges is no single task.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = cut_lineage(both)
+    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("group")))
+    for _ in range(rounds):
+        seen = both.join(labels.select(F.col("node").alias("b"), "group"), "b").groupBy(F.col("a").alias("node")).agg(F.min("group").alias("near"))
+        lower = labels.join(seen, "node").select("node", "group", F.least("group", "near").alias("to"))
+        # the label of the label, as of the last round
+        jumped = lower.join(labels.select(F.col("node").alias("to"), F.col("group").alias("beyond")), "to", "left")
+        new = cut_lineage(jumped.select("node", F.col("group").alias("old"), F.least("to", F.coalesce("beyond", "to")).alias("group")))
+        changed = new.filter("old <> group").limit(1).count()
+        labels = new.select("node", "group")
+        if not changed:
+            return labels
+    raise RuntimeError("components did not settle")
+
+
+def near_groups(texts: DataFrame, similarity: float = 0.8, width: int = 5, least_terms: int = 0) -> DataFrame:
+    """(key, group, copies, links), one row a text: groups of texts that chains of links connect.
+
+    group is the least key of the group; copies the number of texts with the same set of runs, itself
+    included; links the number of different sets that this one is linked to. Texts that take no part (null
+    or too short) are groups of their own with copies 1 and links 0. Null keys are left out; keys are
+    unique. Exact copies are never paired: they share the row of their set. See Near.
+    """
+    near = Near(texts, similarity, width, least_terms)
+    links = cut_lineage(near.links().select("a", "b"))
+    found = components(links)
+    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    named = found.join(degree, "node")
+    rows = texts.select("key").filter("key is not null").join(near.members.hint("merge"), "key", "left")
+    rows = rows.withColumns({"rep": F.coalesce("rep", "key"), "copies": F.coalesce("copies", F.lit(1))})
+    joined = rows.join(named.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+    return joined.select("key", F.coalesce("group", "rep").alias("group"), "copies", F.coalesce("links", F.lit(0)).alias("links"))

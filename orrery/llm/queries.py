@@ -66,6 +66,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a text: its group of near-duplicates by runs of five terms and a similarity of 0.8."""
+    from orrery.llm.near import near_groups
+
+    parts = [near_groups(texts).select(F.lit(field).alias("field"), "key", "group", "copies", "links") for field, texts in keyed_texts(spark, sf_dir).items()]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a passage of twelve terms of a held-out item, up to two edits."""
     from orrery.llm.leaks import held_out, leaks
@@ -114,7 +122,7 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_by_source(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p6_leaks": p6_leaks, "p6_found": p6_found, "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sources": p8_sources}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_groups": p5_groups, "p6_leaks": p6_leaks, "p6_found": p6_found, "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sources": p8_sources}
 
 SQL: dict[str, str] = {}
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from orrery.llm.near import Near, near_pairs
+from orrery.llm.near import Near, components, near_groups, near_pairs
 from orrery.llm.terms import terms
 
 
@@ -55,3 +55,35 @@ def test_large_classes_are_stars_and_keep_links(spark):
     assert len(got) == 25
     assert near_pairs(df.limit(0)).count() == 0
     assert Near(df.selectExpr("key", "cast(null as string) text")).links().count() == 0
+
+
+def grouped(pairs, keys):
+    root = {k: k for k in keys}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {k: find(k) for k in keys}
+
+
+def test_components_of_paths_stars_and_random_graphs(spark):
+    rnd = random.Random(4)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 80)] + [(rnd.randrange(1000, 1100), rnd.randrange(1000, 1100)) for _ in range(60)] + [(7, 3), (7, 3)]
+    edges = [(a, b) for a, b in edges if a != b]
+    got = {r.node: r.group for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == grouped(edges, {x for e in edges for x in e})
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_groups_equal_brute_force(spark):
+    rows = corpus(9)
+    df = spark.createDataFrame(rows, "key long, text string, n string")
+    want = grouped(brute(rows, 0.8, 3, 0), {r[0] for r in rows})
+    got = near_groups(df, 0.8, 3).collect()
+    assert {r.key: r.group for r in got} == want and len(got) == len(rows)
+    assert all(r.links == 0 and r.copies == 1 for r in got if r.key == 2)
