@@ -1,6 +1,11 @@
+import sys
+from pathlib import Path
+
 import pytest
 
-from orrery.runtime import session
+sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parent.parent)]
+
+from orrery.runtime import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
