@@ -55,3 +55,26 @@ def shingle_set(text: str, width: int, hasher: Hasher, least_terms: int = 0) ->
     if len(words) < max(least_terms, width):
         return None
     return np.unique(runs_of(hasher(words), width))
+
+
+def batch_sets(texts: list[str | None], width: int, hasher: Hasher, least_terms: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tokens, first): the distinct runs of many texts at once, sorted by row and token.
+
+    Rows whose text has fewer than max(least_terms, width) terms, or is null, have none; first marks where
+    a row begins. Runs over the edge of two texts are left out.
+    """
+    lists = [terms(t) if t is not None else [] for t in texts]
+    length = np.array([len(x) if len(x) >= max(least_terms, width) else 0 for x in lists], dtype=np.int64)
+    hashes = hasher([w for x, n in zip(lists, length, strict=True) if n for w in x])
+    row = np.repeat(np.arange(len(lists)), length)
+    found = runs_of(hashes, width)
+    if not len(found):
+        return np.empty(0, np.int64), found, np.empty(0, np.int64)
+    whole = row[: len(found)] == row[width - 1 :]
+    row, found = row[: len(found)][whole], found[whole]
+    order = np.lexsort((found, row))
+    row, found = row[order], found[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+    row, found = row[new], found[new]
+    return row, found, np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
