@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.errors import InvalidArgument, Unprocessable
 from orrery.functions.vectors import distance_to
-from orrery.operators.filters import ColumnBinding, compile_filter, parse_where
+from orrery.operators.filters import ColumnBinding, MapBinding, compile_filter, parse_where
 from orrery.operators.grouping import SPECIAL, GroupBy, best_of_groups, parse_group_by
 from orrery.operators.knn import check_query
 from orrery.operators.rank import Leaf, Node, leaf_scores, leaves, ordered, parse_rank, score
@@ -48,6 +48,18 @@ def parse_payload(raw: Mapping) -> Payload:
     )
 
 
+def shows_metadata(select: Sequence[str]) -> bool:
+    """Whether a response has a metadata column: it does for #metadata, or if the last of the sorted keys is a field (#id counts as one)."""
+    keys = sort_keys(select)
+    return "#metadata" in keys or bool(keys) and keys[-1] not in SPECIAL
+
+
+def project_metadata(metadata: Column, keys: Sequence[str]) -> Column:
+    """The listed keys of a metadata map; null if none is left."""
+    kept = F.map_filter(metadata, lambda k, v: k.isin(*keys))
+    return F.when(F.size(kept) > 0, kept)
+
+
 class Collection:
     """Records with what a search needs to know of them.
 
@@ -61,6 +73,13 @@ class Collection:
         self.binding = binding or ColumnBinding(records)
         self._total: int | None = None
 
+    def field(self, key: str) -> Column:
+        """A metadata key's value, of an ordinary column or of the typed map; null where it is neither."""
+        if isinstance(self.binding, MapBinding):
+            return F.try_element_at(self.binding.metadata, F.lit(key))
+        name = self.binding.keys.get(key, key)
+        return F.col(f"`{name}`") if name in self.records.columns else F.lit(None).cast("string")
+
     def total(self) -> int:
         if self._total is None:
             self._total = self.records.count()
@@ -92,9 +111,7 @@ class Collection:
             out = score(payload.rank, found) if found else self.records.limit(0).select("rowid", F.lit(0.0).cast("float").alias("score"))
             if payload.group_by:
                 wanted = [k for k in dict.fromkeys((*payload.group_by.keys, *payload.group_by.aggregate)) if k != "#score"]
-                have = [k for k in wanted if k in self.records.columns]
-                out = out.join(self.records.select("rowid", *(F.col(f"`{k}`") for k in have)), "rowid")
-                out = out.withColumns({k: F.lit(None).cast("string") for k in wanted if k not in have})
+                out = out.join(self.records.select("rowid", *(self.field(k).alias(k) for k in wanted)), "rowid")
                 out = best_of_groups(out, payload.group_by).select("rowid", "score")
             else:
                 out = ordered(out)
@@ -106,11 +123,12 @@ class Collection:
         """id and the selected keys, in order: fields are fetched for the ranked records only."""
         payload = raw if isinstance(raw, Payload) else parse_payload(raw)
         out = self.ranked(payload)
-        special = {"#document": "document", "#embedding": "embedding"}
-        names = [(k, special.get(k, k)) for k in payload.select if k not in ("#score", "#metadata")]
+        special = {"#document": F.col("document"), "#embedding": F.col("embedding")}
+        typed = isinstance(self.binding, MapBinding)
+        names = [(k, special[k] if k in special else self.field(k)) for k in payload.select if k not in ("#score", "#metadata")]
         if "#metadata" in payload.select:
-            names += [(k, k) for k in self.binding.keys if k not in payload.select]
-        fields = [F.col(f"`{c}`").alias(k) if c in self.records.columns else F.lit(None).cast("string").alias(k) for k, c in names]
+            names += [("#metadata", self.binding.metadata)] if typed else [(k, F.col(f"`{c}`")) for k, c in self.binding.keys.items() if k not in payload.select]
+        fields = [c.alias(k) for k, c in names]
         out = out.withColumnRenamed("rowid", "__rowid")
         joined = out.join(self.records.select(F.col("rowid").alias("__rowid"), "id", *fields), "__rowid")
         columns = ["id", *(k for k, _ in names), *(["score"] if "#score" in payload.select else [])]

@@ -300,6 +300,25 @@ class Collection:
             restrict_ids(self.records(), ids)
         return knn(self.filtered(where, where_document, ids), query, n, self.space, self.info["dimension"])
 
+    def search(self, raw: Mapping) -> DataFrame:
+        """One search payload over this collection; see operators.search. Metadata fields come as typed values."""
+        from orrery.operators.rank import leaves
+        from orrery.operators.search import Collection as Searched
+        from orrery.operators.search import parse_payload
+        from orrery.operators.sparse import postings
+
+        payload, info, rows = parse_payload(raw), self.info, self.records()
+        schemas.check_indexes(info["schema"], payload.filter)
+        wanted = {x.key for x in leaves(payload.rank) if x.sparse is not None} if payload.rank else set()
+        made, scaled = {}, []
+        for key in wanted:
+            value = F.try_element_at("metadata", F.lit(key))
+            made[key] = postings(rows.select("rowid", F.when(value["kind"] == 5, value["sv"]).alias("sparse")))
+            index = ((info["schema"]["keys"].get(key) or {}).get("sparse_vector") or {}).get("sparse_vector_index") or {}
+            if (index.get("config") or {}).get("bm25") is True:
+                scaled.append(key)
+        return Searched(rows, self.space, info["dimension"], made, scaled, MapBinding()).search(payload)
+
     def delete(self, ids: Sequence[str] | None = None, where=None, where_document=None, limit: int | None = None) -> int:
         info = self.info
         expr = parse(where, where_document)

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.errors import AlreadyExists, InvalidArgument, NotFound, Validation
 from orrery.functions.values import METADATA, METADATA_TYPE, encode_value, parse_metadata, parse_value
@@ -97,6 +98,26 @@ def test_forks_and_reopening(spark, catalog):
         catalog.create_tenant("third")
 
 
+def test_search_in_a_collection(spark, catalog):
+    from orrery.functions.text import bm25_schema, encode_document, encode_query
+    from orrery.operators.rank import dense, rrf, sparse
+    from orrery.operators.search import project_metadata, shows_metadata
+
+    c = catalog.create_collection("hybrid", schema=bm25_schema("kw") | {"keys": bm25_schema("kw")["keys"]})
+    texts = {"a": "shard index shard", "b": "vector index", "c": "captain of the lighthouse"}
+    c.write("add", batch(spark, *((i, [float(n), 1.0], t, {"kw": {k: v for k, v in encode_document(t).items()}, "g": n % 2, "n": n}) for n, (i, t) in enumerate(texts.items()))))
+    found = c.search({"rank": sparse(encode_query("index shard"), "kw"), "select": {"keys": ["#document", "n", "#score", "#metadata"]}}).collect()
+    assert [r.id for r in found] == ["a", "b"] and found[0]["n"].i == 0 and found[0]["#metadata"]["n"].i == 0
+    both = rrf([dense([2, 1], return_rank=True, default=9), sparse(encode_query("lighthouse"), "kw", return_rank=True, default=9)])
+    assert [r.id for r in c.search({"rank": both, "limit": {"limit": 1}}).collect()] == ["c"]
+    grouped = {"rank": dense([0, 1]), "group_by": {"keys": ["g"], "aggregate": {"$max_k": {"keys": ["n"], "k": 1}}}}
+    assert [r.id for r in c.search(grouped).collect()] == ["b", "c"]
+    assert [r.id for r in c.search({"filter": {"n": {"$gt": 0}}, "rank": dense([0, 1])}).collect()] == ["b", "c"]
+    assert shows_metadata(["#score", "#id"]) and not shows_metadata(["#document"]) and shows_metadata(["#metadata", "#score"])
+    got = c.get(["a"]).selectExpr("*").select(*(project_metadata(F.col("metadata"), [k]).alias(n) for k, n in (("n", "m"), ("x", "none")))).first()
+    assert set(got.m) == {"n"} and got.none is None
+
+
 def test_catalog(catalog):
     catalog.create_tenant("acme")
     catalog.update_tenant("acme", "res")
