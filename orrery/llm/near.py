@@ -162,7 +162,7 @@ class Near:
         narrow = self.all.select("key", "n", "s1", "s2")
         #: (key, rep, copies) of every text that shares its set
         classes = F.broadcast(classes) if at_most(classes, BROADCAST_ROWS) else classes
-        self.members = cut_lineage(narrow.join(classes, ["n", "s1", "s2"]).select("key", "rep", "copies"))
+        self.members = cut_lineage(narrow.join(classes, ["n", "s1", "s2"]).select("key", "rep", "copies").distinct())
         others = self.members.filter("key <> rep").select("key")
         others = F.broadcast(others) if at_most(others, BROADCAST_ROWS) else others
         self.signs = self.all.join(others, "key", "left_anti")
@@ -204,7 +204,7 @@ def near_pairs(texts: DataFrame, similarity: float = 0.8, width: int = 5, least_
     Texts with equal sets are one class. Classes of up to `expand` texts are written as all their pairs,
     and links to them as pairs with each text; a larger class is written as pairs of each text with the
     class's least key, and links to it as pairs with that key. No link between different sets is lost.
-    Empty input, or input of nulls only, gives an empty result.
+    Empty input, or input of nulls only, gives an empty result. Repeated rows make no pair of their own.
     """
     near = Near(texts, similarity, width, least_terms)
     links = near.links().select("a", "b")
@@ -217,7 +217,7 @@ def near_pairs(texts: DataFrame, similarity: float = 0.8, width: int = 5, least_
     within = x.join(y, (F.col("x.rep") == F.col("y.rep")) & (F.col("x.key") < F.col("y.key"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
     stars = members.filter((F.col("copies") > expand) & (F.col("key") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("key").alias("b"))
     every = links.unionByName(within).unionByName(stars)
-    return every.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
+    return every.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).filter("key_a < key_b").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -248,15 +248,15 @@ def near_groups(texts: DataFrame, similarity: float = 0.8, width: int = 5, least
 
     group is the least key of the group; copies the number of texts with the same set of runs, itself
     included; links the number of different sets that this one is linked to. Texts that take no part (null
-    or too short) are groups of their own with copies 1 and links 0. Null keys are left out; keys are
-    unique. Exact copies are never paired: they share the row of their set. See Near.
+    or too short) are groups of their own with copies 1 and links 0. Null keys are left out;
+    repeated rows give one row. Exact copies are never paired: they share the row of their set. See Near.
     """
     near = Near(texts, similarity, width, least_terms)
     links = cut_lineage(near.links().select("a", "b"))
     found = components(links)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     named = found.join(degree, "node")
-    rows = texts.select("key").filter("key is not null").join(near.members.hint("merge"), "key", "left")
+    rows = texts.select("key").filter("key is not null").distinct().join(near.members.hint("merge"), "key", "left")
     rows = rows.withColumns({"rep": F.coalesce("rep", "key"), "copies": F.coalesce("copies", F.lit(1))})
     joined = rows.join(named.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     return joined.select("key", F.coalesce("group", "rep").alias("group"), "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -45,6 +45,15 @@ def test_pairs_equal_brute_force(spark, similarity, width, least):
     assert len(want) > 50 and set(got) == want and len(got) == len(want)
 
 
+def test_repeated_rows_change_nothing(spark):
+    rows = corpus(3, 80)
+    df = spark.createDataFrame(rows + rows[:40] + rows[10:20], "key long, text string, n string")
+    got = [tuple(r) for r in near_pairs(df, 0.6, 2).collect()]
+    assert set(got) == brute(rows, 0.6, 2, 0) and len(got) == len(set(got))
+    groups = near_groups(df, 0.6, 2).collect()
+    assert len(groups) == len({r.key for r in groups}) == len(rows)
+
+
 def test_large_classes_are_stars_and_keep_links(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(i, text) for i in range(20)] + [(100, text + " z"), (101, text + " y"), (102, text + " y")]
