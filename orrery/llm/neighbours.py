@@ -137,11 +137,18 @@ def strip(space: str, k: int, rows: Side, columns: Side) -> tuple[np.ndarray, np
 
 
 def usable(table: pa.Table, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, roles and vectors of the rows that are all finite and not all zero; lengths are checked before."""
+    """Ids, roles and vectors of the rows that are all finite and not all zero, one of each id and role; lengths are checked before."""
     flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     vectors = np.asarray(flat, dtype=np.float32).reshape(-1, dimension)
     good = np.isfinite(vectors).all(axis=1) & (vectors != 0).any(axis=1)
-    return table.column("rowid").to_numpy()[good], table.column("role").to_numpy()[good], vectors[good]
+    ids, role, vectors = table.column("rowid").to_numpy()[good], table.column("role").to_numpy()[good], vectors[good]
+    if len(np.unique(ids * 3 + role)) < len(ids):
+        # least vector first, so that of repeated ids the same row counts in every strip
+        order = np.lexsort((*vectors.T[::-1], role, ids))
+        ids, role, vectors = ids[order], role[order], vectors[order]
+        first = np.concatenate([[True], (ids[1:] != ids[:-1]) | (role[1:] != role[:-1])])
+        ids, role, vectors = ids[first], role[first], vectors[first]
+    return ids, role, vectors
 
 
 def _strip_of(k: int):
@@ -164,7 +171,7 @@ def nearest(
     space). Only embeddings that are not null, exactly `dimension` long, finite and not all zero take
     part; a record is not its own neighbour; equal distances go by the lower rowid; with k or fewer
     others, all are neighbours. Records without a collection, or of one with an unknown space or a
-    dimension below 1, are left out, as are repeated rows of one rowid but one. Empty tables give an
+    dimension below 1, are left out; of repeated rows with one rowid one counts. Empty tables give an
     empty result. The result is exact: the quantisation only decides which pairs are computed in full.
 
     Rows of a collection are dealt into row blocks and column blocks by hash; each pair of blocks (a

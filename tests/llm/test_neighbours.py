@@ -66,4 +66,6 @@ def test_nearest_in_collections(spark, blocks):
     assert got == want
     pairs = {(p.rowid_a, p.rowid_b) for p in similar_pairs(r, c, **blocks).collect()}
     assert pairs == {(min(a, b), max(a, b)) for a, bs in want.items() for b in bs}
+    again = r.unionByName(r.filter("rowid % 3 = 0")).unionByName(r.limit(40))
+    assert {(p.rowid_a, p.rowid_b) for p in similar_pairs(again, c, **blocks).collect()} == pairs
     assert nearest(r.limit(0), c).count() == 0 and nearest(r, c.limit(0)).count() == 0
