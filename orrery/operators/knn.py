@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orrery.errors import EngineError, InvalidArgument
 from orrery.functions.vectors import block_distances, check_space, distance_to
+from orrery.runtime import cut_lineage
 
 DEFAULT_RESULTS = 10
 #: Queries that one pass over the records answers; more are taken in further passes.
@@ -75,6 +76,15 @@ def _best(queries: list[tuple[int, np.ndarray]], n: int, space: str, coarse: boo
     return run
 
 
+def _placed(found: DataFrame, n: int) -> DataFrame:
+    """(qid, rowid, distance, place) of the n best of (qid, rowid, raw)."""
+    cut = Window.partitionBy("qid").orderBy("raw", "rowid")
+    found = found.withColumn("__r", F.row_number().over(cut)).filter(F.col("__r") <= n)
+    found = found.withColumn("distance", F.col("raw").cast("float"))
+    shown = Window.partitionBy("qid").orderBy("distance", "rowid")
+    return found.select("qid", "rowid", "distance", (F.row_number().over(shown) - 1).alias("place"))
+
+
 def knn_batch(records: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], n: int = DEFAULT_RESULTS, space: str = "l2", coarse: bool = False) -> DataFrame:
     """(qid, rowid, distance, place): the n nearest records of each stated query, places from 0.
 
@@ -91,11 +101,7 @@ def knn_batch(records: DataFrame, queries: Sequence[tuple[int, Sequence[float]]]
             raise InvalidArgument("queries differ in dimension")
         part = records.filter(F.size("embedding") == width).mapInArrow(_best(block, n, space, coarse), "qid long, rowid long, raw double")
         found = part if found is None else found.unionByName(part)
-    cut = Window.partitionBy("qid").orderBy("raw", "rowid")
-    found = found.withColumn("__r", F.row_number().over(cut)).filter(F.col("__r") <= n)
-    found = found.withColumn("distance", F.col("raw").cast("float"))
-    shown = Window.partitionBy("qid").orderBy("distance", "rowid")
-    return found.select("qid", "rowid", "distance", (F.row_number().over(shown) - 1).alias("place"))
+    return _placed(found, n)
 
 
 def knn_two_stage(records: DataFrame, query: Sequence[float], n: int = DEFAULT_RESULTS, space: str = "l2") -> DataFrame:
@@ -107,15 +113,44 @@ def knn_two_stage(records: DataFrame, query: Sequence[float], n: int = DEFAULT_R
     return knn(records.filter(F.col("rowid").isin(*candidates)), query, n, space)
 
 
+def _probed(queries: list[tuple[int, np.ndarray]], lists: list[set[int]], n: int, space: str):
+    """The n best of a partition for each query among the rows of its own lists: (qid, rowid, raw)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.empty(0), np.empty(0, np.int64)) for _ in queries]
+        for batch in batches:
+            if not batch.num_rows or not n:
+                continue
+            rowid, at = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for i, (_, q) in enumerate(queries):
+                own = np.flatnonzero(np.isin(at, list(lists[i])))
+                if vectors.shape[1] != len(q) or not len(own):
+                    continue
+                d = np.concatenate([best[i][0], block_distances(vectors[own], q[None, :], space)[0]])
+                r = np.concatenate([best[i][1], rowid[own]])
+                order = np.lexsort((r, d))[:n]  # NaN comes last, as in Spark
+                best[i] = d[order], r[order]
+        ids = np.repeat(np.array([q for q, _ in queries], dtype=np.int64), [len(d) for d, _ in best])
+        yield pa.RecordBatch.from_pydict({"qid": pa.array(ids), "rowid": pa.array(np.concatenate([r for _, r in best])), "raw": pa.array(np.concatenate([d for d, _ in best]))})
+
+    return run
+
+
 @dataclass
 class Ivf:
-    """Inverted-file index: rows by their nearest centre; a search reads the nearest lists only.
+    """Inverted-file index: rows by their nearest centre; a search reads the nearest lists, then those that may hold nearer rows.
 
-    Centres are fitted on at most `sample` rows (a documented bound); every row is indexed.
+    Centres are fitted on at most `sample` rows (a documented bound); every row is indexed. radius and
+    angle are, for each list, the largest distance and angle of its rows from the centre (-1 if it is empty): no row
+    of a list is nearer to a query than the centre less that, so a list is only left out when it
+    cannot hold one of the n nearest. Results equal exact search.
     """
 
     centres: np.ndarray
     indexed: DataFrame
+    radius: np.ndarray
+    angle: np.ndarray
 
     @classmethod
     def build(cls, records: DataFrame, lists: int = 64, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> Ivf:
@@ -133,16 +168,72 @@ class Ivf:
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, centres.shape[1]))
-                found = block_distances(centres, vectors, "l2").argmin(axis=1) if batch.num_rows else np.empty(0)
-                yield pa.RecordBatch.from_pydict({"rowid": batch.column(0), "embedding": batch.column(1), "list": pa.array(found.astype(np.int32))})
-
-        return cls(centres, rows.mapInArrow(assign, "rowid long, embedding array<float>, list int"))
+                every = block_distances(centres, vectors, "l2") if batch.num_rows else np.empty((0, lists))
+                found = every.argmin(axis=1)
+                gap = np.sqrt(every[np.arange(len(found)), found])
+                x, c = vectors.astype(np.float64), centres[found].astype(np.float64)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    turn = np.arccos(np.clip((x * c).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (c * c).sum(axis=1)), -1, 1))
+                turn = np.where(np.isnan(turn), np.pi, turn)  # a zero vector has no angle
+                yield pa.RecordBatch.from_pydict({"rowid": batch.column(0), "embedding": batch.column(1), "list": pa.array(found.astype(np.int32)), "gap": pa.array(gap), "turn": pa.array(turn)})
+
+        indexed = cut_lineage(rows.mapInArrow(assign, "rowid long, embedding array<float>, list int, gap double, turn double"))
+        radius, angle = np.full(lists, -1.0), np.full(lists, -1.0)
+        for r in indexed.groupBy("list").agg(F.max("gap").alias("gap"), F.max("turn").alias("turn")).collect():  # one row a list
+            radius[r.list], angle[r.list] = r.gap, r.turn
+        return cls(centres, indexed.select("rowid", "embedding", "list"), radius, angle)
+
+    def bounds(self, query: np.ndarray, space: str) -> np.ndarray:
+        """For each list, a distance below which none of its rows can be; infinite for an empty list."""
+        q, c = query.astype(np.float64), self.centres.astype(np.float64)
+        if space == "l2":
+            least = np.maximum(0, np.sqrt(((c - q) ** 2).sum(axis=1)) - self.radius) ** 2
+        elif space == "ip":
+            least = 1 - (c @ q + np.sqrt(q @ q) * self.radius)
+        else:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                turn = np.arccos(np.clip(c @ q / np.sqrt((c * c).sum(axis=1) * (q @ q)), -1, 1)) - self.angle
+            least = 1 - np.cos(np.maximum(0, np.where(np.isnan(turn), 0, turn) - 1e-6))
+        return np.where(self.radius < 0, np.inf, least - 1e-9 * (1 + np.abs(least)))
+
+    def search_batch(self, queries: Sequence[tuple[int, Sequence[float]]], n: int = DEFAULT_RESULTS, space: str = "l2", probes: int = 8) -> DataFrame:
+        """(qid, rowid, distance, place) as of knn_batch: `probes` lists of each query first, then every list that may hold a nearer row."""
+        check_space(space)
+        found = None
+        for at in range(0, max(1, len(queries)), QUERY_BLOCK):
+            block = [(int(q), np.asarray(v, dtype=np.float32)) for q, v in queries[at : at + QUERY_BLOCK]]
+            for _, v in block:
+                check_query(v, self.centres.shape[1])
+            bounds = [self.bounds(v, space) for _, v in block]
+            near = [set(np.argsort(d, kind="stable")[:probes].tolist()) for d in (block_distances(self.centres, v[None, :], "l2")[0] for _, v in block)]
+            first = cut_lineage(self._read(block, near, n, space))
+            worst = {r.qid: r.worst for r in first.groupBy("qid").agg(F.max("raw").alias("worst"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= n).collect()}  # at most QUERY_BLOCK
+            limit = [worst.get(q, np.inf) for q, _ in block]
+            # a NaN distance comes last: as an n-th one it leaves no list out
+            far = [{c for c in range(len(b)) if c not in own and self.radius[c] >= 0 and not b[c] > d} for b, own, d in zip(bounds, near, limit, strict=True)]
+            part = first.unionByName(self._read(block, far, n, space)) if any(far) else first
+            found = part if found is None else found.unionByName(part)
+        return _placed(found, n)
+
+    def _read(self, block: list[tuple[int, np.ndarray]], lists: list[set[int]], n: int, space: str) -> DataFrame:
+        wanted = sorted(set().union(*lists))
+        part = self.indexed.filter(F.col("list").isin(*wanted)) if wanted else self.indexed.limit(0)
+        found = part.mapInArrow(_probed(block, lists, n, space), "qid long, rowid long, raw double")
+        cut = Window.partitionBy("qid").orderBy("raw", "rowid")
+        return found.withColumn("__r", F.row_number().over(cut)).filter(F.col("__r") <= n).drop("__r")
 
     def search(self, query: Sequence[float], n: int = DEFAULT_RESULTS, space: str = "l2", probes: int = 8) -> DataFrame:
-        """The n nearest rows of the probed lists; all lists are read where those hold fewer than n."""
-        distance = block_distances(self.centres, np.asarray([query], dtype=np.float32), "l2")[0]
+        """The n nearest rows: those of `probes` lists, then of every list that may hold a nearer one."""
+        check_query(query, self.centres.shape[1])
+        q = np.asarray(query, dtype=np.float32)
+        distance = block_distances(self.centres, q[None, :], "l2")[0]
         near = [int(c) for c in np.argsort(distance, kind="stable")[:probes]]
         found = knn(self.indexed.filter(F.col("list").isin(*near)), query, n, space)
-        if probes < len(self.centres) and found.count() < n:
-            return knn(self.indexed, query, n, space)
-        return found
+        if probes >= len(self.centres):
+            return found
+        held = found.select("rowid", distance_to(F.col("embedding"), query, space).alias("raw")).agg(F.max("raw").alias("worst"), F.count(F.lit(1)).alias("n")).first()
+        limit = np.inf if held.n < n or held.worst is None else held.worst
+        far = [c for c, b in enumerate(self.bounds(q, space)) if self.radius[c] >= 0 and not b > limit]
+        if set(far) <= set(near):
+            return found
+        return knn(self.indexed.filter(F.col("list").isin(*near, *far)), query, n, space)

@@ -248,6 +248,13 @@ def _knn_batch(spark, sf_dir):
     return found.select("qid", "rowid", F.col("place").cast("long").alias("place"), _digits(F.col("distance"), 3).alias("distance"))
 
 
+@query("ivf_default", _BATCH.replace("place < 5", "place < 10"))
+def ivf_default(spark, sf_dir):
+    """The index with its default lists and probes, asked for every stated vector."""
+    found = Ivf.build(_vectors(spark, sf_dir)).search_batch(_stated(spark, sf_dir), 10, "l2")
+    return found.select("qid", "rowid", F.col("place").cast("long").alias("place"), _digits(F.col("distance"), 3).alias("distance"))
+
+
 @query("knn_nested_response")
 def knn_nested_response(spark, sf_dir):
     return nested_response(knn_batch(_vectors(spark, sf_dir), _stated(spark, sf_dir), 5, "l2"))

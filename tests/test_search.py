@@ -57,6 +57,19 @@ def test_filtered_search_is_exact(spark, d):
     assert index.search(x[0].tolist(), 590, "l2", probes=1).count() == 590  # falls back to all lists
 
 
+@pytest.mark.parametrize("space", ["l2", "ip", "cosine"])
+def test_index_with_default_probes_loses_no_neighbour(spark, space):
+    x = np.random.default_rng(4).normal(size=(700, 24)).astype(np.float32)
+    x[5] = 0
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(700)], "rowid long, embedding array<float>")
+    index = Ivf.build(df)
+    stated = [(q, x[q].tolist()) for q in range(0, 700, 20)]
+    want = {(r.qid, r.place): r.rowid for r in knn_batch(df, stated, 10, space).collect()}
+    assert {(r.qid, r.place): r.rowid for r in index.search_batch(stated, 10, space).collect()} == want
+    assert [r.rowid for r in index.search(stated[1][1], 10, space).collect()] == [want[20, p] for p in range(10)]
+    assert index.search_batch([(1, x[5].tolist())], 10, space, probes=1).count() == 10
+
+
 def test_ids_and_zero_vectors(spark, plane):
     with pytest.raises(EngineError, match="Error finding id"):
         restrict_ids(plane, ["u", "missing"])
