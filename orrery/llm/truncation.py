@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,15 +16,17 @@ from pyspark.sql import functions as F
 from orrery.llm.mixture import source_key
 from orrery.llm.shingles import Hasher, batch_sets, mix, shingle_set
 from orrery.llm.terms import terms
-from orrery.runtime import cut_lineage
+from orrery.runtime import cut_lineage, join_small
 
 #: Contexts of a word, and counters of each of their tables of occurrences and of closings, summed in chunks.
 CONTEXTS = 5
 SKETCH, CHUNK = 1 << 19, 1 << 15
 #: Words this frequent are kept in a sentence's skeleton; the others count by their kind only.
 FRAME_WORDS = 80
-#: Words whose beginnings tell a half word at a text's end.
-KNOWN_WORDS = 20_000
+#: Occurrences that make a word known, so that its beginnings tell a half word at a text's end.
+KNOWN = 4
+#: Distinct words that a task counts before it passes their counts on.
+HELD_WORDS = 200_000
 #: Bands of the min-hash; each of ROWS values. At a similarity of 0.8 all bands miss one pair in 5,000.
 BANDS, ROWS = 16, 4
 #: Log odds of a length's unended texts above which it is a field limit, whatever the last words; how
@@ -133,30 +136,41 @@ class Contexts:
         return np.stack([mix(sentence), triple, pair, frame, mix(exact)]), closes, row, lower
 
 
-def _frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from collections import Counter
+def _words(held: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
 
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(terms(text))
-        if len(counts) > 200_000:
-            counts = Counter(dict(counts.most_common(20_000)))
-    top = counts.most_common(20_000)
-    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            words, n = list(counts), list(counts.values())
+            for at in range(0, len(words), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 20_000], pa.string()), pa.array(n[at : at + 20_000], pa.int64())], ["word", "n"])
+            counts.clear()
 
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words, tail = terms(text), text.rstrip()[-40:]
+                if words and (not _ENDED.search(tail) or _MARKER.search(tail)):
+                    words.pop()  # it may be half a word, which would vouch for itself
+                counts.update(words)
+            if len(counts) > held:
+                yield from flush()
+        yield from flush()
+
+    return run
 
-def known_words(texts: DataFrame, most: int = KNOWN_WORDS) -> dict[str, int]:
-    """The most frequent words and their counts, the commonest first: each task counts all its texts and passes its 20,000 most frequent on."""
-    counts = texts.select("text").mapInArrow(_frame, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r.word: r.n for r in counts.filter("n >= 4").orderBy(F.desc("n"), "word").limit(most).collect()}
 
+def word_counts(texts: DataFrame, held: int = HELD_WORDS) -> DataFrame:
+    """(word, n): every word of all texts and how often it occurs, without the last words of unended texts."""
+    return texts.select("text").mapInArrow(_words(held), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-def beginnings(known: dict[str, int]) -> dict[str, int]:
-    """Each proper beginning of a known word, with the count of its most frequent word."""
+
+def beginnings(known: dict[str, int], lengths: list[int] | None = None) -> dict[str, int]:
+    """Each proper beginning of a known word (of the given ascending lengths only), with the count of its most frequent word."""
     found: dict[str, int] = {}
     for word, n in known.items():
-        for i in range(1, len(word)):
+        for i in range(1, len(word)) if lengths is None else lengths:
+            if i >= len(word):
+                break
             if n > found.get(word[:i], 0):
                 found[word[:i]] = n
     return found
@@ -168,6 +182,32 @@ def is_half(word: str, known: dict[str, int], begins: dict[str, int]) -> bool:
     return longer > 0 if not own else len(word) <= 3 and longer >= 25 * own
 
 
+def _begin(lengths: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = beginnings(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "longer"])
+
+    return run
+
+
+def _half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        word, own, longer = (c.to_pylist() for c in batch.columns)
+        half = [is_half(w, {w: o} if o else {}, {w: x} if x else {}) for w, o, x in zip(word, own, longer, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(half, pa.bool_())], ["word", "half"])
+
+
+def half_words(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """(word, half) of the distinct words of asked(word), by the exact counts of all words. See is_half()."""
+    asked = asked.select("word").filter("word is not null").distinct()
+    known = counts.filter(F.col("n") >= KNOWN)
+    lengths = sorted(r.length for r in asked.select(F.length("word").alias("length")).distinct().collect())  # a few
+    begins = known.select("word", "n").mapInArrow(_begin(lengths), "word string, longer long").groupBy("word").agg(F.max("longer").alias("longer"))
+    found = asked.join(known.select("word", F.col("n").alias("own")).hint("merge"), "word", "left").join(begins.hint("merge"), "word", "left")
+    return found.select("word", "own", "longer").mapInArrow(_half, "word string, half boolean")
+
+
 def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts = Contexts(shared.value)
@@ -220,8 +260,8 @@ def terminality(keys: np.ndarray, sketch: np.ndarray, least: tuple[int, ...] = (
 
 def _endings(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame, known, sketch = shared.value
-        contexts, hasher, begins = Contexts(frame), Hasher(), beginnings(known)
+        frame, sketch = shared.value
+        contexts, hasher = Contexts(frame), Hasher()
         # odd multipliers: each gives the runs another order
         seeds = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1))
         for batch in batches:
@@ -229,12 +269,13 @@ def _endings(shared):
             read = [ending(t) for t in texts]
             asked = [i for i, (kind, _) in enumerate(read) if kind not in ("ended", "empty")]
             rate: list = [None] * len(texts)
-            half = [False] * len(texts)
+            last: list = [None] * len(texts)
             keys, _, row, words = contexts([read[i][1] for i in asked])
             for at in np.flatnonzero(np.concatenate([np.diff(row) != 0, [True]]) if len(row) else []):
                 i, word = asked[row[at]], words[at]
                 rate[i] = terminality(keys[:, at], sketch)
-                half[i] = word.isalpha() and "://" not in read[i][1].split()[-1] and is_half(word, known, begins)
+                if word.isalpha() and "://" not in read[i][1].split()[-1]:
+                    last[i] = word
             bands: list = [None] * len(texts)
             row, tokens, first = batch_sets(texts, 5, hasher)
             if len(row):
@@ -244,9 +285,9 @@ def _endings(shared):
                 for i, v in zip(row[first].tolist(), values.T.tolist(), strict=True):
                     bands[i] = v
             bodies = [t.rstrip() for t in texts]
-            out = [docs, sources, [len(x) for x in bodies], [len(x.encode()) for x in bodies], [k for k, _ in read], rate, half, bands]
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "source", "chars", "bytes", "ending", "terminality", "half", "bands"])
+            out = [docs, sources, [len(x) for x in bodies], [len(x.encode()) for x in bodies], [k for k, _ in read], rate, last, bands]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "source", "chars", "bytes", "ending", "terminality", "word", "bands"])
 
     return run
 
@@ -303,11 +344,11 @@ def truncations(documents: DataFrame, frame: int = FRAME_WORDS) -> DataFrame:
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("source"), "text").filter("doc_id is not null and text is not null")
-    known = known_words(rows)
-    words = set(list(known)[:frame])
+    every = cut_lineage(word_counts(rows))
+    words = {r.word for r in every.filter(F.col("n") >= KNOWN).orderBy(F.desc("n"), "word").limit(frame).collect()}
     sketch = terminality_sketch(rows, words)
-    schema = "doc_id long, source string, chars int, bytes int, ending string, terminality double, half boolean, bands array<long>"
-    judged = cut_lineage(rows.mapInArrow(_endings(spark.sparkContext.broadcast((words, known, sketch))), schema))
+    schema = "doc_id long, source string, chars int, bytes int, ending string, terminality double, word string, bands array<long>"
+    judged = cut_lineage(rows.mapInArrow(_endings(spark.sparkContext.broadcast((words, sketch))), schema))
     is_open = F.col("ending").isin("plain", "marked", "surely", "broken", "block")
 
     banded = judged.filter("bands is not null").select("doc_id", "chars", "ending", F.posexplode("bands").alias("band", "value"))
@@ -321,6 +362,7 @@ def truncations(documents: DataFrame, frame: int = FRAME_WORDS) -> DataFrame:
 
     counted = judged.select("source", F.col("ending").isin("plain", "marked", "surely").cast("int").alias("o"), (F.col("ending") == "ended").cast("int").alias("e"), "chars", "bytes")
     found = judged.drop("bands").join(copies.hint("merge"), "doc_id", "left")
+    found = join_small(found, cut_lineage(half_words(judged, every)), ["word"], ["doc_id"], "left").withColumn("half", F.coalesce("half", F.lit(False)))
     for unit in ("chars", "bytes"):
         lengths = counted.groupBy("source", unit).agg(F.sum("o").alias("o"), F.sum("e").alias("e"))
         near = Window.partitionBy("source").orderBy(unit).rangeBetween(0, 3)  # trimming may have taken a few characters off

@@ -1,6 +1,6 @@
 import random
 
-from orrery.llm.truncation import beginnings, ending, ends_early, is_half, truncation_by_source, truncations
+from orrery.llm.truncation import HELD_WORDS, beginnings, ending, ends_early, is_half, truncation_by_source, truncations, word_counts
 
 
 def test_endings():
@@ -66,3 +66,17 @@ def test_cut_documents_are_found(spark):
     shares = {r.source: r for r in truncation_by_source(df).collect()}
     assert set(shares) == {"forum", "wiki", None} and shares["forum"].share > 0.5 > 0.2 > shares["wiki"].share
     assert truncations(df.limit(0)).count() == 0
+
+
+def test_no_word_is_dropped_from_the_counts(spark):
+    rare = [f"x{chr(97 + i % 26)}{i}" for i in range(25_000)]
+    texts = [" ".join(rare[at : at + 100]) + "." for at in range(0, len(rare), 100) for _ in range(6)]
+    texts += ["They inform us with zyxwvutable ink." for _ in range(4)] + ["No information here." for _ in range(100)]
+    # a whole word that begins a commoner one, and half of a rare one
+    texts += ["All is said.\n- please inform", "All is said.\n- write zyxwvut"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    for held in (HELD_WORDS, 50):
+        counts = {r.word: r.n for r in word_counts(df, held).collect()}
+        assert all(counts[w] == 6 for w in rare) and counts["inform"] == 4 and "zyxwvut" not in counts
+    got = {r.doc_id: r.truncated for r in truncations(df).filter("ending = 'block'").collect()}
+    assert got == {len(texts) - 2: False, len(texts) - 1: True}
