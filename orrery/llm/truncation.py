@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import difflib
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,9 +17,10 @@ from orrery.llm.shingles import Hasher, batch_sets, mix, shingle_set
 from orrery.llm.terms import terms
 from orrery.runtime import cut_lineage, join_small
 
-#: Contexts of a word, and counters of each of their tables of occurrences and of closings, summed in chunks.
+#: Contexts of a word.
 CONTEXTS = 5
-SKETCH, CHUNK = 1 << 19, 1 << 15
+#: Bits of a part of the filter of asked contexts, and of the whole filter at most; it only spares rows, counts are exact.
+PART, FILTER = 1 << 15, 1 << 27
 #: Words this frequent are kept in a sentence's skeleton; the others count by their kind only.
 FRAME_WORDS = 80
 #: Occurrences that make a word known, so that its beginnings tell a half word at a text's end.
@@ -209,71 +209,72 @@ def half_words(asked: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _count(shared):
+    """(key, seen, closed) of the contexts that pass the filter, added up for each batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts = Contexts(shared.value)
-        counts = np.zeros((2 * CONTEXTS, SKETCH), dtype=np.uint32)
+        frame, bits = shared.value
+        contexts, most = Contexts(frame), np.uint64(8 * len(bits) - 1)
         for batch in batches:
             keys, closing, row, _ = contexts(batch.column(0).to_pylist())
             if not len(row):
                 continue
             inner = np.concatenate([row[1:] == row[:-1], [False]])  # how a text's last word ends is what is asked
-            at, closing = (keys[:, inner] & np.uint64(SKETCH - 1)).astype(np.int64), closing[inner]
-            for t in range(CONTEXTS):
-                counts[2 * t] += np.bincount(at[t], minlength=SKETCH).astype(np.uint32)
-                counts[2 * t + 1] += np.bincount(at[t][closing], minlength=SKETCH).astype(np.uint32)
-        flat = counts.ravel()
-        used = [c for c in range(len(flat) // CHUNK) if flat[c * CHUNK : (c + 1) * CHUNK].any()]
-        raw = [zlib.compress(flat[c * CHUNK : (c + 1) * CHUNK].tobytes(), 1) for c in used]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(raw, pa.binary())], ["chunk", "counts"])
+            keys, closing = keys[:, inner].ravel(), np.tile(closing[inner], CONTEXTS)
+            at = keys & most
+            asked = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            found, which, seen = np.unique(keys[asked], return_inverse=True, return_counts=True)
+            closed = np.bincount(which[closing[asked]], minlength=len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(seen.astype(np.int64)), pa.array(closed.astype(np.int64))], ["key", "seen", "closed"])
 
     return run
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = np.zeros(CHUNK, dtype=np.uint64)
-    for raw in table.column("counts").to_pylist():
-        total += np.frombuffer(zlib.decompress(raw), dtype=np.uint32)
-    low = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([low.tobytes()], pa.binary())})
-
-
-def terminality_sketch(texts: DataFrame, frame: set[str]) -> np.ndarray:
-    """(2 * CONTEXTS, SKETCH) counters over all texts: occurrences and closings of each context's buckets."""
-    shared = texts.sparkSession.sparkContext.broadcast(frame)
-    parts = texts.select("text").mapInArrow(_count(shared), "chunk int, counts binary")
-    total = np.zeros(2 * CONTEXTS * SKETCH, dtype=np.uint32)
-    for row in parts.groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").collect():
-        total[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, dtype=np.uint32)
-    return total.reshape(2 * CONTEXTS, SKETCH)
+def context_counts(texts: DataFrame, frame: set[str], asked: DataFrame, most: int = FILTER) -> DataFrame:
+    """(key, seen, closed): how often the contexts of asked(key), distinct, occur in all texts and a sentence closes behind them.
 
-
-def terminality(keys: np.ndarray, sketch: np.ndarray, least: tuple[int, ...] = (12, 8, 12, 12, 12)) -> float:
-    """How likely a sentence closes after this word, by the most telling context seen often enough."""
-    rate = 0.1
+    Exact (up to 64-bit hashes). A bit filter of the asked keys, of 16 bits a key up to `most`, goes to the
+    tasks, so that few other contexts are passed on; those are dropped by a join.
+    """
+    size = max(PART, min(most, 1 << (16 * asked.count()).bit_length()))
+    at = asked.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("at"))
+    parts = at.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(PART - 1))).alias("bits"))
+    bits = np.zeros(size // 8, dtype=np.uint8)
+    for row in parts.collect():  # at most FILTER / PART rows of PART bits
+        bits[row.part * PART // 8 : (row.part + 1) * PART // 8] = np.frombuffer(row.bits, dtype=np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast((frame, bits))
+    counts = texts.select("text").mapInArrow(_count(shared), "key long, seen long, closed long").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("closed").alias("closed"))
+    return counts.join(asked.select("key").hint("merge"), "key", "left_semi")
+
+
+def terminality(texts: DataFrame, frame: set[str], asked: DataFrame, least: tuple[int, ...] = (12, 8, 12, 12, 12)) -> DataFrame:
+    """(contexts, terminality) of the distinct contexts of asked(contexts ARRAY<BIGINT>): how likely a sentence closes after this word, by the most telling context seen often enough."""
+    asked = cut_lineage(asked.filter("contexts is not null").select("contexts").distinct())
+    each = asked.select("contexts", F.posexplode("contexts").alias("t", "key"))
+    counts = cut_lineage(context_counts(texts, frame, each.select("key").distinct()))
+    found = join_small(each, counts, ["key"], ["contexts"], "left")
+    pick = lambda c, t: F.max(F.when(F.col("t") == t, F.col(c))).alias(f"{c}{t}")
+    found = found.groupBy("contexts").agg(*(pick(c, t) for c in ("seen", "closed") for t in range(CONTEXTS)))
+    rate = F.lit(0.1)
     for t in (4, 3, 2, 1, 0):
-        at = int(keys[t] & np.uint64(SKETCH - 1))
-        seen, closed = int(sketch[2 * t, at]), int(sketch[2 * t + 1, at])
-        if seen >= least[t]:
-            rate = (closed + 2 * rate) / (seen + 2)
-    return rate
+        rate = F.when(F.col(f"seen{t}") >= least[t], (F.col(f"closed{t}") + 2 * rate) / (F.col(f"seen{t}") + 2)).otherwise(rate)
+    return found.select("contexts", rate.alias("terminality"))
 
 
 def _endings(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame, sketch = shared.value
-        contexts, hasher = Contexts(frame), Hasher()
+        contexts, hasher = Contexts(shared.value), Hasher()
         # odd multipliers: each gives the runs another order
         seeds = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1))
         for batch in batches:
             docs, sources, texts = (c.to_pylist() for c in batch.columns)
             read = [ending(t) for t in texts]
             asked = [i for i, (kind, _) in enumerate(read) if kind not in ("ended", "empty")]
-            rate: list = [None] * len(texts)
+            own: list = [None] * len(texts)
             last: list = [None] * len(texts)
             keys, _, row, words = contexts([read[i][1] for i in asked])
             for at in np.flatnonzero(np.concatenate([np.diff(row) != 0, [True]]) if len(row) else []):
                 i, word = asked[row[at]], words[at]
-                rate[i] = terminality(keys[:, at], sketch)
+                own[i] = keys[:, at].view(np.int64).tolist()
                 if word.isalpha() and "://" not in read[i][1].split()[-1]:
                     last[i] = word
             bands: list = [None] * len(texts)
@@ -285,9 +286,9 @@ def _endings(shared):
                 for i, v in zip(row[first].tolist(), values.T.tolist(), strict=True):
                     bands[i] = v
             bodies = [t.rstrip() for t in texts]
-            out = [docs, sources, [len(x) for x in bodies], [len(x.encode()) for x in bodies], [k for k, _ in read], rate, last, bands]
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "source", "chars", "bytes", "ending", "terminality", "word", "bands"])
+            out = [docs, sources, [len(x) for x in bodies], [len(x.encode()) for x in bodies], [k for k, _ in read], own, last, bands]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "source", "chars", "bytes", "ending", "contexts", "word", "bands"])
 
     return run
 
@@ -336,8 +337,8 @@ def truncations(documents: DataFrame, frame: int = FRAME_WORDS) -> DataFrame:
       similarity 0.8 or more are aligned word by word; a copy that ends inside a sentence, or a word,
       where its partner goes on is cut (copy = 1); one that ends where its partner ends is not settled.
     - the others: terminality is how often a sentence closes after such words, counted over all
-      documents in a sketch of fixed size (the sentence's skeleton, the last three, two and one
-      words, the longest context with evidence wins); spike compares, for the source, how many
+      documents (the sentence's skeleton, the last three, two and one words, the longest context with
+      evidence wins); spike compares, for the source, how many
       unended and how many ended texts have this length in characters or in bytes.
 
     Extra columns are ignored.
@@ -346,9 +347,8 @@ def truncations(documents: DataFrame, frame: int = FRAME_WORDS) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("source"), "text").filter("doc_id is not null and text is not null")
     every = cut_lineage(word_counts(rows))
     words = {r.word for r in every.filter(F.col("n") >= KNOWN).orderBy(F.desc("n"), "word").limit(frame).collect()}
-    sketch = terminality_sketch(rows, words)
-    schema = "doc_id long, source string, chars int, bytes int, ending string, terminality double, word string, bands array<long>"
-    judged = cut_lineage(rows.mapInArrow(_endings(spark.sparkContext.broadcast((words, sketch))), schema))
+    schema = "doc_id long, source string, chars int, bytes int, ending string, contexts array<long>, word string, bands array<long>"
+    judged = cut_lineage(rows.mapInArrow(_endings(spark.sparkContext.broadcast(words)), schema))
     is_open = F.col("ending").isin("plain", "marked", "surely", "broken", "block")
 
     banded = judged.filter("bands is not null").select("doc_id", "chars", "ending", F.posexplode("bands").alias("band", "value"))
@@ -362,6 +362,7 @@ def truncations(documents: DataFrame, frame: int = FRAME_WORDS) -> DataFrame:
 
     counted = judged.select("source", F.col("ending").isin("plain", "marked", "surely").cast("int").alias("o"), (F.col("ending") == "ended").cast("int").alias("e"), "chars", "bytes")
     found = judged.drop("bands").join(copies.hint("merge"), "doc_id", "left")
+    found = join_small(found, cut_lineage(terminality(rows, words, judged)), ["contexts"], ["doc_id"], "left")
     found = join_small(found, cut_lineage(half_words(judged, every)), ["word"], ["doc_id"], "left").withColumn("half", F.coalesce("half", F.lit(False)))
     for unit in ("chars", "bytes"):
         lengths = counted.groupBy("source", unit).agg(F.sum("o").alias("o"), F.sum("e").alias("e"))

@@ -1,6 +1,6 @@
 import random
 
-from orrery.llm.truncation import HELD_WORDS, beginnings, ending, ends_early, is_half, truncation_by_source, truncations, word_counts
+from orrery.llm.truncation import HELD_WORDS, Contexts, beginnings, context_counts, ending, ends_early, is_half, truncation_by_source, truncations, word_counts
 
 
 def test_endings():
@@ -80,3 +80,32 @@ def test_no_word_is_dropped_from_the_counts(spark):
         assert all(counts[w] == 6 for w in rare) and counts["inform"] == 4 and "zyxwvut" not in counts
     got = {r.doc_id: r.truncated for r in truncations(df).filter("ending = 'block'").collect()}
     assert got == {len(texts) - 2: False, len(texts) - 1: True}
+
+
+def test_contexts_in_one_bucket_are_counted_apart(spark):
+    low = {}
+    for word in (f"q{i}" for i in range(100_000)):
+        seen = low.setdefault(int(Contexts(set())([word])[0][4, 0]) & 0x7FFFF, word)
+        if seen != word:
+            break
+    texts = [f"Here is {seen}. And more." for _ in range(60)] + [f"All of it was {word}"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = truncations(df).filter("ending = 'plain'").first()
+    assert got.doc_id == 60 and got.terminality == 0.1, got
+
+
+def test_context_counts_equal_plain_counting(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["the", "a", "Cat", "sits.", "7", "down."]) for _ in range(30)) for _ in range(200)]
+    keys, closes, row, _ = Contexts({"the", "a"})(texts)
+    want = {}
+    for at in range(len(row) - 1):
+        if row[at] == row[at + 1]:
+            for key in keys[:, at].view("int64").tolist():
+                seen, closed = want.get(key, (0, 0))
+                want[key] = seen + 1, closed + int(closes[at])
+    asked = {k: v for i, (k, v) in enumerate(sorted(want.items())) if i % 3 == 0}
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for most in (1 << 15, 1 << 27):
+        got = context_counts(df, {"the", "a"}, spark.createDataFrame([(k,) for k in [*asked, 77]], "key long"), most)
+        assert {r.key: (r.seen, r.closed) for r in got.collect()} == asked
