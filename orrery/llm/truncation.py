@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.mixture import source_key
-from orrery.llm.shingles import Hasher, batch_sets, mix, shingle_set
+from orrery.llm.near import components
+from orrery.llm.shingles import Hasher, batch_sets, mix, runs_of, shingle_set
 from orrery.llm.terms import terms
 from orrery.runtime import cut_lineage, join_small
 
@@ -32,6 +33,8 @@ BANDS, ROWS = 16, 4
 #: Log odds of a length's unended texts above which it is a field limit, whatever the last words; how
 #: much lesser odds count against closing words; log odds of a closing below which a text is cut anyway.
 CAP, SPIKE_WEIGHT, CLOSING = 2.5, 1.8, 2.0
+#: Endings of texts that may be cut.
+OPEN = ("plain", "marked", "surely", "broken", "block")
 _WORD = re.compile(r"[^\W_]+")
 _END = r"\s*[.!?。…]+[\"'”’»)\]*_`]*(?=\s|$|[^\x00-\x7f])|\s*[.!?。]+$|\s*\n\s*(?:\n|[-*|>]|$)"
 _CLOSE = re.compile(_END)
@@ -325,6 +328,82 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([ends_early(s, x) for s, x in zip(short, long, strict=True)], pa.int32())], ["doc_id", "cut"])
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, sig, asks, n, chars): what ends_early() needs of a pair, as keys that both texts must have.
+
+    A text asks with its last three words, and with the three before its last word and that one, as half
+    a word; it answers with each three words behind which its sentence goes on, and with each three and
+    every beginning of the next one. Keys hold the group.
+    """
+    hasher = Hasher()
+    for batch in batches:
+        k, sigs, asks, ns, chars = [], [], [], [], []
+        for sig, group, open_, text in zip(*(batch.column(c).to_pylist() for c in ("sig", "group", "open", "text")), strict=True):
+            tokens = shingle_set(text, 5, hasher)
+            if tokens is None:
+                continue
+            salt = np.uint64(group & 0xFFFFFFFFFFFFFFFF)
+            found = list(_WORD.finditer(text))
+            words = [m.group().lower() for m in found]
+            run = mix(runs_of(hasher(words), 3)[: max(0, len(words) - 3)] + salt)
+            begins = [(i, w[:j]) for i, w in enumerate(words[3:]) for j in range(1, len(w))]
+            halves = mix(run[[i for i, _ in begins]] + hasher([x for _, x in begins])) if begins else run[:0]
+            goes = np.array([not _CLOSE.match(text, m.end()) for m in found[2:-1]], dtype=bool)
+            answers = np.unique(np.concatenate([run[goes], halves]))
+            own = np.empty(0, np.uint64)
+            if open_ and ending(text)[0] in OPEN:
+                left = terms(text)
+                last = mix(runs_of(hasher(left[-4:]), 3) + salt)
+                own = np.concatenate([last[-1:], mix(last[:-1] + hasher(left[-1:]))])
+            every = np.concatenate([answers, own]).view(np.int64)
+            k.append(every)
+            asks.append(np.repeat([False, True], [len(answers), len(own)]))
+            for column, value in ((sigs, sig), (ns, len(tokens)), (chars, len(text.rstrip()))):
+                column.append(np.full(len(every), value, dtype=np.int64))
+        if k:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (k, sigs, asks, ns, chars)], ["k", "sig", "asks", "n", "chars"])
+
+
+def twins_that_go_on(rows: DataFrame, groups: DataFrame, similarity: float = 0.8, step: int = 4) -> DataFrame:
+    """(doc_id, cut = 1) of the open texts that stop inside a sentence where any near-copy of their group goes on.
+
+    rows(doc_id, text), groups(doc_id, group, open). Equal texts are one. A text's candidates are those of
+    its group that go on behind its last words and whose sets allow the similarity, from its own size
+    up, then the smaller ones. They are aligned in rounds, each of `step` times as many, until one
+    settles the text or none is left.
+    """
+    members = cut_lineage(rows.join(groups.hint("merge"), "doc_id").withColumn("sig", F.xxhash64("text")))
+    texts = cut_lineage(members.groupBy("sig").agg(F.first("text").alias("text"), F.min("group").alias("group"), F.max("open").alias("open")))
+    keys = cut_lineage(texts.select("sig", "group", "open", "text").mapInArrow(_runs, "k long, sig long, asks boolean, n long, chars long"))
+    asks = keys.filter("asks")
+    answers = keys.filter("not asks").join(asks.select("k").distinct().hint("merge"), "k", "left_semi")
+    # how many answers to a key are too small, smaller than the text, and not too large
+    marks = F.array(*(F.struct(F.lit(i).alias("mark"), (F.col("n") * size).alias("at"), F.lit(kind).alias("kind")) for i, size, kind in ((0, similarity - 1e-9, 0), (1, 1.0, 0), (2, 1 / similarity + 1e-9, 2))))
+    line = answers.select("k", "sig", "chars", F.lit(3).alias("mark"), F.col("n").cast("double").alias("at"), F.lit(1).alias("kind"))
+    line = line.unionByName(asks.select("k", "sig", "chars", F.explode(marks).alias("m")).select("k", "sig", "chars", "m.*"))
+    before = Window.partitionBy("k").orderBy("at", "kind", "sig").rowsBetween(Window.unboundedPreceding, 0)
+    line = cut_lineage(line.withColumn("place", F.sum((F.col("kind") == 1).cast("long")).over(before)))
+    answers = line.filter("mark = 3").select("k", "place", F.col("sig").alias("other"), F.col("chars").alias("other_chars"))
+    at = lambda i: F.max(F.when(F.col("mark") == i, F.col("place")))
+    asks = line.filter("mark < 3").groupBy("k", "sig", "chars").agg(at(0).alias("low"), at(1).alias("own"), at(2).alias("high")).filter("high > low")
+    asks = cut_lineage(asks)
+    own, low, high = F.col("own"), F.col("low"), F.col("high")
+    cut, done, many = None, 0, step
+    while asks.filter(high - low > done).limit(1).count():
+        turns = asks.filter(high - low > done).withColumn("turn", F.explode(F.sequence(F.lit(done + 1).cast("long"), F.least(high - low, F.lit(done + many).cast("long")))))
+        turns = turns.withColumn("place", F.when(own + F.col("turn") <= high, own + F.col("turn")).otherwise(low + F.col("turn") - (high - own)))
+        pairs = turns.join(answers.hint("merge"), ["k", "place"]).filter("other <> sig and other_chars >= chars").select("sig", "other").distinct()
+        pairs = pairs.join(texts.select("sig", "text").hint("merge"), "sig").join(texts.select(F.col("sig").alias("other"), F.col("text").alias("other_text")).hint("merge"), "other")
+        found = pairs.select(F.col("sig").alias("doc_id"), "text", "other_text").mapInArrow(_aligned, "doc_id long, cut int").filter("cut = 1")
+        found = cut_lineage(found.select(F.col("doc_id").alias("sig"), "cut").distinct())
+        cut = found if cut is None else cut.unionByName(found)
+        asks = cut_lineage(asks.join(found.select("sig").hint("merge"), "sig", "left_anti"))
+        done, many = done + many, many * step
+    if cut is None:
+        return members.limit(0).select("doc_id", F.lit(1).alias("cut"))
+    return join_small(members.select("doc_id", "sig"), cut, ["sig"], ["doc_id"]).select("doc_id", "cut")
+
+
 def truncations(documents: DataFrame, frame: int = FRAME_WORDS) -> DataFrame:
     """(doc_id, source, ending, terminality, copy, spike, truncated) of every document with a text.
 
@@ -333,8 +412,9 @@ def truncations(documents: DataFrame, frame: int = FRAME_WORDS) -> DataFrame:
     ending is read first (see ending()). For texts that do not end in a stop:
 
     - near-copies: documents meet in min-hash bands over runs of five words; in each band the longest
-      one is everyone's partner, so a band costs one pair a document however many share it. Pairs of
-      similarity 0.8 or more are aligned word by word; a copy that ends inside a sentence, or a word,
+      one is everyone's first partner; texts that it does not settle go on to every other one of their group
+      that goes on behind their last words (twins_that_go_on). Pairs of similarity 0.8 or more are
+      aligned word by word; a copy that ends inside a sentence, or a word,
       where its partner goes on is cut (copy = 1); one that ends where its partner ends is not settled.
     - the others: terminality is how often a sentence closes after such words, counted over all
       documents (the sentence's skeleton, the last three, two and one words, the longest context with
@@ -349,16 +429,25 @@ def truncations(documents: DataFrame, frame: int = FRAME_WORDS) -> DataFrame:
     words = {r.word for r in every.filter(F.col("n") >= KNOWN).orderBy(F.desc("n"), "word").limit(frame).collect()}
     schema = "doc_id long, source string, chars int, bytes int, ending string, contexts array<long>, word string, bands array<long>"
     judged = cut_lineage(rows.mapInArrow(_endings(spark.sparkContext.broadcast(words)), schema))
-    is_open = F.col("ending").isin("plain", "marked", "surely", "broken", "block")
+    is_open = F.col("ending").isin(*OPEN)
 
     banded = judged.filter("bands is not null").select("doc_id", "chars", "ending", F.posexplode("bands").alias("band", "value"))
-    longest = banded.groupBy("band", "value").agg(F.max(F.struct("chars", "doc_id")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = banded.groupBy("band", "value").agg(
+        F.max(F.struct("chars", "doc_id")).alias("top"), F.min("doc_id").alias("least"), F.max(is_open).alias("asked"), F.count(F.lit(1)).alias("n")
+    )
+    longest = cut_lineage(buckets.filter("n > 1 and asked").drop("n", "asked"))
     asked = banded.filter(is_open)
     pairs = asked.join(longest.hint("merge"), ["band", "value"]).filter(F.col("top.doc_id") != F.col("doc_id")).filter(F.col("top.chars") >= F.col("chars"))
     pairs = pairs.select("doc_id", F.col("top.doc_id").alias("other")).distinct()
     texts = rows.select("doc_id", "text")
     pairs = pairs.join(texts.hint("merge"), "doc_id").join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text")).hint("merge"), "other")
-    copies = pairs.select("doc_id", "text", "other_text").mapInArrow(_aligned, "doc_id long, cut int").groupBy("doc_id").agg(F.max("cut").alias("copy"))
+    copies = pairs.select("doc_id", "text", "other_text").mapInArrow(_aligned, "doc_id long, cut int")
+    pairs = cut_lineage(copies.groupBy("doc_id").agg(F.max("cut").alias("copy")))
+    met = banded.join(longest.hint("merge"), ["band", "value"]).filter(F.col("least") != F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    groups = components(met).withColumnRenamed("node", "doc_id")
+    groups = groups.join(pairs.filter("copy = 1").hint("merge"), "doc_id", "left").select("doc_id", "group", F.col("copy").isNull().alias("open"))
+    more = twins_that_go_on(texts, groups).select("doc_id", F.col("cut").alias("copy"))
+    copies = pairs.unionByName(more).groupBy("doc_id").agg(F.max("copy").alias("copy"))
 
     counted = judged.select("source", F.col("ending").isin("plain", "marked", "surely").cast("int").alias("o"), (F.col("ending") == "ended").cast("int").alias("e"), "chars", "bytes")
     found = judged.drop("bands").join(copies.hint("merge"), "doc_id", "left")

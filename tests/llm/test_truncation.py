@@ -1,6 +1,6 @@
 import random
 
-from orrery.llm.truncation import HELD_WORDS, Contexts, beginnings, context_counts, ending, ends_early, is_half, truncation_by_source, truncations, word_counts
+from orrery.llm.truncation import HELD_WORDS, Contexts, beginnings, context_counts, ending, ends_early, is_half, truncation_by_source, truncations, twins_that_go_on, word_counts
 
 
 def test_endings():
@@ -109,3 +109,18 @@ def test_context_counts_equal_plain_counting(spark):
     for most in (1 << 15, 1 << 27):
         got = context_counts(df, {"the", "a"}, spark.createDataFrame([(k,) for k in [*asked, 77]], "key long"), most)
         assert {r.key: (r.seen, r.closed) for r in got.collect()} == asked
+
+
+def test_the_twin_that_goes_on_is_found_behind_longer_copies(spark):
+    words = [f"w{i}" for i in range(80)]
+    text = " ".join(words)
+    # the longest of every band has too much else to be a near-copy
+    rows = [(i, " ".join([*words, *(f"more{i}x{j}" for j in range(30))]) + ".") for i in range(60)]
+    rows += [(100, text), (101, text), (102, text + " goes on here."), (103, text[:-1] + "x"), (104, "Quite another text that nobody ever copied in this table")]
+    rows += [(200 + i, text.replace("w20 ", f"v{i} ") + ".") for i in range(30)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = {r.doc_id: r.copy for r in truncations(df).collect()}
+    assert got[100] == got[101] == 1 and got[103] != 1 and got[104] is None
+    groups = spark.createDataFrame([(i, 7, True) for i, _ in rows], "doc_id long, group long, open boolean")
+    for step in (2, 4):
+        assert {r.doc_id for r in twins_that_go_on(df.select("doc_id", "text"), groups, step=step).collect()} == {100, 101}
