@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one bucket key from which its rows are spread over several runs.
-RUN_ROWS = 200_000
-#: A key is hot only above this share of all rows, so there are at most 1 / HOT_SHARE hot keys.
-HOT_SHARE = 1 / 2048
+from orrery.runtime import at_most, cut_lineage, parallelism
+
+#: Rows of one sorted run, on average; a bucket with more rows is dealt into several runs, whatever the data's size.
+RUN_ROWS = 8_192
+#: Buckets of several runs whose numbers of runs (two numbers each) may be broadcast; beyond that they are joined with salts.
+RUN_BUCKETS = 1_000_000
 
 
 class LoserTree:
@@ -104,69 +106,57 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield table, _starts(table, keys)
 
 
-def _seek(keys: list[str], n: str):
-    """Of one run sorted by group and score, the first n of each group; the rest is skipped by position."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.Table | None = None
-        seen = 0
-        for batch in batches:
-            size = batch.num_rows
-            if not size:
-                continue
-            table = pa.Table.from_batches([batch])
-            joined = pa.concat_tables([last, table]).combine_chunks() if last is not None else table
-            shift = joined.num_rows - size
-            starts = _starts(joined, keys)
-            first = np.repeat(starts, np.diff(np.append(starts, joined.num_rows)))[shift:] - shift
-            rank = np.arange(size) - np.maximum(first, 0)
-            rank += np.where(first < 0, seen, 0)
-            keep = rank < table.column(n).to_numpy()
-            seen = int(rank[-1]) + 1
-            last = table.slice(size - 1)
-            yield from table.append_column("rank", pa.array(rank + 1, pa.int32())).filter(pa.array(keep)).combine_chunks().to_batches()
-
-    return cut
-
-
 def _merge(keys: list[str], n: str, order: list[str], columns: list[str]):
-    """Merge the runs of each group with a loser tree, n rows deep, then go to the next group."""
+    """Merge the sorted runs of each group, n rows deep, then seek the next group by its offset.
+
+    A group of one run gives its first n rows by position; several runs go through a loser tree.
+    """
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole_groups(batches, keys):
             ends = np.append(starts[1:], table.num_rows)
-            depth = table.column(n).to_numpy()
+            depth = table.column(n).to_numpy()[starts]
             run = table.column("run").to_numpy()
-            heads = list(zip(*(table.column(c).to_pylist() for c in order), strict=True))
-            take: list[int] = []
-            rank: list[int] = []
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                edges = [a, *(a + 1 + np.flatnonzero(np.diff(run[a:b]))).tolist(), b]
-                bounds = list(zip(edges, edges[1:], strict=False))
-                for place, (r, at) in enumerate(merge_runs([heads[x:y] for x, y in bounds], int(depth[a]))):
-                    take.append(bounds[r][0] + at)
-                    rank.append(place + 1)
-            found = table.select(columns).take(pa.array(take, pa.int64()))
-            yield from found.append_column("rank", pa.array(rank, pa.int32())).combine_chunks().to_batches()
+            single = run[starts] == run[ends - 1]
+            many = np.minimum(ends - starts, depth)[single]
+            first = np.repeat(starts[single], many)
+            rank = np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)
+            take, place = (first + rank).tolist(), (rank + 1).tolist()
+            for a, b, deep in zip(starts[~single].tolist(), ends[~single].tolist(), depth[~single].tolist(), strict=True):
+                heads = list(zip(*(table.column(c).slice(a, b - a).to_pylist() for c in order), strict=True))
+                edges = [0, *(1 + np.flatnonzero(np.diff(run[a:b]))).tolist(), b - a]
+                found = merge_runs([heads[x:y] for x, y in zip(edges, edges[1:], strict=False)], deep)
+                take.extend(a + edges[r] + at for r, at in found)
+                place.extend(range(1, len(found) + 1))
+            out = table.select(columns).take(pa.array(take, pa.int64()))
+            yield from out.append_column("rank", pa.array(place, pa.int32())).combine_chunks().to_batches()
 
     return merged
 
 
-def hot_keys(rows: DataFrame, key: str, run_rows: int = RUN_ROWS) -> DataFrame:
-    """(key, runs) of the keys with more rows than a run may have and more than HOT_SHARE of all rows.
+def run_counts(rows: DataFrame, bucket: str, run_rows: int = RUN_ROWS) -> DataFrame:
+    """(bucket, runs) of the buckets with more rows than one run has; a count of one column, written out."""
+    counted = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > run_rows)
+    return cut_lineage(counted.select(bucket, F.ceil(F.col("n") / run_rows).cast("int").alias("runs")))
 
-    At most 1 / HOT_SHARE rows, whatever the data: safe to broadcast.
-    """
-    least = max(run_rows, int(rows.count() * HOT_SHARE) + 1)
-    hot = rows.groupBy(key).count().filter((F.col("count") > least) & F.col(key).isNotNull())
-    found = [(r[0], int(r[1] // least) + 1) for r in hot.collect()]
-    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("runs", T.IntegerType())])
-    return rows.sparkSession.createDataFrame(found, schema)
+
+def with_run(rows: DataFrame, runs: DataFrame, bucket: str, tie: str, most: int = RUN_BUCKETS) -> DataFrame:
+    """rows with `run`: 0, or in a bucket of several runs the one that the hash of `tie` names. A null bucket is a bucket."""
+    named = runs.select(F.col(bucket).alias("__bucket"), F.col("runs").alias("__runs"))
+    if at_most(named, most):
+        joined = rows.join(F.broadcast(named), F.col(bucket).eqNullSafe(F.col("__bucket")), "left")
+    else:
+        salts = parallelism(rows.sparkSession)
+        salted = rows.withColumn("__salt", F.pmod(F.xxhash64(tie), F.lit(salts)).cast("int"))
+        copies = named.withColumn("__own", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = salted.join(copies, F.col(bucket).eqNullSafe(F.col("__bucket")) & (F.col("__salt") == F.col("__own")), "left").drop("__salt", "__own")
+    run = F.coalesce(F.pmod(F.xxhash64(tie), F.col("__runs")), F.lit(0)).cast("int")
+    return joined.withColumn("run", run).drop("__bucket", "__runs")
 
 
 def top_n_per_group(
     rows: DataFrame, keys: list[str], order: list[Column], tie: str, n: Column, bucket: str | None = None,
-    prepare=None, hot: DataFrame | None = None, run_rows: int = RUN_ROWS,
+    prepare=None, runs: DataFrame | None = None, run_rows: int = RUN_ROWS, columns: list[str] | None = None,
 ) -> DataFrame:
     """The n first rows of every group, with their rank from 1, in one reproducible order.
 
@@ -176,45 +166,34 @@ def top_n_per_group(
       by `tie`, a column that is unique within a group.
     n: rows to keep of a group, constant in it. None or less than 1 keeps nothing.
     bucket: one of the keys whose hash spreads the groups (default the first). A bucket with more
-      than `run_rows` rows and over 1/2048 of all is split by `tie` into several runs.
-    prepare: f(rows with column run) -> rows, done where all rows of one (bucket, tie) are together,
+      than `run_rows` rows is split by `tie` into several runs, so no run grows with the data.
+    prepare: f(rows with column run) -> rows, done where all rows of one (bucket, run) are together,
       e.g. to keep the newest version or to attach attributes of the bucket; it must keep `run`.
-    hot: the result of hot_keys(rows, bucket), where the caller has it already.
-
-    Each run is sorted by group and order and cut to n rows a group in place, by position, so hot
-    groups shrink before anything is merged. Runs of one group are merged by a loser tree that stops
-    after n rows and goes on with the next group. Groups that have one run need no second shuffle.
-    Empty input gives an empty result. Extra columns are carried along; the names run, rank and
-    those beginning with __ are the operator's own.
+    runs: the result of run_counts(rows, bucket), where the caller has it already.
+    columns: what to carry beside the keys and `tie` (default all).
+
+    A run holds the rows of one (bucket, run), sorted by group and order and no deeper than n. The runs
+    of each group meet in one task, and every group comes out of their merge, which stops after n rows
+    and seeks the next group. A group has at most runs * n rows there. Empty input gives an empty
+    result. Extra columns are carried along; the names run, rank and those beginning with __ are
+    the operator's own.
     """
     bucket = bucket or keys[0]
-    spark = rows.sparkSession
-    hot = hot_keys(rows, bucket, run_rows) if hot is None else hot
-    marked = rows.join(F.broadcast(hot), bucket, "left")
-    marked = marked.withColumn("run", F.when(F.col("runs").isNull(), 0).otherwise(F.pmod(F.xxhash64(tie), F.col("runs"))).cast("int"))
-    any_hot = bool(hot.take(1))
+    marked = with_run(rows, run_counts(rows, bucket, run_rows) if runs is None else runs, bucket, tie)
     names = [f"__o{i}" for i in range(len(order))]
-
-    def runs_of(part: DataFrame) -> DataFrame:
-        part = prepare(part.drop("runs")) if prepare else part.drop("runs").repartition(bucket, "run")
-        part = part.withColumns(dict(zip(names, order, strict=True)) | {"__n": n.cast("int")})
-        good = F.col("__n") > 0
-        for name in names:
-            good &= F.col(name).isNotNull()
-        part = part.filter(good).sortWithinPartitions(bucket, "run", *keys, *names, tie)
-        schema = T.StructType([*part.schema.fields, T.StructField("rank", T.IntegerType())])
-        return part.mapInArrow(_seek([bucket, "run", *keys], "__n"), schema)
-
-    single = runs_of(marked.filter(F.col("runs").isNull()) if any_hot else marked)
-    out = [c for c in single.columns if c not in ("run", "rank", "__n", *names)]
-    result = single.select(*out, "rank")
-    if any_hot:
-        several = runs_of(marked.filter(F.col("runs").isNotNull())).drop("rank")
-        several = several.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
-        several = several.sortWithinPartitions(*keys, "run", *names, tie)
-        schema = T.StructType([*several.select(*out).schema.fields, T.StructField("rank", T.IntegerType())])
-        result = result.unionByName(several.mapInArrow(_merge(keys, "__n", [*names, tie], out), schema))
-    return result
+    part = prepare(marked) if prepare else marked.repartition(bucket, "run")
+    part = part.withColumns(dict(zip(names, order, strict=True)) | {"__n": n.cast("int")})
+    good = F.col("__n") > 0
+    for name in names:
+        good &= F.col(name).isNotNull()
+    run = Window.partitionBy(bucket, "run", *(k for k in keys if k != bucket)).orderBy(*names, tie)
+    part = part.filter(good).withColumn("__at", F.row_number().over(run)).filter("__at <= __n").drop("__at")
+    if columns is not None:
+        part = part.select(*dict.fromkeys([*keys, tie, *columns]), "run", "__n", *names)
+    part = part.repartition(*keys).sortWithinPartitions(*keys, "run", *names, tie)
+    out = [c for c in part.columns if c not in ("run", "__n", *names)]
+    schema = T.StructType([*part.select(*out).schema.fields, T.StructField("rank", T.IntegerType())])
+    return part.mapInArrow(_merge(keys, "__n", [*names, tie], out), schema)
 
 
 def top_hits(hits: DataFrame, searches: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
@@ -231,8 +210,8 @@ def top_hits(hits: DataFrame, searches: DataFrame, run_rows: int = RUN_ROWS) ->
     hits = hits.select("search_id", "rowid", *keys, "score", "scored_at").filter("search_id is not null and rowid is not null")
     grouped = searches.filter("search_id is not null and size(group_keys) > 0 and agg_k > 0 and agg_op in ('$min_k', '$max_k')")
     plans = grouped.groupBy("search_id").agg(F.min(F.struct("group_keys", "agg_op", "agg_k")).alias("p")).select("search_id", "p.*")
-    hot = hot_keys(hits, "search_id", run_rows)
-    plans = plans.join(F.broadcast(hot), "search_id", "left")
+    runs = run_counts(hits, "search_id", run_rows)
+    plans = plans.join(F.broadcast(runs) if at_most(runs, RUN_BUCKETS) else runs, "search_id", "left")
     plans = plans.withColumn("run", F.explode(F.sequence(F.lit(0), F.coalesce("runs", F.lit(1)) - 1))).drop("runs")
 
     def prepare(part: DataFrame) -> DataFrame:
@@ -241,9 +220,9 @@ def top_hits(hits: DataFrame, searches: DataFrame, run_rows: int = RUN_ROWS) ->
         part = part.withColumn("__v", F.row_number().over(newest)).filter("__v = 1").drop("__v")
         for key in keys:
             part = part.withColumn(key, F.when(F.array_contains("group_keys", key), F.col(key)))
-        return part
+        return part.drop("group_keys")
 
     score = F.when(~F.isnan("score"), F.col("score"))
     score = F.when(F.col("agg_op") == "$max_k", F.lit(0.0).cast("float") - score).otherwise(score + F.lit(0.0).cast("float"))
-    top = top_n_per_group(hits, ["search_id", *keys], [score], "rowid", F.col("agg_k"), prepare=prepare, hot=hot)
+    top = top_n_per_group(hits, ["search_id", *keys], [score], "rowid", F.col("agg_k"), prepare=prepare, runs=runs, columns=["score"])
     return top.select("search_id", *keys, "rowid", "score", "rank")

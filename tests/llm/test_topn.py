@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from orrery.llm.topn import LoserTree, merge_runs, top_hits, top_n_per_group
+from orrery.llm.topn import LoserTree, merge_runs, run_counts, top_hits, top_n_per_group, with_run
 
 HITS = "search_id long, rowid long, category string, lang string, year long, score float, scored_at long, score2 long"
 SEARCHES = "search_id long, group_keys array<string>, agg_op string, agg_k int, category string"
@@ -55,7 +55,7 @@ def test_top_hits_against_brute_force(spark):
     h, s = spark.createDataFrame(hits, HITS), spark.createDataFrame(searches, SEARCHES)
     # a hit whose newest version is a tie between a score and NaN takes NaN, the larger in Spark's order
     want = brute(hits, searches)
-    for run_rows in (200_000, 40):
+    for run_rows in (200_000, 40, 3):
         got = top_hits(h, s, run_rows)
         rows = [(r.search_id, r.rowid) for r in got.collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want, run_rows
@@ -70,7 +70,17 @@ def test_generic_groups_with_runs_and_extra_columns(spark):
     for g in {r[0] for r in rows}:
         for i, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]))[:7]):
             want.add((g, r[2], i + 1))
-    for run_rows in (10_000, 100):
+    for run_rows in (10_000, 100, 5):
         got = top_n_per_group(df, ["g"], [F.col("o")], "id", F.lit(7), run_rows=run_rows).collect()
         assert {(r.g, r.id, r["rank"]) for r in got} == want and len(got) == len(want)
         assert got[0]["count"] == "extra"
+
+
+def test_runs_are_bounded_and_null_buckets_are_split(spark):
+    rows = [(None if i % 2 else "x", i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, id long")
+    runs = run_counts(df, "g", 100)
+    assert {(r.g, r.runs) for r in runs.collect()} == {(None, 20), ("x", 20)}
+    for most in (10, 1):
+        sizes = with_run(df, runs, "g", "id", most).groupBy("g", "run").count().collect()
+        assert len(sizes) == 40 and max(r["count"] for r in sizes) < 200 and sum(r["count"] for r in sizes) == 4000
