@@ -1,7 +1,9 @@
 import random
 
+import pandas as pd
 import pytest
 
+from orrery.llm import near
 from orrery.llm.near import Near, components, near_groups, near_pairs
 from orrery.llm.terms import terms
 
@@ -83,12 +85,28 @@ def grouped(pairs, keys):
 def test_components_of_paths_stars_and_random_graphs(spark):
     rnd = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 80)] + [(rnd.randrange(1000, 1100), rnd.randrange(1000, 1100)) for _ in range(60)] + [(7, 3), (7, 3)]
-    edges = [(a, b) for a, b in edges if a != b]
+    edges += [(3000, 2000 + i) for i in range(50)]  # a hub above its leaves
+    edges += [(5000 + 20 * i + j, 5000 + 20 * i + j + 1) for i in range(20) for j in range(19)] + [(5000 + 20 * i + j, 5000 + 20 * (i + 1) + j) for i in range(19) for j in range(20)]
+    edges += [(4, 4), (None, 5), (6, None)]
     got = {r.node: r.group for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    edges = [(a, b) for a, b in edges if a != b and a is not None and b is not None]
     assert got == grouped(edges, {x for e in edges for x in e})
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_shuffled_path_settle_in_few_rounds(spark, monkeypatch):
+    names = list(range(100_000))
+    random.Random(8).shuffle(names)
+    edges = pd.DataFrame({"a": names[:-1], "b": names[1:]})
+    rounds = []
+    marks = near._marks
+    monkeypatch.setattr(near, "_marks", lambda edges: rounds.append(1) or marks(edges))
+    got = components(spark.createDataFrame(edges)).agg({"group": "max", "node": "count"}).first()
+    assert tuple(got) == (100_000, 0) or tuple(got) == (0, 100_000)
+    assert len(rounds) <= 20, len(rounds)
+    print("rounds", len(rounds))
+
+
 def test_groups_equal_brute_force(spark):
     rows = corpus(9)
     df = spark.createDataFrame(rows, "key long, text string, n string")
