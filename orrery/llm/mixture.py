@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.terms import terms
-from orrery.runtime import cut_lineage, join_small
+from orrery.runtime import BROADCAST_ROWS, at_most, cut_lineage, join_small
+
+#: Documents of one source and size that are ranked in one task, on average.
+LOT_ROWS = 50_000
 
 
 def source_key(column: str = "source") -> Column:
@@ -62,9 +65,11 @@ class Mixture:
     goals. The dual is convex with one multiplier a source, and the rate of a document of size t is
     min(max_repeats, exp(lambda * t / mean)). As it depends on source and size only, the documents are
     first gathered to a table of (source, size, documents), on which each Newton step is one
-    aggregation over all sources at once; a bracket keeps steps that overshoot in place. Rates become
-    whole copies by cumulative rounding over the sizes of a source, spread over its documents by hash,
-    so the sum is met up to about one document. Documents of size 0 are not used.
+    aggregation over all sources at once; a bracket keeps steps that overshoot in place. A source whose
+    dual has no finite solution, since all copies together stay below its weight, is found in the first
+    step: it is short and uses max_repeats of each. Rates become whole copies by cumulative rounding over
+    the sizes of a source, spread over its documents by hash, so the sum is met up to about one
+    document. Documents of size 0 are not used.
     """
 
     def __init__(self, documents: DataFrame, targets: DataFrame, vocabulary: str | None = None, rounds: int = 60, precision: float = 1e-9):
@@ -78,25 +83,37 @@ class Mixture:
         self.total = self.cells.agg(F.sum("mass")).first()[0] or 0
         per = self.cells.filter("source is not null").groupBy("source").agg(F.sum("mass").alias("available"), F.sum("documents").alias("documents"), F.max("size").alias("longest"))
         goals = named.join(per, "source", "left").fillna(0, ["available", "documents", "longest"])
-        wanted = F.col("weight") * F.lit(float(self.total))
-        capacity = F.col("max_repeats") * F.col("available")
-        self.goals = goals.withColumns({"wanted": wanted, "short": capacity < wanted, "goal": F.least(wanted, capacity.cast("double"))})
+        self.goals = goals.withColumn("wanted", F.col("weight") * F.lit(float(self.total)))
         self.rounds, self.precision = rounds, precision
+        self._solved: DataFrame | None = None
 
     def multipliers(self) -> DataFrame:
-        """(source, weight, max_repeats, ..., unit, multiplier) after Newton's iteration; multiplier null where all copies are used."""
+        """(source, weight, max_repeats, ..., wanted, goal, short, unit, multiplier) after Newton's iteration; multiplier null where all copies are used."""
+        if self._solved is None:
+            self._solved = self._solve()
+        return self._solved
+
+    def _solve(self) -> DataFrame:
         unit = F.when(F.col("available") > 0, F.col("available") / F.col("documents")).otherwise(F.lit(1.0))
-        state = self.goals.withColumns({"unit": unit, "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "multiplier": F.lit(0.0)})
-        state = cut_lineage(state.withColumn("open", (~F.col("short")) & (F.col("available") > 0) & (F.col("goal") > 0)))
+        none = F.lit(None).cast("double")
+        state = self.goals.withColumns({"unit": unit, "low": none, "high": none, "multiplier": F.lit(0.0), "goal": F.col("wanted"), "short": F.lit(False)})
+        state = cut_lineage(state.withColumn("open", F.col("wanted") > 0))
         cells = self.cells.filter("size > 0")
-        for step in range(self.rounds):
+        narrow = at_most(state, BROADCAST_ROWS)  # one row a source, in every step
+        for _ in range(self.rounds):
             x = F.col("size") / F.col("unit")
             power = F.least(F.col("multiplier") * x, F.lit(700.0))
             rate = F.least(F.exp(power), F.col("max_repeats").cast("double"))
             slope = F.when(F.exp(power) < F.col("max_repeats"), rate * x).otherwise(F.lit(0.0))
-            joined = join_small(cells, state.filter("open").select("source", "unit", "multiplier", "max_repeats"), ["source"], ["size"])
-            sums = joined.groupBy("source").agg(F.sum(rate * F.col("mass")).alias("got"), F.sum(slope * F.col("mass")).alias("slope"))
-            state = state.join(sums, "source", "left")
+            asked = state.filter("open").select("source", "unit", "multiplier", "max_repeats", "wanted")
+            joined = cells.join(F.broadcast(asked), "source") if narrow else join_small(cells, asked, ["source"], ["size"])
+            sums = joined.groupBy("source").agg(F.sum(rate * F.col("mass")).alias("got"), F.sum(slope * F.col("mass")).alias("slope"), F.sum(F.col("max_repeats") * F.col("mass")).alias("most"))
+            state = state.join(sums, "source", "left").fillna(0, ["got", "slope", "most"])
+            # the dual has no finite solution where all copies together stay below the goal
+            state = state.withColumn("never", F.col("open") & (F.col("most") < F.col("wanted")))
+            state = state.withColumns({
+                "goal": F.when(F.col("never"), F.col("most").cast("double")).otherwise(F.col("goal")), "short": F.col("short") | F.col("never"), "open": F.col("open") & ~F.col("never"),
+            }).drop("never")
             gap = F.col("got") - F.col("goal")
             near = F.abs(gap) <= F.col("goal") * self.precision
             low = F.when(F.col("open") & (gap < 0), F.col("multiplier")).otherwise(F.col("low"))
@@ -108,7 +125,7 @@ class Mixture:
             step_to = F.when(inside, newton).otherwise(F.coalesce(middle, newton))
             stuck = (F.col("high") - F.col("low")) <= F.abs(F.col("multiplier")) * 1e-15
             state = state.withColumn("multiplier", F.when(F.col("open") & ~near, step_to).otherwise(F.col("multiplier")))
-            state = state.withColumn("open", F.col("open") & ~near & ~F.coalesce(stuck, F.lit(False))).drop("got", "slope")
+            state = state.withColumn("open", F.col("open") & ~near & ~F.coalesce(stuck, F.lit(False))).drop("got", "slope", "most")
             state = cut_lineage(state)
             if not state.filter("open").take(1):
                 break
@@ -128,28 +145,33 @@ class Mixture:
         # one more copy for as many documents of each size as the running sum of fractions asks for
         cells = cells.withColumn("due", F.floor(F.sum(part).over(by_size) + 0.5))
         cells = cells.withColumn("extra", (F.col("due") - F.lag("due", 1, 0).over(Window.partitionBy("source").orderBy("size"))).cast("long"))
-        cells = cells.select("source", "size", "base", "extra", "documents", "max_repeats")
-        rows = self.sized.filter("size > 0 and source is not null").withColumn("lot", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
-        # a cell may hold a third of all documents: share its extra copies among 64 lots, then rank in each lot
-        lots = rows.groupBy("source", "size", "lot").agg(F.count(F.lit(1)).alias("n"))
+        # a cell may hold a third of all documents: share its extra copies among lots of bounded size, then rank in each lot
+        cells = cells.withColumn("lots", F.ceil(F.col("documents") / LOT_ROWS).cast("int")).select("source", "size", "base", "extra", "documents", "max_repeats", "lots")
+        rows = self.sized.filter("size > 0 and source is not null")
+        rows = join_small(rows, cells, ["source", "size"], ["doc_id"]).withColumn("lot", F.pmod(F.xxhash64("doc_id"), F.col("lots")).cast("int"))
+        lots = rows.groupBy("source", "size", "lot", "extra", "documents").agg(F.count(F.lit(1)).alias("n"))
         before = Window.partitionBy("source", "size").orderBy("lot").rowsBetween(Window.unboundedPreceding, 0)
-        lots = lots.join(cells, ["source", "size"]).withColumn("upto", F.sum("n").over(before))
+        lots = lots.withColumn("upto", F.sum("n").over(before))
         share = lambda n: F.floor(n * F.col("extra") / F.col("documents") + 0.5)
-        lots = lots.withColumn("more", share(F.col("upto")) - share(F.col("upto") - F.col("n"))).select("source", "size", "lot", "base", "more", "max_repeats")
+        lots = lots.withColumn("more", share(F.col("upto")) - share(F.col("upto") - F.col("n"))).select("source", "size", "lot", "more")
         order = Window.partitionBy("source", "size", "lot").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id")
         ranked = rows.withColumn("place", F.row_number().over(order)).join(lots, ["source", "size", "lot"])
         copies = F.least(F.col("base") + F.when(F.col("place") <= F.col("more"), 1).otherwise(0), F.col("max_repeats")).cast("int")
         return ranked.select("doc_id", "source", "size", copies.alias("copies")).filter("copies > 0")
 
     def report(self) -> DataFrame:
-        """(source, weight, max_repeats, available, wanted, short, reached, share, most_copies): what each source really holds."""
+        """(source, weight, max_repeats, available, longest, wanted, goal, short, reached, share, most_copies): what each source really holds.
+
+        short: all copies together stay below its weight, so reached is below wanted. reached is within
+        one document (longest) of goal.
+        """
         used = self.copies().groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("reached"), F.max("copies").alias("most_copies"))
-        rows = cut_lineage(self.goals.join(used, "source", "left").fillna(0, ["reached", "most_copies"]))
+        rows = cut_lineage(self.multipliers().join(used, "source", "left").fillna(0, ["reached", "most_copies"]))
         every = rows.agg(F.sum("reached")).first()[0] or 0
         share = F.col("reached") / F.lit(float(every)) if every else F.lit(0.0)
-        return rows.select("source", "weight", "max_repeats", "available", "wanted", "short", "reached", share.alias("share"), "most_copies")
+        return rows.select("source", "weight", "max_repeats", "available", "longest", "wanted", "goal", "short", "reached", share.alias("share"), "most_copies")
 
 
 def short_sources(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source): targets that cannot reach their weight, in terms: max_repeats * available < weight * all."""
-    return Mixture(documents, targets).goals.filter("short").select("source")
+    """(source): targets that the balanced mixture, sized in terms, leaves below their weight with all copies used."""
+    return Mixture(documents, targets).report().filter(F.col("short") & (F.col("reached") < F.col("wanted"))).select("source")

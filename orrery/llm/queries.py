@@ -109,6 +109,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), VOCABULARY).report()
 
 
+def p7_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture sized in terms: what each source has, whether it is short, and whether its goal and its cap are kept."""
+    from orrery.llm.mixture import Mixture
+
+    rows = Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report()
+    met = F.abs(F.col("reached") - F.col("goal")) <= F.greatest("longest", F.lit(1))
+    return rows.select("source", "available", F.round("goal", 3).alias("goal"), "short", met.alias("met"), (F.col("most_copies") <= F.col("max_repeats")).alias("capped"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.truncation import truncations
 
@@ -122,7 +131,7 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_by_source(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_groups": p5_groups, "p6_leaks": p6_leaks, "p6_found": p6_found, "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sources": p8_sources}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_groups": p5_groups, "p6_leaks": p6_leaks, "p6_found": p6_found, "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_terms": p7_terms, "p8_found": p8_found, "p8_sources": p8_sources}
 
 SQL: dict[str, str] = {}
 
@@ -219,3 +228,33 @@ s AS (SELECT source, sum(n) AS n FROM d GROUP BY source)
 SELECT m.source FROM mix_targets m LEFT JOIN s ON s.source = m.source
 WHERE m.max_repeats * coalesce(s.n, 0) < m.weight * (SELECT sum(n) FROM d)
 """
+
+SQL["p7_terms"] = r"""
+WITH d AS (
+  SELECT lower(trim(source, E' \t\n\r')) AS source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) END AS n FROM documents),
+s AS (SELECT source, sum(n) AS n FROM d GROUP BY source),
+g AS (
+  SELECT m.source, coalesce(s.n, 0)::BIGINT AS available, m.weight * (SELECT sum(n) FROM d)::DOUBLE AS wanted, (m.max_repeats * coalesce(s.n, 0))::DOUBLE AS most
+  FROM mix_targets m LEFT JOIN s ON s.source = m.source)
+SELECT source, available, round(least(wanted, most), 3) AS goal, most < wanted AS short, true AS met, true AS capped FROM g
+"""
+
+SQL["p5_groups"] = r"""
+WITH RECURSIVE texts AS (
+  SELECT 'document' AS field, rowid AS key, document AS text FROM records
+  UNION ALL SELECT 'overview', movie_key, overview FROM movies),
+words AS (SELECT field, key, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM texts WHERE text IS NOT NULL),
+runs AS (SELECT DISTINCT field, key, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT field, key, w, unnest(range(1, len(w) - 3)) AS i FROM words)),
+sets AS (SELECT field, key, count(*) AS n, string_agg(s, '|' ORDER BY s) AS whole FROM runs GROUP BY ALL),
+classes AS (SELECT field, key, n, min(key) OVER (PARTITION BY field, md5(whole)) AS rep, count(*) OVER (PARTITION BY field, md5(whole)) AS copies FROM sets),
+heads AS (SELECT r.field, r.key, r.s, c.n FROM runs r JOIN classes c ON c.field = r.field AND c.key = r.key AND c.rep = c.key),
+common AS (SELECT a.field, a.key AS a, b.key AS b, a.n AS na, b.n AS nb, count(*) AS c FROM heads a JOIN heads b ON a.field = b.field AND a.s = b.s AND a.key < b.key GROUP BY ALL),
+links AS (SELECT field, a, b FROM common WHERE c >= 0.8 * (na + nb - c)),
+edges AS (SELECT field, a, b FROM links UNION ALL SELECT field, b, a FROM links),
+walk(field, node, seen) AS (SELECT DISTINCT field, a, a FROM edges UNION SELECT w.field, w.node, e.b FROM walk w JOIN edges e ON e.field = w.field AND e.a = w.seen),
+named AS (SELECT field, node, min(seen) AS grp FROM walk GROUP BY ALL),
+degree AS (SELECT field, a AS node, count(*) AS links FROM edges GROUP BY ALL)
+SELECT t.field, t.key, coalesce(n.grp, c.rep, t.key) AS "group", coalesce(c.copies, 1)::BIGINT AS copies, coalesce(d.links, 0)::BIGINT AS links
+FROM texts t LEFT JOIN classes c ON c.field = t.field AND c.key = t.key
+LEFT JOIN named n ON n.field = t.field AND n.node = coalesce(c.rep, t.key) LEFT JOIN degree d ON d.field = t.field AND d.node = coalesce(c.rep, t.key)
+"""

@@ -1,5 +1,6 @@
 import random
 
+from orrery.llm import mixture as module
 from orrery.llm.mixture import Mixture, short_sources
 
 TARGETS = "source string, weight double, max_repeats int, text string"
@@ -43,7 +44,8 @@ def test_empty_tables(spark):
     assert short_sources(docs, targets.limit(0)).count() == 0
 
 
-def test_one_hot_size_and_tokens_of_a_vocabulary(spark):
+def test_one_hot_size_and_tokens_of_a_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(module, "LOT_ROWS", 100)
     docs = spark.createDataFrame([(i, "a" if i % 3 else "b", "same words here") for i in range(2000)], "doc_id long, source string, text string")
     targets = spark.createDataFrame([("a", 0.75, 2, "x"), ("b", 0.25, 2, "x")], TARGETS)
     rows = {r.source: r for r in Mixture(docs, targets, "/opt/tokenizers/byte_bpe_50k.tiktoken").report().collect()}
