@@ -12,9 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.errors import InvalidArgument, Validation
-from orrery.runtime import cut_lineage
+from orrery.errors import InvalidArgument, Unprocessable, Validation
+from orrery.runtime import BROADCAST_ROWS, cut_lineage
 
+#: Ids up to which a list of them is a predicate, which reaches the scan.
+FEW_IDS = 200
 FIELDS = ("embedding", "document", "uri")
 
 
@@ -30,20 +32,53 @@ def number_rows(df: DataFrame, order: str, name: str, start: int = 1) -> DataFra
     return numbered.drop("__p", "__before")
 
 
-def validate(batch: DataFrame, dimension: int | None, embeddings: bool) -> int | None:
-    """Checks one batch in one aggregation and returns the dimension it fixes or keeps."""
+# Messages of refused batches.
+LENGTHS = "Inconsistent number of IDs, embeddings, documents, URIs and metadatas"
+EMPTY_ID = "Empty ID, ID must have at least one character"
+BAD_METADATA = "Invalid metadata at index {}"
+
+
+def check_lengths(ids: Sequence, *others: Sequence | None) -> None:
+    """The lists of a request must be as long as its ids; absent ones are None."""
+    if any(o is not None and len(o) != len(ids) for o in others):
+        raise InvalidArgument(LENGTHS)
+
+
+def _bad_sparse(value: Column) -> Column:
+    """Whether a typed value is a sparse vector whose indices do not ascend or whose lists differ in length."""
+    v = value["sv"]
+    n = F.size(v["indices"])
+    falls = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get(v["indices"], i) <= F.get(v["indices"], i - 1))
+    uneven = (n != F.size(v["values"])) | (v["tokens"].isNotNull() & (n != F.size(v["tokens"])))
+    return (value["kind"] == 5) & (uneven | F.coalesce(falls, F.lit(False)))
+
+
+def validate(batch: DataFrame, dimension: int | None, op: str, most: int | None = None) -> int | None:
+    """Checks one batch in one aggregation and returns the dimension it fixes or keeps.
+
+    Refused: null or empty ids, missing embeddings (but in an update), other dimensions than the collection's,
+    keys that are empty or begin with # or $, sparse vectors that are none, null metadata values in an
+    add, more than `most` rows.
+    """
     size = F.size("embedding")
-    bad_key = F.exists(F.map_keys("metadata"), lambda k: (k == "") | k.startswith("#") | k.startswith("$"))
+    bad = F.exists(F.map_keys("metadata"), lambda k: (k == "") | k.startswith("#") | k.startswith("$"))
+    if "kind" in getattr(batch.schema["metadata"].dataType.valueType, "names", ()):
+        bad = bad | F.exists(F.map_values("metadata"), lambda v: F.coalesce(_bad_sparse(v), F.lit(False)))
     row = batch.agg(
         F.count(F.when(F.col("id").isNull() | (F.col("id") == ""), 1)).alias("ids"), F.count(F.when(F.col("embedding").isNull(), 1)).alias("nulls"),
         F.min(F.when(F.col("embedding").isNotNull(), size)).alias("low"), F.max(F.when(F.col("embedding").isNotNull(), size)).alias("high"),
-        F.count(F.when(bad_key, 1)).alias("keys"), F.count(F.lit(1)).alias("rows"),
+        F.min(F.when(bad, F.col("ord"))).alias("bad"), F.count(F.lit(1)).alias("rows"),
+        F.count(F.when(F.exists(F.map_values("metadata"), lambda v: v.isNull()), 1)).alias("null_values"),
     ).first()
+    if most is not None and row.rows > most:
+        raise InvalidArgument(f"batch of {row.rows} records exceeds the maximum of {most}")
+    if row.null_values and op == "add":
+        raise Unprocessable("metadatas: null values are not allowed")
     if row.ids:
-        raise Validation("ids", "Expected IDs to be non-empty")
-    if row["keys"]:
-        raise Validation("metadatas", "Invalid metadata")
-    if embeddings and row.nulls:
+        raise InvalidArgument(EMPTY_ID)
+    if row.bad is not None:
+        raise Validation("metadatas", BAD_METADATA.format(row.bad))
+    if op != "update" and row.nulls:
         raise InvalidArgument("embeddings are required")
     wanted = dimension if dimension is not None else row.low
     if row.low is not None and (row.low != wanted or row.high != wanted or wanted < 1):
@@ -73,18 +108,28 @@ def _merged(old: Column, new: Column) -> Column:
     return F.when(new.isNull(), F.when(F.size(old) > 0, old)).when(old.isNull(), _plain(new)).otherwise(_plain(both))
 
 
-def _insert(state: DataFrame, rows: DataFrame, seq: int, next_rowid: int | None) -> DataFrame:
+def _insert(state: DataFrame, rows: DataFrame, seq: int | None, next_rowid: int | None) -> DataFrame:
     start = next_rowid if next_rowid is not None else (state.agg(F.max("rowid")).first()[0] or 0) + 1
     numbered = number_rows(rows, "ord", "rowid", start)
     return numbered.select("rowid", "id", *FIELDS, "metadata", F.lit(seq).cast("long").alias("seq"))
 
 
-def add(state: DataFrame, batch: DataFrame, seq: int = 0, next_rowid: int | None = None) -> DataFrame:
-    """New ids only: existing ones are ignored, and of repeated ids in the batch the first counts."""
+def _new(state: DataFrame, batch: DataFrame) -> DataFrame:
     first = Window.partitionBy("id").orderBy("ord")
     new = batch.join(state.select("id"), "id", "left_anti").withColumn("__r", F.row_number().over(first)).filter("__r = 1")
-    new = new.withColumn("metadata", F.when(F.size("metadata") > 0, F.map_filter("metadata", lambda k, v: v.isNotNull())))
-    return state.unionByName(_insert(state, new, seq, next_rowid))
+    return new.withColumn("metadata", F.when(F.size("metadata") > 0, F.map_filter("metadata", lambda k, v: v.isNotNull())))
+
+
+def _fresh(state: DataFrame, folded: DataFrame) -> DataFrame:
+    return folded.join(state.select("id"), "id", "left_anti").withColumn("metadata", _plain(F.col("__meta"))).drop("__meta")
+
+
+def add(state: DataFrame, batch: DataFrame, seq: int = 0, next_rowid: int | None = None) -> DataFrame:
+    """New ids only: existing ones are ignored, and of repeated ids in the batch the first counts.
+
+    Null metadata values are for validate() to refuse; here they are left out.
+    """
+    return state.unionByName(_insert(state, _new(state, batch), seq, next_rowid))
 
 
 def update(state: DataFrame, batch: DataFrame, seq: int = 0) -> DataFrame:
@@ -92,9 +137,9 @@ def update(state: DataFrame, batch: DataFrame, seq: int = 0) -> DataFrame:
     return _touch(state, _fold(batch), seq)
 
 
-def _touch(state: DataFrame, folded: DataFrame, seq: int) -> DataFrame:
+def _touch(state: DataFrame, folded: DataFrame, seq: int | None, how: str = "left") -> DataFrame:
     new = folded.select("id", F.col("ord").alias("__ord"), "__meta", *(F.col(f).alias(f"__{f}") for f in FIELDS))
-    joined = state.join(new, "id", "left")
+    joined = state.join(new, "id", how)
     fields = [F.coalesce(f"__{f}", f).alias(f) for f in FIELDS]
     meta = F.when(F.col("__ord").isNull(), F.col("metadata")).otherwise(_merged(F.col("metadata"), F.col("__meta")))
     stamp = F.when(F.col("__ord").isNotNull(), F.lit(seq).cast("long")).otherwise(F.col("seq"))
@@ -104,8 +149,25 @@ def _touch(state: DataFrame, folded: DataFrame, seq: int) -> DataFrame:
 def upsert(state: DataFrame, batch: DataFrame, seq: int = 0, next_rowid: int | None = None) -> DataFrame:
     """Updates existing ids and inserts the others, in the batch's order."""
     folded = _fold(batch)
-    new = folded.join(state.select("id"), "id", "left_anti").withColumn("metadata", _plain(F.col("__meta"))).drop("__meta")
-    return _touch(state, folded, seq).unionByName(_insert(state, new, seq, next_rowid))
+    return _touch(state, folded, seq).unionByName(_insert(state, _fresh(state, folded), seq, next_rowid))
+
+
+def changes(state: DataFrame, batch: DataFrame, op: str, next_rowid: int) -> DataFrame:
+    """The rows that add, update or upsert inserts or changes, and no others, with a null seq: a delta to lay over the state."""
+    if op == "add":
+        return _insert(state, _new(state, batch), None, next_rowid)
+    folded = cut_lineage(_fold(batch))
+    touched = _touch(state, folded, None, "inner")
+    return touched if op == "update" else touched.unionByName(_insert(state, _fresh(state, folded), None, next_rowid))
+
+
+def doomed(state: DataFrame, ids: Sequence[str] | None, keep: Column | None, limit: int | None = None) -> DataFrame:
+    """The rows that a delete removes: those of the ids, if any, that `keep` keeps; the first `limit` of them where there is a filter."""
+    found = state if ids is None else with_ids(state, ids)
+    if keep is not None:
+        found = found.filter(F.coalesce(keep, F.lit(False)))
+        found = found if limit is None else found.orderBy("rowid").limit(limit)
+    return found
 
 
 def delete(state: DataFrame, ids: Sequence[str] | None = None, keep: Column | None = None, limit: int | None = None) -> tuple[DataFrame, int]:
@@ -115,21 +177,16 @@ def delete(state: DataFrame, ids: Sequence[str] | None = None, keep: Column | No
     """
     if ids is None and keep is None:
         return state, 0
-    doomed = state if ids is None else state.filter(F.col("id").isin(*ids)) if ids else state.limit(0)
-    if keep is None:
-        return state.join(doomed.select("rowid"), "rowid", "left_anti").select(*state.columns), len(ids)
-    doomed = doomed.filter(F.coalesce(keep, F.lit(False)))
-    if limit is not None:
-        doomed = doomed.orderBy("rowid").limit(limit)
-    doomed = cut_lineage(doomed.select("rowid"))
-    return state.join(doomed, "rowid", "left_anti").select(*state.columns), doomed.count()
-
-
-def touched(state: DataFrame, batch: DataFrame, op: str) -> int:
-    """How many records a write inserts or changes, by which the write counter grows."""
-    ids = batch.select("id").distinct()
-    how = {"add": "left_anti", "update": "left_semi"}.get(op)
-    return (ids.join(state.select("id"), "id", how) if how else ids).count()
+    gone = cut_lineage(doomed(state, ids, keep, limit).select("rowid"))
+    return state.join(gone, "rowid", "left_anti").select(*state.columns), len(ids) if keep is None else gone.count()
+
+
+def with_ids(records: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """The records with the given ids; a long list is joined instead of written into the plan."""
+    if len(ids) <= FEW_IDS:
+        return records.filter(F.col("id").isin(*ids)) if ids else records.limit(0)
+    named = records.sparkSession.createDataFrame([(i,) for i in set(ids)], "id string")
+    return records.join(F.broadcast(named) if len(ids) <= BROADCAST_ROWS else named, "id", "left_semi")
 
 
 def key_growth(state: DataFrame, kind: str = "kind") -> DataFrame:

@@ -19,6 +19,8 @@ LEGACY = {
     "hnsw:space": "space", "hnsw:construction_ef": "ef_construction", "hnsw:search_ef": "ef_search", "hnsw:M": "max_neighbors",
     "hnsw:num_threads": "num_threads", "hnsw:resize_factor": "resize_factor", "hnsw:sync_threshold": "sync_threshold", "hnsw:batch_size": "batch_size",
 }
+# The messages that clients match.
+BAD_HNSW = "Failed to parse hnsw parameters from segment metadata"
 INDEXES = {"string": "string_inverted_index", "int": "int_inverted_index", "float": "float_inverted_index", "bool": "bool_inverted_index"}
 
 
@@ -59,10 +61,10 @@ def from_legacy(metadata: Mapping | None) -> dict:
         whole = isinstance(value, int) and not isinstance(value, bool) and value >= 0
         good = value in SPACES if name == "space" else (whole or isinstance(value, float)) if name == "resize_factor" else whole
         if name is None or not good:
-            raise InvalidArgument("Could not parse HNSW metadata")
+            raise InvalidArgument(BAD_HNSW)
         hnsw[name] = float(value) if name == "resize_factor" else value
     if hnsw["sync_threshold"] < 2 or hnsw["batch_size"] < 2:
-        raise InvalidArgument("Could not parse HNSW metadata")
+        raise InvalidArgument(BAD_HNSW)
     return hnsw
 
 
@@ -213,6 +215,14 @@ def check_name(name: str) -> None:
     raise Validation("name", f"Expected a name that is not a valid ip address. Got {name}")
 
 
+def check_database(name: str) -> None:
+    """As check_name(), but a database's message comes without the field's name."""
+    try:
+        check_name(name)
+    except Validation as error:
+        raise InvalidArgument(str(error).removeprefix("Validation error: name: ")) from None
+
+
 def check_tenant(name: str) -> None:
     if len(name) < 3:
         raise Validation("name", f'Validation error: length [{{"min": Number(3), "value": String("{name}")}}]')

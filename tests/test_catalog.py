@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.errors import AlreadyExists, InvalidArgument, NotFound, Validation
+from orrery.errors import AlreadyExists, InvalidArgument, NotFound, Unprocessable, Validation
 from orrery.functions.values import METADATA, METADATA_TYPE, encode_value, parse_metadata, parse_value
 from orrery.operators import records as log
 from orrery.plans import schema as schemas
@@ -49,8 +49,14 @@ def test_record_log(spark, catalog):
     c.write("add", batch(spark, ("d", [1.0, 0, 0]), ("d", [0, 0, 1.0])))
     with pytest.raises(InvalidArgument):
         c.write("add", batch(spark, ("e", [1.0, 0])))
-    with pytest.raises(Validation):
+    with pytest.raises(InvalidArgument, match="Empty ID"):
         c.write("add", batch(spark, ("", [1.0, 0, 0])))
+    with pytest.raises(Validation, match="Invalid metadata at index 1"):
+        c.write("upsert", batch(spark, ("e", [1.0, 0, 0]), ("g", [1.0, 0, 0])).withColumn("metadata", F.expr("case when ord = 1 then map('#x', cast(null as " + METADATA[METADATA.index("struct"):-1] + ")) end")))
+    with pytest.raises(Unprocessable):
+        c.write("add", batch(spark, ("e", [1.0, 0, 0], None, {"k": None})))
+    with pytest.raises(InvalidArgument, match="exceeds"):
+        c.write("add", batch(spark, ("e", [1.0, 0, 0]), ("f", [1.0, 0, 0])), most=1)
     with pytest.raises(InvalidArgument):
         c.write("add", batch(spark, ("e", None)))
     c.write("update", batch(spark, ("zzz", None, "x"), ("a", None, None, {"k": 10, "f": None, "z": "new"}), ("c", None, None, {"only": 1})))
@@ -94,8 +100,66 @@ def test_forks_and_reopening(spark, catalog):
     again = Catalog(spark, catalog.root)
     assert again.collection("second").count() == 3 and len(again.collections()) == 2
     again.create_tenant("other")
-    with pytest.raises(InvalidArgument, match="meanwhile"):
-        catalog.create_tenant("third")
+    catalog.create_tenant("third")  # on top of what the other object wrote
+    assert again.tenant("third") and catalog.tenant("other")
+    with pytest.raises(AlreadyExists):
+        catalog.create_tenant("other")
+
+
+def test_a_fork_outlives_its_parent(spark, catalog):
+    a = catalog.create_collection("parent")
+    a.write("add", batch(spark, ("a", [1.0, 0]), ("b", [0, 1.0])))
+    f = a.fork("child")
+    f.write("upsert", batch(spark, ("b", [5.0, 5]), ("c", [1.0, 1])))
+    g = f.fork("grandchild")
+    catalog.delete_collection("parent")
+    assert {r.id: r.embedding for r in f.get().collect()} == {"a": [1, 0], "b": [5, 5], "c": [1, 1]} and f.count() == 3
+    catalog.delete_collection("child")
+    assert [r.id for r in g.get().collect()] == ["a", "b", "c"]
+    catalog.delete_collection("grandchild")
+    assert [n for n in catalog.files.names("*") if not n.startswith("catalog")] == []
+
+
+def test_two_writers(spark, catalog):
+    one, two = catalog.create_collection("one"), Catalog(spark, catalog.root).create_collection("two")
+    again = Catalog(spark, catalog.root).collection("one")
+    one.write("add", batch(spark, ("a", [1.0])))
+    two.write("add", batch(spark, ("b", [1.0, 2])))
+    again.write("add", batch(spark, ("a", [3.0]), ("c", [2.0])))
+    assert [r.id for r in one.get().collect()] == ["a", "c"] and (one.count(), again.count(), two.count()) == (2, 2, 1)
+    # a write that is refused leaves nothing behind
+    with pytest.raises(InvalidArgument):
+        one.write("add", batch(spark, ("d", [1.0, 2])))
+    assert one.count() == 2 == one.records().count()
+    # a write made on a state that another one has replaced is made again
+    lay, met = one._lay, []
+
+    def late(rows, info, update, base=False):
+        if not met:
+            met.append(1)
+            again.write("add", batch(spark, ("x", [9.0])))
+        return lay(rows, info, update, base)
+
+    one._lay = late
+    one.write("upsert", batch(spark, ("x", [1.0]), ("y", [1.0])))
+    assert {r.id: (r.rowid, r.embedding) for r in one.get().collect()}["x"] == (3, [1.0]) and one.count() == 4 == one.records().count()
+
+
+def test_layers_are_merged_and_compacted(spark, catalog):
+    c = catalog.create_collection("layers")
+    c.write("add", batch(spark, *((f"r{i}", [float(i)]) for i in range(40))))
+    c.write("upsert", batch(spark, ("r1", [100.0]), ("new", [7.0])))
+    c.delete(ids=["r2", "new"])
+    c.write("upsert", batch(spark, ("r1", [101.0]), ("new", [8.0])))
+    assert len(c.info["layers"]) == 4
+    want = {r.id: (r.rowid, r.embedding, r.seq) for r in c.records().collect()}
+    assert want["r1"][1] == [101.0] and want["new"] == (42, [8.0], 44) and "r2" not in want and c.count() == len(want) == 40
+    c.compact()
+    assert len(c.info["layers"]) == 1 and {r.id: (r.rowid, r.embedding, r.seq) for r in c.records().collect()} == want
+    c.write("upsert", batch(spark, *((f"r{i}", [0.5]) for i in range(3, 40)), *((f"n{i}", [0.5]) for i in range(9))))
+    assert len(c.info["layers"]) == 1 and c.count() == c.records().count() == 49
+    many = [f"r{i}" for i in range(3, 40)] + [f"none{i}" for i in range(300)]
+    assert c.delete(ids=many) == len(many) and c.count() == c.records().count() == 12
 
 
 def test_search_in_a_collection(spark, catalog):
@@ -145,8 +209,10 @@ def test_schemas(spark, catalog):
     for bad in ({"hnsw": {}, "spann": {}},):
         with pytest.raises(InvalidArgument, match="Multiple vector index"):
             schemas.from_configuration(bad)
-    with pytest.raises(InvalidArgument):
+    with pytest.raises(InvalidArgument, match="Failed to parse hnsw parameters"):
         schemas.from_configuration(None, {"hnsw:bogus": 1})
+    with pytest.raises(InvalidArgument, match="^Expected a name containing"):
+        schemas.check_database("a")
     own = {"keys": {"k": {"int": {"int_inverted_index": {"enabled": False, "config": {}}}}, "#document": {"string": {"fts_index": {"enabled": False, "config": {}}}}}}
     with pytest.raises(InvalidArgument, match="simultaneously"):
         schemas.reconcile(own, {"hnsw": {"space": "ip"}})
@@ -183,4 +249,13 @@ def test_stream_is_applied_once(spark, catalog, tmp_path):
     batch(spark, ("b", [1.0, 3.0]), ("a", [2.0, 2.0])).write.parquet(f"{tmp_path}/in/2")
     write_stream(stream(), c, f"{tmp_path}/cp").awaitTermination(120)
     assert {r.id: r.embedding for r in c.records().collect()} == {"a": [2, 2], "b": [1, 3]}
-    assert c.info["stream_batch"] == 1
+    assert list(c.info["streams"].values()) == [1]
+    # another stream, whose numbers begin anew, on the same collection
+    batch(spark, ("z", [4.0, 4.0])).write.parquet(f"{tmp_path}/other/1")
+    write_stream(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/other"), c, f"{tmp_path}/cp2").awaitTermination(120)
+    assert c.count() == 3 and len(c.info["streams"]) == 2
+    # a batch whose write failed is applied when it comes again; one that was applied is not
+    with pytest.raises(InvalidArgument):
+        c.write("upsert", batch(spark, ("q", [1.0])), stream=("s", 0))
+    assert c.write("upsert", batch(spark, ("q", [1.0, 1.0])), stream=("s", 0)) == 1 and c.write("upsert", batch(spark, ("q", [2.0, 2.0])), stream=("s", 0)) == 0
+    assert c.count() == 4
