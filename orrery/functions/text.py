@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -43,23 +44,34 @@ def split_words(text: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
 
-def fnv32(data: bytes) -> int:
-    h = FNV32
-    for byte in data:
-        h = ((h ^ byte) * PRIME32) & 0xFFFFFFFF
-    return h
+def fnv(texts: Sequence[str], bits: int) -> np.ndarray:
+    """FNV-1a hashes of 32 or 64 bits of many strings at once, a byte position at a time."""
+    kind, start, prime = (np.uint32, FNV32, PRIME32) if bits == 32 else (np.uint64, FNV64, PRIME64)
+    raw = [t.encode() for t in texts]
+    length = np.array([len(r) for r in raw], dtype=np.int64)
+    order = np.argsort(-length, kind="stable")
+    first = np.concatenate([[0], np.cumsum(length)])[order] if len(raw) else length
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    many = np.searchsorted(-length[order], -np.arange(length.max(initial=0)), side="left")
+    h = np.full(len(raw), start, dtype=kind)
+    for j, n in enumerate(many.tolist()):  # the n longest have a byte here
+        h[:n] = (h[:n] ^ data[first[:n] + j]) * kind(prime)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
-def fnv64(data: bytes) -> int:
-    h = FNV64
-    for byte in data:
-        h = ((h ^ byte) * PRIME64) & 0xFFFFFFFFFFFFFFFF
-    return h
+def fnv32(data: str) -> int:
+    return int(fnv([data], 32)[0])
 
 
-def term_dimension(term: str) -> int:
-    """The 31-bit sparse dimension of a term; terms that collide add up."""
-    return fnv32(term.encode()) & 0x7FFFFFFF
+def fnv64(data: str) -> int:
+    return int(fnv([data], 64)[0])
+
+
+def term_dimensions(terms: Sequence[str]) -> np.ndarray:
+    """The 31-bit sparse dimensions of terms; terms that collide add up."""
+    return (fnv(terms, 32) & np.uint32(0x7FFFFFFF)).astype(np.int64)
 
 
 def bm25_weight(tf: Column, length: Column, k: float = BM25_K, b: float = BM25_B, average: float = BM25_AVERAGE) -> Column:
@@ -68,23 +80,33 @@ def bm25_weight(tf: Column, length: Column, k: float = BM25_K, b: float = BM25_B
     return tf * F.lit(k + 1) / (tf + norm)
 
 
+def encode_documents(texts: Sequence[str], k: float = BM25_K, b: float = BM25_B, average: float = BM25_AVERAGE) -> list[dict]:
+    """{"indices", "values", "tokens"} of each document; see bm25_weight(). All terms are hashed at once."""
+    counted = [Counter(w for w in split_words(t) if w not in _STOP) for t in texts]
+    every = list({w for c in counted for w in c})
+    dimension = dict(zip(every, term_dimensions(every).tolist(), strict=True))
+    out = []
+    for counts in counted:
+        norm = k * (1 - b + b * sum(counts.values()) / average)
+        weight: dict[int, np.float32] = {}
+        name: dict[int, str] = {}
+        for term, tf in counts.items():
+            at = dimension[term]
+            weight[at] = np.float32(weight.get(at, np.float32(0)) + np.float32(tf * (k + 1) / (tf + norm)))
+            name[at] = term
+        order = sorted(weight)
+        out.append({"indices": order, "values": [float(weight[i]) for i in order], "tokens": [name[i] for i in order]})
+    return out
+
+
 def encode_document(text: str, k: float = BM25_K, b: float = BM25_B, average: float = BM25_AVERAGE) -> dict:
-    """{"indices", "values", "tokens"} of a document; see bm25_weight()."""
-    counts = Counter(w for w in split_words(text) if w not in _STOP)
-    norm = k * (1 - b + b * sum(counts.values()) / average)
-    weight: dict[int, np.float32] = {}
-    name: dict[int, str] = {}
-    for term, tf in counts.items():
-        at = term_dimension(term)
-        weight[at] = np.float32(weight.get(at, np.float32(0)) + np.float32(tf * (k + 1) / (tf + norm)))
-        name[at] = term
-    order = sorted(weight)
-    return {"indices": order, "values": [float(weight[i]) for i in order], "tokens": [name[i] for i in order]}
+    return encode_documents([text], k, b, average)[0]
 
 
 def encode_query(text: str) -> dict:
     """Weight 1 for each distinct term that is no stop word."""
-    name = {term_dimension(w): w for w in split_words(text) if w not in _STOP}
+    kept = [w for w in split_words(text) if w not in _STOP]
+    name = dict(zip(term_dimensions(kept).tolist(), kept, strict=True))
     order = sorted(name)
     return {"indices": order, "values": [1.0] * len(order), "tokens": [name[i] for i in order]}
 
@@ -95,7 +117,7 @@ SPARSE = T.StructType([T.StructField("indices", T.ArrayType(T.LongType())), T.St
 @F.pandas_udf(SPARSE)
 def sparse_documents(texts: pd.Series) -> pd.DataFrame:
     """Column form of encode_document; a null text has no terms."""
-    made = [encode_document(t or "") for t in texts]
+    made = encode_documents([t or "" for t in texts])
     return pd.DataFrame({c: [m[c] for m in made] for c in ("indices", "values", "tokens")})
 
 
@@ -104,26 +126,42 @@ def bm25_schema(key: str) -> dict:
     return {"defaults": {}, "keys": {key: {"sparse_vector": {"sparse_vector_index": {"enabled": True, "config": {"bm25": True}}}}}}
 
 
+# What each kind of feature begins with, and its share.
+WORD, TRIPLE, PAIR = "w:", "c:", "b:"
+SHARES = {WORD: 1.0, TRIPLE: 0.5, PAIR: 0.75}
+
+
+def embed_all(texts: Sequence[str], dimension: int) -> np.ndarray:
+    """Signed feature hashing of words, word pairs and letter triples, of length 1; the first axis for text without words.
+
+    The features of all texts are hashed at once.
+    """
+    features: list[Counter] = []
+    for text in texts:
+        every = split_words(text)
+        kept = [w for w in every if w not in _STOP] or every
+        counts: Counter = Counter(WORD + w for w in kept)
+        for w in kept:
+            padded = f"^{w}$"
+            counts.update(TRIPLE + padded[i : i + 3] for i in range(len(padded) - 2))
+        counts.update(f"{PAIR}{a} {b}" for a, b in zip(kept, kept[1:], strict=False))
+        features.append(counts)
+    number = {f: i for i, f in enumerate(dict.fromkeys(f for c in features for f in c))}
+    hashes = fnv(list(number), 64)
+    axis, minus = (hashes % np.uint64(dimension)).astype(np.int64), (hashes >> np.uint64(63)) == 1
+    out = np.zeros((len(texts), dimension))
+    for v, counts in zip(out, features, strict=True):
+        if counts:
+            which = np.array([number[f] for f in counts])
+            weight = np.array([(1 + math.log(n)) * SHARES[f[:2]] for f, n in counts.items()])
+            np.add.at(v, axis[which], np.where(minus[which], -weight, weight))
+    norm = np.sqrt((out * out).sum(axis=1))
+    out[norm == 0, 0] = 1.0
+    return (out / np.where(norm == 0, 1.0, norm)[:, None]).astype(np.float32)
+
+
 def embed(text: str, dimension: int) -> np.ndarray:
-    """Signed feature hashing of words, word pairs and letter triples, of length 1; the first axis for text without words."""
-    every = split_words(text)
-    kept = [w for w in every if w not in _STOP] or every
-    counts: Counter = Counter()
-    for w in kept:
-        counts["w:" + w] += 1
-        padded = f"^{w}$"
-        counts.update("c:" + padded[i : i + 3] for i in range(len(padded) - 2))
-    counts.update(f"b:{a} {b}" for a, b in zip(kept, kept[1:], strict=False))
-    share = {"w": 1.0, "c": 0.5, "b": 0.75}
-    v = np.zeros(dimension)
-    for feature, n in counts.items():
-        h = fnv64(feature.encode())
-        weight = (1 + math.log(n)) * share[feature[0]]
-        v[h % dimension] += -weight if h >> 63 else weight
-    norm = math.sqrt(float((v * v).sum()))
-    if norm == 0:
-        v[0] = norm = 1.0
-    return (v / norm).astype(np.float32)
+    return embed_all([text], dimension)[0]
 
 
 def hashing_embedder(dimension: int):
@@ -131,6 +169,6 @@ def hashing_embedder(dimension: int):
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embedded(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: embed(t or "", dimension))
+        return pd.Series(list(embed_all([t or "" for t in texts], dimension)), index=texts.index)
 
     return embedded

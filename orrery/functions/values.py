@@ -140,3 +140,25 @@ def encode_value(value: Mapping) -> str:
         tokens = "" if v["tokens"] is None else ',"tokens":' + json.dumps(v["tokens"], ensure_ascii=False)
         return '{"#type":"sparse_vector","indices":' + json.dumps(v["indices"]) + ',"values":[' + ",".join(map(format_float, v["values"])) + "]" + tokens + "}"
     return json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+
+def typed_metadata(keys: Mapping[str, str]):
+    """A typed metadata map of SQL expressions, {key: "expression as bool|long|double|string|strings"}.
+
+    Null values are missing keys; without any key the map is null.
+    """
+
+    def value(sql: str, kind: int):
+        fields = [F.lit(kind).cast("byte").alias("kind") if f.name == "kind" else (F.expr(sql) if f.name == FIELDS[kind] else F.lit(None)).cast(f.dataType).alias(f.name) for f in VALUE_TYPE.fields]
+        return F.when(F.expr(sql).isNotNull(), F.struct(*fields))
+
+    kinds = {"bool": BOOL, "long": INT, "double": FLOAT, "string": STRING, "strings": STRINGS}
+    entries = []
+    for key, spec in keys.items():
+        check_key(key)
+        sql, _, kind = spec.rpartition(" as ")
+        if kind not in kinds:
+            raise InvalidArgument(f"unsupported metadata type: {spec}")
+        entries.append(F.struct(F.lit(key).alias("key"), value(sql, kinds[kind]).alias("value")))
+    kept = F.map_filter(F.map_from_entries(F.array(*entries)), lambda k, v: v.isNotNull())
+    return F.when(F.size(kept) > 0, kept)

@@ -75,6 +75,76 @@ def block_distances(rows: np.ndarray, queries: np.ndarray, space: str) -> np.nda
         return np.where(length == 0, np.nan, 1 - dot / length)
 
 
+def paired_distances(a: np.ndarray, b: np.ndarray, space: str) -> np.ndarray:
+    """Distances of the paired rows of a and b in double precision."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    if space == "l2":
+        return ((a - b) ** 2).sum(axis=1)
+    dot = (a * b).sum(axis=1)
+    if space == "ip":
+        return 1 - dot
+    length = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
+    return np.where(length == 0, np.nan, 1 - dot / np.where(length == 0, 1.0, length))
+
+
+class Best:
+    """The n best (distance, rowid) of each query over the rows seen so far; NaN comes last, equal distances go by rowid.
+
+    A matrix product gives each distance up to a rounding slack; only pairs that may be among the n best
+    are computed in full, so the result is that of paired_distances().
+    """
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, queries: np.ndarray, n: int, space: str):
+        self.q, self.n, self.space = queries.astype(np.float64), n, space
+        self.distance = np.full((len(queries), n), np.nan)
+        self.rowid = np.full((len(queries), n), self.NONE)
+        with np.errstate(over="ignore"):
+            self.length = np.sqrt((self.q**2).sum(axis=1))
+
+    def see(self, rowid: np.ndarray, vectors: np.ndarray, step: int = 4096) -> None:
+        for at in range(0, len(rowid), step):
+            self._see(rowid[at : at + step], vectors[at : at + step])
+
+    def _see(self, rowid: np.ndarray, vectors: np.ndarray) -> None:
+        if not self.n or not len(self.q):
+            return
+        x = vectors.astype(np.float64)
+        with np.errstate(all="ignore"):
+            length = np.sqrt((x * x).sum(axis=1))
+            about = self.q @ x.T
+            size = self.length[:, None] * length[None, :]
+            if self.space == "l2":
+                about = self.length[:, None] ** 2 + length[None, :] ** 2 - 2 * about
+                slack = 1e-11 * (self.length[:, None] ** 2 + length[None, :] ** 2)
+            else:
+                about = 1 - (about if self.space == "ip" else np.where(size == 0, np.nan, about / size))
+                slack = 1e-11 * (1 + size) if self.space == "ip" else np.full_like(about, 1e-11)
+            worst = np.where(self.rowid[:, -1] == self.NONE, np.nan, self.distance[:, -1])
+            # the n-th best upper bound of this block, or of what was seen before
+            bound = np.partition(about + slack, self.n - 1, axis=1)[:, self.n - 1] if about.shape[1] >= self.n else np.full(len(self.q), np.nan)
+            limit = np.fmin(bound, worst)
+            i, j = np.nonzero(~(about - slack > limit[:, None]))
+            for part in range(0, len(i), 200_000):
+                self._push(i[part : part + 200_000], j[part : part + 200_000], rowid, x)
+
+    def _push(self, i: np.ndarray, j: np.ndarray, rowid: np.ndarray, x: np.ndarray) -> None:
+        touched = np.unique(i)
+        d = np.concatenate([paired_distances(self.q[i], x[j], self.space), self.distance[touched].ravel()])
+        r = np.concatenate([rowid[j], self.rowid[touched].ravel()])
+        row = np.concatenate([i, np.repeat(touched, self.n)])
+        order = np.lexsort((r, d, row))
+        first = np.searchsorted(row[order], touched)
+        take = order[(first[:, None] + np.arange(self.n)).ravel()]
+        self.distance[touched], self.rowid[touched] = d[take].reshape(-1, self.n), r[take].reshape(-1, self.n)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the query, rowid, distance)."""
+        q, place = np.nonzero(self.rowid != self.NONE)
+        return q, self.rowid[q, place], self.distance[q, place]
+
+
 def parse_vector(value) -> list[float]:
     """A vector as a list of numbers or as base64 of little-endian 32-bit floats, padded or not."""
     if isinstance(value, str):

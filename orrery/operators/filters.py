@@ -203,12 +203,16 @@ def double_test(c: Column, op: str, value: int | float) -> Column:
     return {"$gt": c > literal, "$gte": c >= literal, "$lt": c < literal, "$lte": c <= literal}[op]
 
 
+#: A record's own fields, which are no metadata keys.
+FIELDS = frozenset({"rowid", "id", "embedding", "document", "uri", "seq", "collection_id", "written_at"})
+
+
 class ColumnBinding:
-    """Metadata keys as ordinary columns of a DataFrame; null is a missing key."""
+    """Metadata keys as ordinary columns of a DataFrame, by default all but a record's own fields; null is a missing key."""
 
     def __init__(self, df, keys: Mapping[str, str] | None = None, id: str = "id", document: str = "document"):  # noqa: A002
         self.types = {f.name: f.dataType for f in df.schema.fields}
-        reserved = {id, document, "rowid", "embedding"}
+        reserved = FIELDS | {id, document}
         self.keys = dict(keys) if keys is not None else {n: n for n in self.types if n not in reserved}
         self.id, self.document = F.col(id), F.col(document)
 

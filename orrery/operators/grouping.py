@@ -56,7 +56,7 @@ def sort_value(value: Column) -> Column:
     """How typed metadata orders: missing, booleans, numbers of both kinds by value, strings, others alike."""
     kind = value["kind"]
     bucket = F.when(kind.isNull(), 0).when(kind == 1, 1).when(kind.isin(2, 3), 2).when(kind == 4, 4).otherwise(kind)
-    return F.struct(bucket.alias("bucket"), value["b"].alias("b"), F.coalesce(value["f"], value["i"].cast("double")).alias("n"), value["i"].alias("i"), value["s"].alias("s"))
+    return F.struct(bucket.alias("bucket"), value["b"].alias("b"), F.coalesce(value["f"], value["i"].cast("double")).alias("n"), value["s"].alias("s"))
 
 
 def group_value(value: Column) -> Column:

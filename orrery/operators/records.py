@@ -189,6 +189,17 @@ def with_ids(records: DataFrame, ids: Sequence[str]) -> DataFrame:
     return records.join(F.broadcast(named) if len(ids) <= BROADCAST_ROWS else named, "id", "left_semi")
 
 
+def counts(rows: DataFrame, by: str | None = None) -> DataFrame:
+    """(by, n): how many rows there are, of each value of a column or altogether."""
+    return (rows.groupBy(by) if by else rows).agg(F.count(F.lit(1)).alias("n"))
+
+
+def last_writes(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(*keys, *columns) of the last row of each key by the order columns; combined before the shuffle."""
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("m"))
+    return last.select(*keys, *(f"m.{c}" for c in columns))
+
+
 def key_growth(state: DataFrame, kind: str = "kind") -> DataFrame:
     """(key, kind): the metadata keys and value kinds that occur."""
     return state.select(F.explode("metadata").alias("key", "value")).select("key", F.col(f"value.{kind}").alias("kind")).distinct()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from orrery.operators.filters import ColumnBinding, MapBinding, compile_filter,
 from orrery.operators.grouping import SPECIAL, GroupBy, best_of_groups, parse_group_by
 from orrery.operators.knn import check_query
 from orrery.operators.rank import Leaf, Node, leaf_scores, leaves, ordered, parse_rank, score
-from orrery.operators.sparse import sparse_scores
+from orrery.operators.sparse import TextIndex, sparse_scores
 
 
 @dataclass
@@ -64,10 +64,10 @@ class Collection:
     """Records with what a search needs to know of them.
 
     records(rowid, id, embedding, document, metadata columns...); postings: for each sparse key its
-    (rowid, dim, value); bm25: the sparse keys whose queries are scaled by inverse document frequency.
+    (rowid, dim, value), or a TextIndex over a column of the records; bm25: the sparse keys whose queries are scaled by inverse document frequency.
     """
 
-    def __init__(self, records: DataFrame, space: str = "l2", dimension: int | None = None, postings: Mapping[str, DataFrame] | None = None, bm25: Sequence[str] = (), binding=None):
+    def __init__(self, records: DataFrame, space: str = "l2", dimension: int | None = None, postings: Mapping[str, DataFrame | TextIndex] | None = None, bm25: Sequence[str] = (), binding=None):
         self.records, self.space, self.dimension = records, space, dimension
         self.postings, self.bm25 = dict(postings or {}), set(bm25)
         self.binding = binding or ColumnBinding(records)
@@ -97,7 +97,11 @@ class Collection:
             if leaf.key not in self.postings:
                 raise InvalidArgument(f"sparse query on key {leaf.key} without sparse vectors")
             total = self.total() if leaf.key in self.bm25 else None
-            scored = sparse_scores(self.postings[leaf.key], leaf.sparse, kept if filtered else None, total)
+            index = self.postings[leaf.key]
+            if isinstance(index, TextIndex):
+                scored = index.scores(self.records, leaf.sparse, kept if filtered else None, total)
+            else:
+                scored = sparse_scores(index, leaf.sparse, kept if filtered else None, total)
         return leaf_scores(scored, leaf)
 
     def ranked(self, payload: Payload) -> DataFrame:
@@ -133,3 +137,31 @@ class Collection:
         joined = out.join(self.records.select(F.col("rowid").alias("__rowid"), "id", *fields), "__rowid")
         columns = ["id", *(k for k, _ in names), *(["score"] if "#score" in payload.select else [])]
         return joined.orderBy(F.col("score").isNull(), F.isnan("score"), "score", "__rowid").select(*(F.col(f"`{c}`") for c in columns))
+
+    def respond(self, payloads: Sequence[Mapping | Payload]) -> DataFrame:
+        """One row a search: (search, ids, documents, metadatas, embeddings, scores), arrays in rank order.
+
+        A column is null for a search that did not select it; metadata is JSON text without the keys that a
+        record lacks. A search's rows are at most its limit.
+        """
+        out = None
+        for number, raw in enumerate(payloads):
+            payload = raw if isinstance(raw, Payload) else parse_payload(raw)
+            keys = set(payload.select)
+            fields = [k for k in keys if k not in SPECIAL]
+            found = self.search(replace(payload, select=sort_keys([*keys, "#score"])))
+            shown = [F.col(f"`{k}`").alias(k) for k in found.columns if k not in ("id", "score", "#document", "#embedding", "#metadata")]
+            meta = F.to_json(F.col("`#metadata`")) if "#metadata" in found.columns else F.to_json(F.struct(*shown)) if shown and (fields or "#metadata" in keys) else F.lit(None).cast("string")
+            part = {
+                "id": F.col("id"), "score": F.col("score"), "metadata": meta if shows_metadata(payload.select) else F.lit(None).cast("string"),
+                "document": F.col("`#document`") if "#document" in keys else F.lit(None).cast("string"),
+                "embedding": F.col("`#embedding`") if "#embedding" in keys else F.lit(None).cast("array<float>"),
+            }
+            rows = found.select(*(c.alias(n) for n, c in part.items()))
+            order = F.struct(F.col("score").isNull().alias("a"), F.isnan("score").alias("b"), F.col("score").alias("c"), F.monotonically_increasing_id().alias("d"))
+            listed = rows.select(F.struct(order.alias("o"), *part).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("r"))
+            off = {"document": "#document" in keys, "embedding": "#embedding" in keys, "metadata": shows_metadata(payload.select), "score": "#score" in keys}
+            pick = lambda n, on=True: F.col(f"r.{n}") if on else F.lit(None).cast(f"array<{rows.schema[n].dataType.simpleString()}>")  # noqa: E731, B023
+            one = listed.select(F.lit(number).alias("search"), pick("id").alias("ids"), *(pick(n, off[n]).alias(n + "s") for n in ("document", "metadata", "embedding", "score")))
+            out = one if out is None else out.unionByName(one)
+        return out

@@ -474,3 +474,15 @@ class Collection:
     def indexing_status(self) -> dict:
         done = self.info["write_seq"]
         return {"op_indexing_progress": 1.0, "num_unindexed_ops": 0, "num_indexed_ops": done, "total_ops": done}
+
+
+def fork_counts(collections: DataFrame) -> DataFrame:
+    """(collection_id, forks) of a table (collection_id, forked_from): how many forks name each collection as their root."""
+    forks = collections.filter("forked_from is not null").groupBy(F.col("forked_from").alias("collection_id")).agg(F.count(F.lit(1)).alias("forks"))
+    return collections.select("collection_id").join(forks, "collection_id", "left").fillna(0, ["forks"])
+
+
+def listing(tenants: DataFrame, collections: DataFrame) -> DataFrame:
+    """(tenant, database_name, name) of the collections whose tenant exists."""
+    named = tenants.select(F.col("name").alias("tenant"))
+    return named.join(collections.select("tenant", "database_name", "name"), "tenant")

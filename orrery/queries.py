@@ -7,17 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.text import STOP_WORDS, bm25_weight, content_words, hashing_embedder, words
+from orrery.functions.text import STOP_WORDS, content_words, hashing_embedder, sparse_documents, words
+from orrery.functions.values import typed_metadata
 from orrery.functions.vectors import decode_base64, encode_base64
 from orrery.operators import records as log
 from orrery.operators.filters import ColumnBinding, where
-from orrery.operators.knn import Ivf, knn, knn_batch, knn_two_stage, restrict_ids
+from orrery.operators.knn import Ivf, knn, knn_batch, knn_join, knn_two_stage, restrict_ids
 from orrery.operators.metrics import keywords, retrieval_metrics
 from orrery.operators.rank import combine, dense, rrf, sparse, val
 from orrery.operators.search import Collection
-from orrery.operators.sparse import document_frequency, idf, query_frame, text_postings
-from orrery.sources.files import include, nested_response
-from orrery.runtime import table
+from orrery.operators.sparse import TextIndex, document_frequency, idf, query_frame, text_postings
+from orrery.plans.catalog import Catalog, fork_counts, listing
+from orrery.runtime import shared_folder, table
+from orrery.sources.files import by_position, include, movies_csv, nested_response, text_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,12 +97,12 @@ _filter("where_type_mismatch_ne", {"year": {"$ne": "2020"}}, "true")
 _filter("where_bool", {"recent": True}, "recent")
 _filter("where_bool_not_number", {"recent": 1}, "false")
 _filter("where_bool_in", {"recent": {"$in": [False]}}, "NOT recent")
-_filter("where_array_scalar_is_false", {"tags": "alpha"}, "false")
-_filter("array_contains", {"tags": {"$contains": "draft"}}, "list_contains(tags, 'draft')")
-_filter("array_not_contains", {"tags": {"$not_contains": "draft"}}, "tags IS NULL OR NOT list_contains(tags, 'draft')")
+_filter("where_array_scalar_is_false", {"tags": "faq"}, "false")
+_filter("array_contains", {"tags": {"$contains": "howto"}}, "list_contains(tags, 'howto')")
+_filter("array_not_contains", {"tags": {"$not_contains": "howto"}}, "tags IS NULL OR NOT list_contains(tags, 'howto')")
 _filter("scalar_contains_is_false", {"lang": {"$contains": "en"}}, "false")
 _filter("doc_contains", None, "contains(document, 'shard')", {"$contains": "shard"})
-_filter("doc_contains_special", None, "contains(document, '%')", {"$contains": "%"})
+_filter("doc_contains_special", None, "contains(document, '[')", {"$contains": "["})
 _filter("doc_not_contains", None, "document IS NULL OR NOT contains(document, 'the')", {"$not_contains": "the"})
 _filter("doc_regex", None, r"regexp_matches(document, '\b[A-Z][a-z]+ and [A-Z]\w+')", {"$regex": r"\b[A-Z][a-z]+ and [A-Z]\w+"})
 _filter("doc_regex_fold", None, "regexp_matches(document, '(?i)WITHOUT THE [a-m]+,')", {"$regex": "(?i)WITHOUT THE [a-m]+,"})
@@ -124,41 +126,43 @@ def where_json_key(spark, sf_dir):
 
 @query("get_all_paged", "SELECT rowid, id, document FROM records ORDER BY rowid LIMIT 20 OFFSET 15")
 def get_all_paged(spark, sf_dir):
-    return table(spark, sf_dir, "records").select("rowid", "id", "document").orderBy("rowid").offset(15).limit(20)
+    return by_position(table(spark, sf_dir, "records").select("rowid", "id", "document"), "rowid", 20, 15)
 
 
 @query("get_by_ids", "SELECT rowid, id FROM records WHERE id IN ('100000', 'doc-0000010', 'missing')")
 def get_by_ids(spark, sf_dir):
-    return table(spark, sf_dir, "records").filter(F.col("id").isin("100000", "doc-0000010", "missing")).select("rowid", "id")
+    return log.with_ids(table(spark, sf_dir, "records").select("rowid", "id"), ["100000", "doc-0000010", "missing"])
+
+
+@query("get_by_many_ids", "SELECT rowid, id FROM records WHERE id IN (SELECT 'doc-' || lpad(CAST(i AS VARCHAR), 7, '0') FROM range(0, 5000) t(i))")
+def get_by_many_ids(spark, sf_dir):
+    return log.with_ids(table(spark, sf_dir, "records").select("rowid", "id"), [f"doc-{i:07d}" for i in range(5000)])
 
 
 @query("get_filtered_page", "SELECT rowid FROM records WHERE lang = 'en' AND id LIKE 'doc%' ORDER BY rowid LIMIT 5 OFFSET 2")
 def get_filtered_page(spark, sf_dir):
     rows = where(table(spark, sf_dir, "records"), {"lang": "en"}).filter(F.col("id").startswith("doc"))
-    return rows.select("rowid").orderBy("rowid").offset(2).limit(5)
+    return by_position(rows.select("rowid"), "rowid", 5, 2)
 
 
 @query("count_records", "SELECT count(*) AS n FROM records")
 def count_records(spark, sf_dir):
-    return table(spark, sf_dir, "records").agg(F.count(F.lit(1)).alias("n"))
+    return log.counts(table(spark, sf_dir, "records"))
 
 
 @query("count_by_collection", "SELECT collection_id, count(*) AS n FROM records GROUP BY collection_id")
 def count_by_collection(spark, sf_dir):
-    return table(spark, sf_dir, "records").groupBy("collection_id").agg(F.count(F.lit(1)).alias("n"))
+    return log.counts(table(spark, sf_dir, "records"), "collection_id")
 
 
 @query("fork_counts", "SELECT p.collection_id, count(f.collection_id) AS forks FROM collections p LEFT JOIN collections f ON f.forked_from = p.collection_id GROUP BY p.collection_id")
-def fork_counts(spark, sf_dir):
-    c = table(spark, sf_dir, "collections")
-    forks = c.filter("forked_from is not null").groupBy(F.col("forked_from").alias("collection_id")).agg(F.count(F.lit(1)).alias("forks"))
-    return c.select("collection_id").join(forks, "collection_id", "left").fillna(0, ["forks"])
+def _fork_counts(spark, sf_dir):
+    return fork_counts(table(spark, sf_dir, "collections"))
 
 
 @query("catalog_collections", "SELECT t.name AS tenant, c.database_name, c.name FROM tenants t JOIN collections c ON c.tenant = t.name")
 def catalog_collections(spark, sf_dir):
-    t = table(spark, sf_dir, "tenants").select(F.col("name").alias("tenant"))
-    return t.join(table(spark, sf_dir, "collections").select("tenant", "database_name", "name"), "tenant")
+    return listing(table(spark, sf_dir, "tenants"), table(spark, sf_dir, "collections"))
 
 
 @query("get_include_subset", "SELECT rowid, id, NULL::VARCHAR AS document, uri FROM records")
@@ -225,9 +229,29 @@ def knn_empty(spark, sf_dir):
     return _shown(knn(_vectors(spark, sf_dir), _vector(spark, sf_dir, 0), 0, "l2"))
 
 
-@query("ivf_all_lists", _sql_knn("l2", 10, 2))
-def ivf_all_lists(spark, sf_dir):
-    return _shown(Ivf.build(_vectors(spark, sf_dir), lists=16).search(_vector(spark, sf_dir, 2), 10, "l2", probes=16))
+@query("ivf_one", _sql_knn("l2", 10, 2))
+def ivf_one(spark, sf_dir):
+    """One vector asked of the stored index."""
+    return _shown(Ivf.build(_vectors(spark, sf_dir)).search(_vector(spark, sf_dir, 2), 10, "l2"))
+
+
+def _dirty(space: str) -> None:
+    """All records of the most usual length, null, zero and odd ones among the embeddings, by their distance to one."""
+    width = "(SELECT len(embedding) AS w FROM records WHERE embedding IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+    e = "list_transform(embedding, lambda x: x::DOUBLE)"
+    asked = f"(SELECT {e} AS e FROM records WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: isfinite(x) AND x <> 0)) = len(embedding) ORDER BY rowid LIMIT 1)"
+    zero = "WHEN len(list_filter(x.e, lambda v: v <> 0)) = 0 THEN 'nan'::DOUBLE" if space == "cosine" else ""
+    sql = f"SELECT x.rowid, CASE WHEN false THEN 0.0 {zero} ELSE {_sql_distance(space)} END AS d FROM (SELECT rowid, {e} AS e FROM records WHERE len(embedding) = {width}) x, {asked} q"
+
+    @query(f"knn_dirty_{space}", f"SELECT rowid, row_number() OVER (ORDER BY d, rowid) - 1 AS place FROM ({sql}) WHERE NOT isnan(d)")
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir, "records")
+        width = rows.filter("embedding is not null").groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first().w
+        usable = rows.filter((F.size("embedding") == width) & F.expr("forall(embedding, x -> x <> 0 and not isnan(x) and abs(x) < double('inf'))"))
+        found = knn_join(rows, usable.orderBy("rowid").limit(1).select(F.lit(0).cast("long").alias("qid"), "embedding"), rows.count(), space)
+        found = found.filter(~F.isnan("distance"))
+        return found.select("rowid", F.col("place").cast("long").alias("place"))
+
 
 
 def _stated(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float]]]:
@@ -255,12 +279,20 @@ def ivf_default(spark, sf_dir):
     return found.select("qid", "rowid", F.col("place").cast("long").alias("place"), _digits(F.col("distance"), 3).alias("distance"))
 
 
-@query("knn_nested_response")
+@query("knn_join", _BATCH)
+def _knn_join(spark, sf_dir):
+    """The stated vectors as a table of queries."""
+    rows = _vectors(spark, sf_dir)
+    found = knn_join(rows, table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"), 5, "l2")
+    return found.select("qid", "rowid", F.col("place").cast("long").alias("place"), _digits(F.col("distance"), 3).alias("distance"))
+
+
+@query("knn_nested_response", f"SELECT qid, list(rowid ORDER BY place) AS rowid, list(distance ORDER BY place) AS distance FROM ({_BATCH}) GROUP BY qid")
 def knn_nested_response(spark, sf_dir):
-    return nested_response(knn_batch(_vectors(spark, sf_dir), _stated(spark, sf_dir), 5, "l2"))
+    return nested_response(_knn_batch(spark, sf_dir))
 
 
-@query("self_match_accuracy", "SELECT 1.0::DOUBLE AS accuracy")
+@query("self_match_accuracy", f"SELECT avg((qid = rowid)::INTEGER) AS accuracy FROM ({_BATCH}) WHERE place = 0")
 def self_match_accuracy(spark, sf_dir):
     """The nearest vector of each stated vector is the vector itself."""
     found = knn_batch(_vectors(spark, sf_dir), _stated(spark, sf_dir), 1, "l2")
@@ -380,9 +412,7 @@ def bm25_idf(spark, sf_dir):
 
 def _keyword_collection(spark: SparkSession, sf_dir: str) -> Collection:
     docs = _documents(spark, sf_dir)
-    return Collection(docs, "l2", None, {"bm25": text_postings(docs)}, ["bm25"])
-
-
+    return Collection(docs, "l2", None, {"bm25": TextIndex()}, ["bm25"])
 
 
 def _bm25(spark: SparkSession, sf_dir: str, limit: int, clause: dict | None = None) -> DataFrame:
@@ -424,17 +454,15 @@ h AS (SELECT coalesce(dl.rowid, kl.rowid) AS rowid, -(1.0 / (60 + coalesce(dl.r,
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rowid, lang, score): documents with a vector, by fusion of a dense and a keyword leaf."""
     from orrery.operators.rank import Leaf, leaf_scores, parse_rank, score
-    from orrery.operators.sparse import sparse_scores
 
     docs = _documents(spark, sf_dir).drop("embedding")
     both = docs.join(_vectors(spark, sf_dir).select("rowid", "embedding"), "rowid")
     collection = Collection(both, "cosine", 64)
     vector = _vector(spark, sf_dir, 0)
     keyword = Leaf(sparse=tuple((t, 1.0) for t in _TERMS), key="bm25", limit=100, default=100.0, return_rank=True)
-    every = text_postings(docs)
     found = [
         collection.leaf(Leaf(query=tuple(vector), limit=100, default=100.0, return_rank=True), both, False),
-        leaf_scores(sparse_scores(every, keyword.sparse, both, docs.count()), keyword),
+        leaf_scores(TextIndex().scores(docs, keyword.sparse, both, docs.count()), keyword),
     ]
     tree = parse_rank(rrf([dense(vector, 100, 100, True), sparse({"indices": [], "values": []}, "bm25", 100, 100, True)]))
     return score(tree, found).join(docs.select("rowid", "lang"), "rowid")
@@ -464,11 +492,10 @@ SELECT rowid, {_sql_digits('raw', 3)} AS score FROM (SELECT rowid, 1 - sum(value
 """)
 def movies_keyword_search(spark, sf_dir):
     from orrery.operators.rank import Leaf, leaf_scores
-    from orrery.operators.sparse import sparse_scores
 
     rows = table(spark, sf_dir, "movies").select(F.col("movie_key").alias("rowid"), F.col("overview").alias("document"))
     leaf = Leaf(sparse=(("lighthouse", 1.0), ("captain", 1.0)), key="bm25", limit=10)
-    found = leaf_scores(sparse_scores(text_postings(rows), leaf.sparse), leaf)
+    found = leaf_scores(TextIndex().scores(rows, leaf.sparse), leaf)
     return found.select("rowid", _digits(F.col("v"), 3).alias("score"))
 
 
@@ -502,10 +529,10 @@ def question_nearest_passage(spark, sf_dir):
     return knn_batch(passages, questions, 1, "cosine").select(F.col("qid").alias("item_id"), F.col("rowid").alias("passage"), (F.col("qid") == F.col("rowid")).alias("own"))
 
 
-@query("base64_roundtrip", "SELECT vec_id, true AS same FROM embeddings")
+@query("base64_roundtrip", "SELECT vec_id, embedding FROM embeddings")
 def base64_roundtrip(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    return rows.select("vec_id", (decode_base64(encode_base64(F.col("embedding"))) == F.col("embedding")).alias("same"))
+    return rows.select("vec_id", decode_base64(encode_base64(F.col("embedding"))).alias("embedding"))
 
 
 @query("keyword_top5", f"""
@@ -548,7 +575,7 @@ def schema_key_growth(spark, sf_dir):
     return log.key_growth(rows).filter("kind is not null")
 
 
-# Writes: the state is one half of the records, the batch a changed part of the whole
+# Writes: the state are all records, the batch changes every one and brings as many new ones
 
 
 def _entries(*keys: str):
@@ -558,13 +585,13 @@ def _entries(*keys: str):
 
 
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "records").withColumn("id", F.col("rowid").cast("string")).filter(F.col("rowid") % 2 == 0)
+    rows = table(spark, sf_dir, "records").withColumn("id", F.col("rowid").cast("string"))
     return rows.select("rowid", "id", "embedding", "document", "uri", _entries("category", "lang").alias("metadata"), "seq")
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third record, twice: once with a new language and no category, then with a new document."""
-    rows = table(spark, sf_dir, "records").withColumn("id", F.col("rowid").cast("string")).filter(F.col("rowid") % 3 == 0)
+    """Every record under its own and under a new id, each twice: once with a new language and no category, then with a new document."""
+    rows = table(spark, sf_dir, "records").withColumn("id", F.explode(F.array(F.col("rowid").cast("string"), F.concat(F.lit("new-"), "rowid"))))
     null = F.lit(None).cast("string")
     first = F.map_from_arrays(F.array(F.lit("category"), F.lit("lang")), F.array(null, F.upper("lang")))
     second = F.map_from_arrays(F.array(F.lit("extra")), F.array(F.lit("yes")))
@@ -579,8 +606,8 @@ def _written(state: DataFrame) -> DataFrame:
 
 
 _LOG = """
-WITH s AS (SELECT rowid, rowid::VARCHAR AS id, len(embedding) AS dims, document, uri, category, lang, seq FROM records WHERE rowid % 2 = 0),
-b AS (SELECT rowid AS o, rowid::VARCHAR AS id, len(embedding) AS dims, uri, upper(lang) AS lang FROM records WHERE rowid % 3 = 0),
+WITH s AS (SELECT rowid, rowid::VARCHAR AS id, len(embedding) AS dims, document, uri, category, lang, seq FROM records),
+b AS (SELECT rowid AS o, unnest([rowid::VARCHAR, 'new-' || rowid]) AS id, len(embedding) AS dims, uri, upper(lang) AS lang FROM records),
 kept AS (SELECT s.id, s.rowid, CASE WHEN b.id IS NULL THEN s.dims ELSE coalesce(b.dims, s.dims) END AS dims, CASE WHEN b.id IS NULL THEN s.document ELSE 'changed' END AS document,
   CASE WHEN b.id IS NULL THEN s.uri ELSE coalesce(b.uri, s.uri) END AS uri, CASE WHEN b.id IS NULL THEN category END AS category,
   CASE WHEN b.id IS NULL THEN s.lang ELSE b.lang END AS lang, CASE WHEN b.id IS NOT NULL THEN 'yes' END AS extra, CASE WHEN b.id IS NULL THEN s.seq ELSE 99 END AS seq
@@ -623,11 +650,151 @@ SELECT collection_id, id, rowid, seq FROM l WHERE r = 1""")
 def replay_log(spark, sf_dir):
     """The last write of each id of each collection."""
     rows = table(spark, sf_dir, "records")
-    last = rows.groupBy("collection_id", "id").agg(F.max(F.struct("seq", "rowid")).alias("m"))
-    return last.select("collection_id", "id", "m.rowid", "m.seq")
+    return log.last_writes(rows, ["collection_id", "id"], ["seq", "rowid"], ["rowid", "seq"])
 
 
-@query("movies_csv_year", "SELECT movie_key, try_cast(substr(release_date, 1, 4) AS INTEGER) AS y FROM movies WHERE trim(title) <> '' AND trim(overview) <> ''")
+@query("movies_csv_year", """SELECT id, title, original_language, adult, budget, overview, release_date, try_cast(substr(release_date, 1, 4) AS INTEGER) AS year
+FROM movies WHERE trim(title) <> '' AND trim(overview) <> ''""")
 def movies_csv_year(spark, sf_dir):
-    rows = table(spark, sf_dir, "movies").filter((F.trim("title") != "") & (F.trim("overview") != ""))
-    return rows.select("movie_key", F.substring("release_date", 1, 4).try_cast("int").alias("y"))
+    """The movies written as a CSV file and read again."""
+    path = shared_folder(spark, "movies-csv")
+    flat = table(spark, sf_dir, "movies").select("adult", "budget", "id", "original_language", "overview", "release_date", "title")
+    flat.coalesce(1).write.csv(path, header=True, quote='"', escape='"', lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return movies_csv(spark, path)
+
+
+@query("document_lines", r"""
+SELECT trim(line, E' \t\r') AS text, place AS line_number FROM (SELECT unnest(l) AS line, unnest(range(1, len(l) + 1)) AS place FROM (
+  SELECT string_split(string_agg(question, E'\n' ORDER BY item_id), E'\n') AS l FROM eval_items)) WHERE trim(line, E' \t\r') <> ''""")
+def document_lines(spark, sf_dir):
+    """The questions written as one text file and read by lines with their numbers."""
+    path = shared_folder(spark, "lines")
+    table(spark, sf_dir, "eval_items").filter("question is not null").orderBy("item_id").select("question").coalesce(1).write.text(path)
+    return text_lines(spark, path).select("text", F.col("line_number").cast("long").alias("line_number"))
+
+
+@query("line_retrieval")
+def line_retrieval(spark, sf_dir):
+    """For each question's own line of a file, the nearest line with its file and number, both embedded by feature hashing."""
+    path = shared_folder(spark, "lines")
+    table(spark, sf_dir, "eval_items").filter("support is not null").orderBy("item_id").select(F.regexp_replace("support", r"\s+", " ").alias("line")).coalesce(1).write.text(path)
+    made = hashing_embedder(256)
+    lines = text_lines(spark, path).withColumn("rowid", F.col("line_number").cast("long")).withColumn("embedding", made(F.col("text")))
+    asked = table(spark, sf_dir, "eval_items").filter("question is not null").select(F.col("item_id").alias("qid"), made(F.col("question")).alias("embedding"))
+    found = knn_join(lines, asked, 1, "cosine")
+    return found.join(lines.select("rowid", "filename", "line_number", "text"), "rowid").select("qid", "line_number", "text")
+
+
+@query("movies_hybrid")
+def movies_hybrid(spark, sf_dir):
+    """Movies by fusion of a hashed embedding of the overview and its keywords, leaves of 100 with the default 100, ten best."""
+    made = hashing_embedder(128)
+    rows = table(spark, sf_dir, "movies").filter("overview is not null").select(
+        F.col("movie_key").alias("rowid"), F.col("movie_key").cast("string").alias("id"), F.col("overview").alias("document"), "title", made(F.col("overview")).alias("embedding"))
+    text = "a captain near the lighthouse"
+    vector = spark.range(1).select(made(F.lit(text)).alias("v")).first().v
+    keyword = {"indices": [], "values": []}
+    from orrery.operators.rank import Leaf, leaf_scores, ordered, parse_rank, score
+
+    both = Collection(rows, "cosine", 128)
+    found = [
+        both.leaf(Leaf(query=tuple(vector), limit=100, default=100.0, return_rank=True), rows, False),
+        leaf_scores(TextIndex().scores(rows, [("captain", 1.0), ("lighthouse", 1.0)], None, rows.count()), Leaf(sparse=(), key="bm25", limit=100, default=100.0, return_rank=True)),
+    ]
+    tree = parse_rank(rrf([dense(vector, 100, 100, True), sparse(keyword, "bm25", 100, 100, True)]))
+    return ordered(score(tree, found)).limit(10).join(rows.select("rowid", "title"), "rowid")
+
+
+@query("sparse_documents", f"""
+WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}]+')) AS term FROM eval_items WHERE question IS NOT NULL),
+tf AS (SELECT item_id, term, count(*)::DOUBLE AS tf FROM w WHERE term NOT IN ({_STOP_SQL}) GROUP BY ALL),
+n AS (SELECT item_id, sum(tf) AS n FROM tf GROUP BY ALL),
+raw AS (SELECT DISTINCT term, hex(encode(term)) AS x FROM tf),
+h AS (SELECT term, list_reduce(list_transform(range(0, len(x) // 2), lambda i: (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1),
+  lambda a, b: (xor(a, b) * 16777619) % 4294967296, 2166136261) % 2147483648 AS dim FROM raw)
+SELECT tf.item_id, dim, round(sum(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 256))), 4) AS value FROM tf JOIN n ON n.item_id = tf.item_id JOIN h ON h.term = tf.term GROUP BY ALL
+""")
+def _sparse_documents(spark, sf_dir):
+    """Keyword vectors with hashed dimensions."""
+    rows = table(spark, sf_dir, "eval_items").filter("question is not null").select("item_id", sparse_documents(F.col("question")).alias("s"))
+    pairs = F.arrays_zip(F.col("s.indices").alias("dim"), F.col("s.values").alias("value"))
+    return rows.select("item_id", F.inline(pairs).alias("dim", "value")).select("item_id", "dim", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+@query("search_responses", """
+SELECT 0 AS search, list(id ORDER BY rowid) AS ids, list(document ORDER BY rowid) AS documents, NULL AS scores FROM (SELECT * FROM records WHERE lang = 'en' ORDER BY rowid LIMIT 7)
+UNION ALL SELECT 1, list(id ORDER BY rowid), NULL, NULL FROM (SELECT * FROM records WHERE year > 2015 ORDER BY rowid LIMIT 3 OFFSET 2)""")
+def search_responses(spark, sf_dir):
+    """Two searches answered together, the second without documents."""
+    asked = [{"filter": {"lang": "en"}, "limit": {"limit": 7}, "select": {"keys": ["#document"]}}, {"filter": {"year": {"$gt": 2015}}, "limit": {"limit": 3, "offset": 2}}]
+    return Collection(table(spark, sf_dir, "records")).respond(asked).select("search", "ids", "documents", F.lit(None).cast("string").alias("scores"))
+
+
+# Collections of a catalog
+
+
+def _store(spark: SparkSession) -> Catalog:
+    return Catalog(spark, shared_folder(spark, "catalog"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str, more: dict | None = None, id: str = "cast(vec_id as string)") -> DataFrame:  # noqa: A002
+    """All embeddings as a batch of writes."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(
+        F.col("vec_id").cast("long").alias("ord"), F.expr(id).alias("id"), "embedding", F.lit(None).cast("string").alias("document"), F.lit(None).cast("string").alias("uri"),
+        typed_metadata({"label": "label as long"} | (more or {})).alias("metadata"),
+    )
+
+
+def _held(collection, name: str) -> DataFrame:
+    meta = lambda key, field: F.try_element_at("metadata", F.lit(key))[field]
+    return collection.get().select(F.lit(name).alias("collection"), "id", "rowid", meta("label", "i").alias("label"), meta("tag", "s").alias("tag"), "seq")
+
+
+@query("catalog_fork_diverge", """
+WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = 1) AS one FROM embeddings),
+v AS (SELECT vec_id::VARCHAR AS id, row_number() OVER (ORDER BY vec_id) AS rowid, label::BIGINT AS label FROM embeddings)
+SELECT 'parent' AS collection, id, rowid, label, NULL AS tag, n AS seq FROM v, n WHERE label <> 3
+UNION ALL SELECT 'child', id, rowid, label, CASE WHEN label = 1 THEN 'forked' END, CASE WHEN label = 1 THEN n + one ELSE n END FROM v, n WHERE label <> 2""")
+def catalog_fork_diverge(spark, sf_dir):
+    """A collection and its fork, written apart."""
+    store = _store(spark)
+    parent = store.create_collection("parent")
+    parent.write("add", _labelled(spark, sf_dir))
+    child = parent.fork("child")
+    child.write("update", _labelled(spark, sf_dir, {"tag": "'forked' as string"}).filter(F.try_element_at("metadata", F.lit("label"))["i"] == 1))
+    child.delete(where={"label": 2})
+    parent.delete(where={"label": 3})
+    return _held(parent, "parent").unionByName(_held(child, "child"))
+
+
+@query("catalog_upsert", """
+WITH n AS (SELECT count(*) AS n FROM embeddings), v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r, label::BIGINT AS label FROM embeddings)
+SELECT 'c' AS collection, vec_id::VARCHAR AS id, r AS rowid, label + 100 AS label, NULL AS tag, 3 * n AS seq FROM v, n
+UNION ALL SELECT 'c', 'new-' || vec_id, n + r, label, 'x', 3 * n FROM v, n""")
+def catalog_upsert(spark, sf_dir):
+    """Every record changed and as many added, in one write of a collection that is read again."""
+    store = _store(spark)
+    c = store.create_collection("store")
+    c.write("add", _labelled(spark, sf_dir))
+    c.write("upsert", _labelled(spark, sf_dir, {"label": "label + 100 as long"}).unionByName(_labelled(spark, sf_dir, {"tag": "'x' as string"}, "concat('new-', vec_id)")))
+    return _held(Catalog(spark, store.root).collection("store"), "c")
+
+
+@query("stream_twice", """SELECT vec_id::VARCHAR AS id, label::BIGINT + 7 AS label FROM embeddings UNION ALL SELECT 'other-' || vec_id, label::BIGINT FROM embeddings""")
+def stream_twice(spark, sf_dir):
+    """Two streams of writes into one collection, the first run again after its end: each batch counts once."""
+    from orrery.streaming.sink import write_stream
+
+    c = _store(spark).create_collection("streamed")
+    folder = shared_folder(spark, "streams")
+    for name, batch in (("one", _labelled(spark, sf_dir, {"label": "label + 7 as long"})), ("two", _labelled(spark, sf_dir, id="concat('other-', vec_id)"))):
+        batch.write.parquet(f"{folder}/{name}")
+        for _ in range(2):
+            stream = spark.readStream.schema(batch.schema).parquet(f"{folder}/{name}")
+            write_stream(stream, c, f"{folder}/checkpoint-{name}").awaitTermination()
+    return _held(c, "s").select("id", "label")
+
+
+for _space in ("l2", "ip", "cosine"):
+    _dirty(_space)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -52,9 +53,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, for a written table or a catalog."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -73,14 +82,17 @@ def parallelism(spark: SparkSession) -> int:
 
 def join_small(
     left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner",
-    max_rows: int = BROADCAST_ROWS, salts: int = 16,
+    max_rows: int = BROADCAST_ROWS, salts: int | None = None,
 ) -> DataFrame:
     """Join a large, skewed left side with a narrow right side whose keys are unique.
 
     Up to max_rows (counted, not estimated) the right side is broadcast. Beyond that both sides
     are shuffled on the key and a salt drawn from the spread columns, so that a key holding a
-    third of the left side is shared by `salts` tasks. Null keys match nothing. how: inner or left.
+    third of the left side is shared by `salts` tasks: by default half as many as the shuffle has, a number
+    that is set with the data's size; adaptive execution splits what is still too large on the left side.
+    Null keys match nothing. how: inner or left.
     """
+    salts = salts or max(16, parallelism(left.sparkSession) // 2)
     if at_most(right, max_rows):
         return left.join(F.broadcast(right), on, how)
     salt = "__salt"

@@ -10,13 +10,15 @@ MOVIE_CSV = "adult string, budget string, genres string, id string, original_lan
 
 
 def movies_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Movies of a CSV file with a header, quoted fields over several lines; rows without title or overview, or malformed, are dropped.
+    """Movies of a CSV file with a header, quoted fields over several lines; rows without title or overview are dropped.
+
+    Rows may be ragged: fields that a short row lacks are null, what a long row has too many of is left out.
 
     year is the first four characters of release_date, where they are a number; a budget that is none is null.
     """
     header = spark.read.text(path).first()
     names = [c.strip().strip('"') for c in header[0].split(",")] if header else []
-    rows = spark.read.schema(", ".join(f"`{n}` string" for n in names)).csv(path, header=True, multiLine=True, quote='"', escape='"', mode="DROPMALFORMED")
+    rows = spark.read.schema(", ".join(f"`{n}` string" for n in names)).csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
     for wanted in ("title", "overview", "release_date", "budget", "id", "original_language", "adult"):
         if wanted not in rows.columns:
             rows = rows.withColumn(wanted, F.lit(None).cast("string"))
@@ -40,7 +42,7 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("filename"))
     lines = whole.select("filename", F.posexplode(F.split("value", "\n")).alias("at", "line"))
     text = F.regexp_replace("line", r"^\s+|\s+$", "")
-    return lines.select(text.alias("text"), F.url_decode("filename").alias("filename"), (F.col("at") + 1).alias("line_number")).filter("text != ''")
+    return lines.select(text.alias("text"), F.url_decode(F.replace(F.col("filename"), F.lit("+"), F.lit("%2B"))).alias("filename"), (F.col("at") + 1).alias("line_number")).filter("text != ''")
 
 
 def nested_response(results: DataFrame, query: str = "qid", place: str = "place", columns: tuple = ("rowid", "distance")) -> DataFrame:

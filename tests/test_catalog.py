@@ -230,14 +230,16 @@ def test_schemas(spark, catalog):
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "m.csv").write_text('adult,budget,id,original_language,overview,release_date,title\nFalse,10,1,en,"A ""b"",\nc",2001-05-01,T\nFalse,x,2,en,,1999-01-01,U\nFalse,x,3,fr,O,,V\n')
-    assert [(r.id, r.year, r.budget, r.overview) for r in movies_csv(spark, str(tmp_path / "m.csv")).collect()] == [("1", 2001, 10, 'A "b",\nc'), ("3", None, None, "O")]
+    (tmp_path / "m.csv").write_text('adult,budget,id,original_language,overview,release_date,title\nFalse,10,1,en,"A ""b"",\nc",2001-05-01,T\nFalse,x,2,en,,1999-01-01,U\nFalse,x,3,fr,O,,V\nTrue,5,4,de,Short,2002-02-02\nTrue,5,5,de,Over,2003-03-03,W,more,fields\nTrue,6,6,it,Cut\n')
+    assert [(r.id, r.year, r.budget, r.overview) for r in movies_csv(spark, str(tmp_path / "m.csv")).collect()] == [("1", 2001, 10, 'A "b",\nc'), ("3", None, None, "O"), ("5", 2003, 5, "Over")]
+    (tmp_path / "late.csv").write_text("title,overview,id,budget,release_date\nA,B,1,2,1990-01-01\nShort,Row,2\n")
+    assert [(r.id, r.title, r.budget, r.year) for r in movies_csv(spark, str(tmp_path / "late.csv")).collect()] == [("1", "A", 2, 1990), ("2", "Short", None, None)]
     (tmp_path / "m.jsonl").write_text('{"title":"T","year":2000,"genres":["a"],"budget":null}\n')
     assert movies_jsonl(spark, str(tmp_path / "m.jsonl")).first().genres == ["a"]
     (tmp_path / "c.json").write_text('{"b": "two",\n "a": "one"}')
     assert [tuple(r) for r in corpus_object(spark, str(tmp_path / "c.json")).collect()] == [("a", "one"), ("b", "two")]
-    (tmp_path / "t.txt").write_text("one\n\n  two \r\n")
-    assert [tuple(r) for r in text_lines(spark, str(tmp_path / "t.txt")).collect()] == [("one", "t.txt", 1), ("two", "t.txt", 3)]
+    (tmp_path / "t+1 é.txt").write_text("one\n\n  two \r\n")
+    assert [tuple(r) for r in text_lines(spark, str(tmp_path / "t+1 é.txt")).collect()] == [("one", "t+1 é.txt", 1), ("two", "t+1 é.txt", 3)]
 
 
 def test_stream_is_applied_once(spark, catalog, tmp_path):

@@ -4,10 +4,10 @@ import numpy as np
 import pytest
 
 from orrery.errors import EngineError, InvalidArgument, Unprocessable, Validation
-from orrery.functions.text import embed, encode_document, encode_query, split_words, term_dimension
+from orrery.functions.text import embed, encode_document, encode_query, fnv, split_words, term_dimensions
 from orrery.functions.vectors import decode_base64, distance_to, encode_base64, parse_vector
 from orrery.operators.grouping import parse_group_by
-from orrery.operators.knn import Ivf, knn, knn_batch, knn_two_stage, restrict_ids
+from orrery.operators.knn import Ivf, knn, knn_batch, knn_join, knn_two_stage, restrict_ids
 from orrery.operators.metrics import keywords, retrieval_metrics
 from orrery.operators.rank import combine, dense, leaves, parse_rank, rrf, score, sparse, val
 from orrery.operators.search import Collection, parse_payload, sort_keys
@@ -68,6 +68,33 @@ def test_index_with_default_probes_loses_no_neighbour(spark, space):
     assert {(r.qid, r.place): r.rowid for r in index.search_batch(stated, 10, space).collect()} == want
     assert [r.rowid for r in index.search(stated[1][1], 10, space).collect()] == [want[20, p] for p in range(10)]
     assert index.search_batch([(1, x[5].tolist())], 10, space, probes=1).count() == 10
+    if space == "l2":
+        near = {(r.qid, r.rowid) for r in index.search_batch(stated, 10, space, exact=False).collect()}
+        assert len(near & {(q, r) for (q, _), r in want.items()}) >= 0.9 * len(want) and index.probes < 64
+
+
+def test_batches_and_joins_of_dirty_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 12)).astype(np.float32)
+    x[7], x[8], x[9, 0], x[10, 0], x[11] = 0, x[3], np.nan, np.inf, x[3] * 1e20
+    rows = [(i, [float(v) for v in x[i]]) for i in range(300)] + [(900, None), (901, [1.0]), (None, [1.0] * 12)]
+    df = spark.createDataFrame(rows, "rowid long, embedding array<float>")
+    asked = [*range(0, 12), 50, 290]
+    for space in ("l2", "ip", "cosine"):
+        a = x.astype(float)
+        with np.errstate(all="ignore"):
+            d = [((a - a[q]) ** 2).sum(1) if space == "l2" else 1 - (a * a[q]).sum(1) / (1 if space == "ip" else np.sqrt((a * a).sum(1)) * np.sqrt((a[q] * a[q]).sum())) for q in asked]
+        want = {(q, p): int(r) for q, v in zip(asked, d, strict=True) for p, r in enumerate(np.lexsort((np.arange(300), v))[:295])}
+        got = knn_batch(df.filter("rowid is not null"), [(q, x[q].tolist()) for q in asked], 295, space).collect()
+        finite = {(r.qid, r.rowid): r.place for r in got}
+        assert len(got) == len(finite) == len(want)
+        for q in asked:
+            assert {r for (a_, r) in finite if a_ == q} == {want[q, p] for p in range(295)}, (space, q)
+        table = df.filter(df.rowid.isin(*asked)).selectExpr("rowid qid", "embedding")
+        for blocks in ({}, {"query_block": 3, "record_block": 40}):
+            joined = {(r.qid, r.rowid): r.place for r in knn_join(df, table, 20, space, **blocks).collect()}
+            assert joined == {(r.qid, r.rowid): r.place for r in knn_batch(df.filter("rowid is not null"), [(q, x[q].tolist()) for q in asked], 20, space).collect()}
+    assert knn_join(df, table.limit(0), 3).count() == 0 and knn_join(df.limit(0), table, 3).count() == 0
 
 
 def test_ids_and_zero_vectors(spark, plane):
@@ -146,13 +173,45 @@ def test_fusion_groups_and_keywords(spark):
         parse_payload({"group_by": grouped["group_by"]})
 
 
+def test_hashes_of_many_strings():
+    texts = ["", "a", "foobar", "é", "a" * 70, "b", "foobar"]
+    for bits, start, prime in ((32, 0x811C9DC5, 0x01000193), (64, 0xCBF29CE484222325, 0x100000001B3)):
+        want = []
+        for t in texts:
+            h = start
+            for byte in t.encode():
+                h = ((h ^ byte) * prime) % 2**bits
+            want.append(h)
+        assert fnv(texts, bits).tolist() == want and fnv([], bits).tolist() == []
+
+
+def test_numbers_of_both_kinds_tie(spark):
+    from orrery.functions.values import METADATA, parse_metadata
+    from orrery.operators.grouping import GroupBy, best_of_groups
+
+    values = [(1, '{"n": 1}', 0.5), (2, '{"n": 1.0}', 0.4), (3, '{"n": 2}', 0.1), (4, '{"n": true}', 0.9), (5, "{}", 0.9)]
+    rows = [(i, parse_metadata(m), s) for i, m, s in values]
+    df = spark.createDataFrame(rows, f"rowid long, metadata {METADATA}, score float").selectExpr("rowid", "score", "'g' g", "try_element_at(metadata, 'n') n")
+    got = [r.rowid for r in best_of_groups(df, GroupBy(("g",), "$min_k", ("n",), 3)).collect()]
+    assert sorted(got) == [2, 4, 5]  # missing, boolean, then the better score of the two ones
+
+
+def test_responses_of_several_searches(spark):
+    df = spark.createDataFrame([(1, "a", [1.0, 0.0], "x", 1), (2, "b", [0.0, 1.0], "y", 2)], "rowid long, id string, embedding array<float>, g string, n long").selectExpr("*", "id as document")
+    c = Collection(df, "l2", 2)
+    got = {r.search: r for r in c.respond([{"rank": dense([0, 1]), "select": {"keys": ["#score", "#document", "g"]}}, {"limit": {"limit": 1}}, {"filter": {"g": "none"}, "select": {"keys": ["#metadata"]}}]).collect()}
+    assert got[0].ids == ["b", "a"] and got[0].scores == [0, 2] and got[0].documents == ["b", "a"] and got[0].metadatas == ['{"g":"y"}', '{"g":"x"}'] and got[0].embeddings is None
+    assert got[1].ids == ["a"] and (got[1].scores, got[1].documents, got[1].metadatas) == (None, None, None)
+    assert got[2].ids == [] and got[2].metadatas == []
+
+
 def test_encoders():
     assert split_words("Ab_c 12é") == ["ab", "c", "12é"]
     doc = encode_document("the shard shard vector")
     at = doc["tokens"].index("shard")
     norm = 1.2 * (0.25 + 0.75 * 3 / 256)
     assert abs(doc["values"][at] - 2 * 2.2 / (2 + norm)) < 1e-6 and doc["indices"] == sorted(doc["indices"])
-    assert encode_query("the shard SHARD")["values"] == [1.0] and term_dimension("a") == 0xE40C292C & 0x7FFFFFFF
+    assert encode_query("the shard SHARD")["values"] == [1.0] and term_dimensions(["a"]).tolist() == [0xE40C292C & 0x7FFFFFFF]
     e = embed("", 8)
     assert e[0] == 1 and abs(np.linalg.norm(embed("green field", 64)) - 1) < 1e-6
     near, far = (float(embed("green fields of grass", 256) @ embed(t, 256)) for t in ("a green field", "stock market news"))
