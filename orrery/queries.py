@@ -653,7 +653,7 @@ def replay_log(spark, sf_dir):
     return log.last_writes(rows, ["collection_id", "id"], ["seq", "rowid"], ["rowid", "seq"])
 
 
-@query("movies_csv_year", """SELECT id, title, original_language, adult, budget, overview, release_date, try_cast(substr(release_date, 1, 4) AS INTEGER) AS year
+@query("movies_csv_year", """SELECT id, title, nullif(original_language, '') AS original_language, nullif(adult, '') AS adult, budget, overview, nullif(release_date, '') AS release_date, try_cast(substr(release_date, 1, 4) AS INTEGER) AS year
 FROM movies WHERE trim(title) <> '' AND trim(overview) <> ''""")
 def movies_csv_year(spark, sf_dir):
     """The movies written as a CSV file and read again."""

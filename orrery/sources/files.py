@@ -12,7 +12,7 @@ MOVIE_CSV = "adult string, budget string, genres string, id string, original_lan
 def movies_csv(spark: SparkSession, path: str) -> DataFrame:
     """Movies of a CSV file with a header, quoted fields over several lines; rows without title or overview are dropped.
 
-    Rows may be ragged: fields that a short row lacks are null, what a long row has too many of is left out.
+    Rows may be ragged: fields that a short row lacks are null, what a long row has too many of is left out. An empty field is null.
 
     year is the first four characters of release_date, where they are a number; a budget that is none is null.
     """
