@@ -2,141 +2,206 @@
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.mixture import source_key
-from orrery.llm.near import components
-from orrery.llm.shingles import Hasher, batch_sets, mix, runs_of, shingle_set
+from orrery.llm.shingles import mix, runs_of
 from orrery.llm.terms import terms
-from orrery.runtime import cut_lineage, join_small
+from orrery.runtime import cut_lineage, join_small, parallelism
 
-#: Contexts of a word.
-CONTEXTS = 5
-#: Bits of a part of the filter of asked contexts, and of the whole filter at most; it only spares rows, counts are exact.
+#: Contexts of a word, and those of them that hold no word but frequent ones.
+CONTEXTS, SKELETONS = 6, (0, 3, 5)
+#: Terminality of an open tag, link, entity or half character: nothing ends there.
+BROKEN = 1e-3
+#: Bits of a part of a filter of asked keys, and of the whole filter at most; it only spares rows, results are exact.
 PART, FILTER = 1 << 15, 1 << 27
 #: Words this frequent are kept in a sentence's skeleton; the others count by their kind only.
 FRAME_WORDS = 80
-#: Occurrences that make a word known, so that its beginnings tell a half word at a text's end.
-KNOWN = 4
 #: Distinct words that a task counts before it passes their counts on.
 HELD_WORDS = 200_000
-#: Bands of the min-hash; each of ROWS values. At a similarity of 0.8 all bands miss one pair in 5,000.
-BANDS, ROWS = 16, 4
-#: Log odds of a length's unended texts above which it is a field limit, whatever the last words; how
-#: much lesser odds count against closing words; log odds of a closing below which a text is cut anyway.
-CAP, SPIKE_WEIGHT, CLOSING = 2.5, 1.8, 2.0
-#: Endings of texts that may be cut.
-OPEN = ("plain", "marked", "surely", "broken", "block")
-_WORD = re.compile(r"[^\W_]+")
-_END = r"\s*[.!?。…]+[\"'”’»)\]*_`]*(?=\s|$|[^\x00-\x7f])|\s*[.!?。]+$|\s*\n\s*(?:\n|[-*|>]|$)"
-_CLOSE = re.compile(_END)
-#: A word, and whether a sentence closes behind it, in one pass.
-_WORD_END = re.compile(rf"([^\W_]+)(?=({_END})?)")
+#: Bands of the min-hash, each of ROWS values. At a similarity of 0.8 all bands miss one pair in 300.
+BANDS, ROWS = 8, 3
+#: Words of a run that is hashed, and of the run at a text's end that its near-copies are asked for.
+WIDTH, TAIL = 5, 3
+#: How many last words may lie behind that run: none, half a word or a changed one, a few changed ones.
+BEHIND = (0, 1, 2, 4)
+#: Ratio of the lengths at which beginnings are hashed.
+STEP = 2**0.5
+#: Texts that a prior takes into account besides those it is counted from.
+PSEUDO = 1.0
+#: A word, with the mark behind it that its sentence goes on after.
+_WORD = re.compile(r"[^\W_]+[,:;]?")
+#: Where a sentence, paragraph, list item or table cell ends.
+_CLOSE = re.compile(r"([.!?。…]+[\"'”’»)\]*_`]*(?=\s|$|[^\x00-\x7f])|[.!?。]+$|\n\s*(?:\n|[-*|>]|$))")
 #: Endings that a closed text may have after its last sentence: quotes, brackets, emphasis, symbols.
 _TRAIL = re.compile(r"[\s\"'”’»)\]*_\U0001F000-\U0001FAFF☀-➿️]+$")
 _ENDED = re.compile(r"[.!?。！？]$")
-_MARKER = re.compile(r"(?:\s*\[(?:\.\.\.|…)\]|\s*(?:\.\.\.|…)\s*(?:read )?more|(?:\.\.\.|…))$", re.IGNORECASE)
-_SURE_MARKER = re.compile(r"(?:\[(?:\.\.\.|…)\]|(?:\.\.\.|…)\s*(?:read )?more)$", re.IGNORECASE)
-_BROKEN = re.compile(r"(?:<[A-Za-z/!][^<>\n]{0,200}|\[[^\]\n]{0,200}|\]\([^)\n]{0,300}|&[A-Za-z]{1,8}|[,;:、(\[{/&–-])$")
-_BLOCK = re.compile(r"\s*(?:[-*•+]\s|\d{1,3}[.)]\s|\||--\s)|[^.!?\n]{1,24}:\s")
-_SIGN = re.compile(r"(?:best|regards|cheers|thanks|thank you|sincerely|greetings|yours)\b[^.!?]{0,40}$", re.IGNORECASE)
+_DOTS = re.compile(r"\s*(?:\[(?:\.\.\.|…)\]|(?:\.\.\.|…)(?:\s*\w+)?)$")
+_MARKUP = re.compile(r"(?:<[A-Za-z/!][^<>\n]{0,200}|\[[^\]\n]{0,200}|\]\([^)\n]{0,300}|&[A-Za-z]{1,8})$")
+_OPEN = re.compile(r"[,;:、(\[{/&–-]$")
 _DECIMAL = re.compile(r"(?<![-\w])\d+\.$")  # a number that may go on behind its point
 _TAG = re.compile(r"<[^<>]{0,200}>|&[A-Za-z]{2,8};")
+_NONE = np.uint64(5)
 
 
 def ending(text: str) -> tuple[str, str]:
-    """How a text ends, and the text whose last sentence is to be judged.
+    """How a text ends, and the text whose last words are to be judged.
 
-    `broken` (half a character, an open tag, link, entity or code fence), `surely` (a marker that only cut
-    texts have), `marked` (dots, which whole texts have too), `block` (a list item, table row, labelled
-    line or signature), `plain` (words without a final stop), `ended` (a final stop), `empty`.
+    `empty`; `ended` (a final stop, or something else that closes: a bracket, a code fence, a table row, a
+    symbol); and the open ones: `markup` (half a character, an open tag, link, entity, code fence or table
+    row), `comma` (a mark that something must follow), `bracket`, `more`, `dots` (an ellipsis in brackets,
+    before one more word, or bare), `plain`.
     """
     body = text.rstrip()
     if not body:
         return "empty", body
-    if body.endswith("�") or _BROKEN.search(body[-400:]):
-        return "broken", body
-    if body.count("```") % 2:
-        return "broken", body
-    if _SURE_MARKER.search(body):
-        return "surely", _MARKER.sub("", body)
-    marker = _MARKER.search(body)
-    if marker:
-        return "marked", body[: marker.start()]
+    if body[-1] == "�" or _MARKUP.search(body, max(0, len(body) - 400)) or body.count("```") % 2:
+        return "markup", body
+    dots = _DOTS.search(body, max(0, len(body) - 40))
+    if dots:
+        found = dots.group().strip()
+        return ("bracket" if found[0] == "[" else "more" if found[-1].isalnum() else "dots"), body[: dots.start()]
+    if _OPEN.search(body):
+        return "comma", body
     line = body[body.rfind("\n") + 1 :]
     if body.endswith("```"):
         return "ended", body
     if line.lstrip().startswith("|"):
-        return ("ended" if line.rstrip().endswith("|") else "broken"), body
-    core = _TRAIL.sub("", body)
-    if not core:
+        return ("ended" if line.endswith("|") else "markup"), body
+    core = _TRAIL.sub("", body[-400:])
+    decimal = _DECIMAL.search(core)
+    if not core or (_ENDED.search(core) and not decimal) or (core != body[-400:] and not core[-1].isalnum()):
         return "ended", body
-    if _ENDED.search(core) and not _DECIMAL.search(core):
-        return "ended", core
     if body.endswith(")") and "(" in body[-400:-1]:
-        return "ended", core
-    before = body[: body.rfind("\n")].rstrip() if "\n" in body else ""
-    if (_BLOCK.match(line) and len(line.split()) <= 8) or _SIGN.match(line.strip()) or (len(line.split()) <= 3 and _SIGN.search(before[before.rfind("\n") + 1 :])):
-        return "block", core
-    if core != body and not core[-1:].isalnum():
-        return "ended", core
-    return "plain", core.rstrip(".") if _DECIMAL.search(core) else core
-
-
-def _kind(word: str) -> int:
-    if word[0].isdigit():
-        return 3
-    return 2 if word[0].isupper() else 1
-
-
-class Contexts:
-    """Hashed contexts of every word: the sentence so far as a skeleton, the last words, their skeleton, the word."""
-
-    def __init__(self, frame: set[str]):
-        self.frame, self.hasher = frame, Hasher()
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """(contexts (5, words), whether a sentence closes after each word, the text of each word, the words) of texts."""
-        found = [_WORD_END.findall(_TAG.sub(" ", t)) for t in texts]
-        row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-        words = [m[0] for f in found for m in f]
-        if not words:
-            return np.empty((CONTEXTS, 0), np.uint64), np.empty(0, bool), row, []
-        lower = [w.lower() for w in words]
-        closes = np.array([m[1] != "" for f in found for m in f])
-        exact = self.hasher(lower)
-        kinds = np.array([_kind(w) for w in words], dtype=np.uint64)
-        in_frame = np.array([w in self.frame for w in lower])
-        skeleton = mix(np.where(in_frame, exact, kinds))
-        last = np.zeros(len(words), dtype=bool)
-        last[np.flatnonzero(np.diff(row))] = True
-        sentence = np.empty_like(skeleton)
-        h, one, b = 7, 0xFFFFFFFFFFFFFFFF, 0x9E3779B97F4A7C15
-        out = []
-        for s, stop in zip(skeleton.tolist(), (closes | last).tolist(), strict=True):
-            h = ((h ^ s) * b + 0x1234567) & one
-            out.append(h)
-            if stop:
-                h = 7
-        sentence = np.array(out, dtype=np.uint64)
-
-        def before(values: np.ndarray, steps: int) -> np.ndarray:
-            moved = np.concatenate([np.full(steps, 5, np.uint64), values])[: len(values)]
-            same = np.concatenate([np.full(steps, -1), row])[: len(values)] == row
-            return np.where(same, moved, np.uint64(5))
-
-        pair = mix(mix(before(exact, 1)) + exact)
-        triple = mix(mix(before(skeleton, 2)) + pair)
-        frame = mix(mix(before(skeleton, 2)) + mix(before(skeleton, 1) + skeleton) + skeleton)
-        return np.stack([mix(sentence), triple, pair, frame, mix(exact)]), closes, row, lower
+        return "ended", body
+    return "plain", body[: len(body) - len(body[-400:]) + len(core)].rstrip(".") if decimal else body[: len(body) - len(body[-400:]) + len(core)]
+
+
+class Lexicon(dict):
+    """Numbers of words, with their hashes and their skeletons: a frequent word itself, of another its kind. Bounded."""
+
+    def __init__(self, frame: set[str], most: int = 500_000):
+        super().__init__()
+        self.frame, self.most = frame, most
+        self.exact: list[int] = []
+        self.skeleton: list[int] = []
+        self.kind: list[int] = []
+
+    def __missing__(self, word: str) -> int:
+        mark = ",:;".find(word[-1]) + 1
+        lower = word[:-1].lower() if mark else word.lower()
+        h = xxhash.xxh3_64_intdigest(lower)
+        kind = 3 if word[0].isdigit() else 2 if word[0].isupper() else 1
+        self[word] = at = len(self.exact)
+        self.exact.append(h)
+        self.kind.append(kind + 4 * mark)
+        self.skeleton.append(h ^ mark if lower in self.frame else kind + 4 * mark)
+        return at
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self) > self.most:
+            self.clear()
+            self.exact, self.skeleton, self.kind = [], [], []
+        at = np.array([self[w] for w in words], dtype=np.int64)
+        return np.array(self.exact, dtype=np.uint64)[at], mix(np.array(self.skeleton, dtype=np.uint64))[at], mix(np.array(self.kind, dtype=np.uint64))[at]
+
+
+class Read:
+    """The words of many texts: which text each is of, whether a unit closes behind it, its hash and its skeleton."""
+
+    def __init__(self, texts: list[str], lexicon: Lexicon):
+        words: list[str] = []
+        sizes, ends, opened, openers = [], [], [], []
+        for text in texts:
+            before = len(words)
+            parts = _CLOSE.split(_TAG.sub(" ", text) if "<" in text or "&" in text else text)
+            for i in range(0, len(parts), 2):
+                if i and len(words) > before:
+                    ends.append(len(words) - 1)
+                opened.append(len(words))
+                openers.append(0 if not i else ord(parts[i - 1][-1]) if parts[i - 1][-1] in "-*|>\n" else 1)
+                words += _WORD.findall(parts[i])
+            sizes.append(len(words) - before)
+        self.words = words
+        #: what a unit follows: nothing, a stop, a line end, the mark of a list, a quotation or a table
+        self.opener = np.zeros(len(words) + 1, dtype=np.uint64)
+        self.opener[opened] = openers
+        self.sizes = np.array(sizes, dtype=np.int64)
+        self.row = np.repeat(np.arange(len(texts)), self.sizes)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.closes = np.zeros(len(words), dtype=bool)
+        self.closes[ends] = True
+        self.exact, self.skeleton, self.kind = lexicon(words) if words else (np.empty(0, np.uint64),) * 3
+        self.last = np.zeros(len(words), dtype=bool)
+        self.last[(self.first + self.sizes - 1)[self.sizes > 0]] = True
+
+    def _before(self, values: np.ndarray, steps: int) -> np.ndarray:
+        moved = np.concatenate([np.full(steps, _NONE), values])[: len(values)]
+        same = np.concatenate([np.full(steps, -1), self.row])[: len(values)] == self.row
+        return np.where(same, moved, _NONE)
+
+    def contexts(self) -> np.ndarray:
+        """(CONTEXTS, words): the unit so far as a skeleton, the last three words, two, their skeleton, the word, the unit's kinds of words."""
+        n = len(self.exact)
+        if not n:
+            return np.empty((CONTEXTS, 0), np.uint64)
+        # the skeletons of a unit, each turned by its place, are summed up
+        begin = np.concatenate([[True], (self.closes | self.last)[:-1]])
+        start = np.maximum.accumulate(np.where(begin, np.arange(n), 0))
+        place = np.arange(n) - start
+        units = []
+        for values in (self.skeleton, self.kind):
+            turned = mix(values + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            total = np.concatenate([[np.uint64(0)], np.cumsum(turned)])
+            units.append(mix(total[1:] - total[start] + place.astype(np.uint64) + (self.opener[start] << np.uint64(32))))
+        unit, shape = units[0], mix(units[1])
+        one, two = self._before(self.skeleton, 1), self._before(self.skeleton, 2)
+        pair = mix(mix(self._before(self.exact, 1)) + self.exact)
+        return np.stack([unit, mix(mix(two) + pair), pair, mix(mix(two) + mix(one + self.skeleton) + self.skeleton), mix(self.exact), shape])
+
+    def runs(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, texts, places within the text) of all runs of `width` words."""
+        found = runs_of(self.exact, width)
+        whole = np.flatnonzero(self.row[: len(found)] == self.row[width - 1 :]) if len(found) else np.empty(0, np.int64)
+        return found[whole], self.row[whole], whole - self.first[self.row[whole]]
+
+
+def levels(most: int) -> list[int]:
+    """The lengths, in runs, at which beginnings are hashed."""
+    out, x = [], 4.0
+    while round(x) <= most:
+        out.append(round(x))
+        x *= STEP
+    return out
+
+
+_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)  # odd multipliers: each gives the runs another order
+
+
+def bands(runs: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """(levels, BANDS) min-hash keys of the first sizes[i] runs of a text."""
+    if not len(runs) or not sizes:
+        return np.empty((0, BANDS), np.uint64)
+    parts = []
+    at = 0
+    least = None
+    for size in sizes:
+        found = (runs[at:size][None, :] * _SEEDS[:, None]).min(axis=1)
+        least = found if least is None else np.minimum(least, found)
+        parts.append(least)
+        at = size
+    values = mix(np.stack(parts).reshape(len(sizes), BANDS, ROWS) + np.arange(ROWS, dtype=np.uint64))
+    number = np.array(sizes, dtype=np.uint64)[:, None] * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)[None, :]
+    return mix(np.bitwise_xor.reduce(values, axis=2) + number)
 
 
 def _words(held: int):
@@ -152,7 +217,7 @@ def _words(held: int):
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words, tail = terms(text), text.rstrip()[-40:]
-                if words and (not _ENDED.search(tail) or _MARKER.search(tail)):
+                if words and (not _ENDED.search(tail) or _DOTS.search(tail)):
                     words.pop()  # it may be half a word, which would vouch for itself
                 counts.update(words)
             if len(counts) > held:
@@ -167,313 +232,357 @@ def word_counts(texts: DataFrame, held: int = HELD_WORDS) -> DataFrame:
     return texts.select("text").mapInArrow(_words(held), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def beginnings(known: dict[str, int], lengths: list[int] | None = None) -> dict[str, int]:
-    """Each proper beginning of a known word (of the given ascending lengths only), with the count of its most frequent word."""
-    found: dict[str, int] = {}
-    for word, n in known.items():
-        for i in range(1, len(word)) if lengths is None else lengths:
-            if i >= len(word):
-                break
-            if n > found.get(word[:i], 0):
-                found[word[:i]] = n
-    return found
-
-
-def is_half(word: str, known: dict[str, int], begins: dict[str, int]) -> bool:
-    """Whether a word looks like the beginning of a known one: unknown itself, or up to three letters and far rarer."""
-    own, longer = known.get(word, 0), begins.get(word, 0)
-    return longer > 0 if not own else len(word) <= 3 and longer >= 25 * own
-
-
 def _begin(lengths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = beginnings(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), lengths)
+            found: Counter = Counter()
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for i in lengths:
+                    if i >= len(word):
+                        break
+                    found[word[:i]] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "longer"])
 
     return run
 
 
-def _half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        word, own, longer = (c.to_pylist() for c in batch.columns)
-        half = [is_half(w, {w: o} if o else {}, {w: x} if x else {}) for w, o, x in zip(word, own, longer, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(half, pa.bool_())], ["word", "half"])
-
-
-def half_words(asked: DataFrame, counts: DataFrame) -> DataFrame:
-    """(word, half) of the distinct words of asked(word), by the exact counts of all words. See is_half()."""
+def pieces(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """(word, own, longer) of the distinct words of asked(word): how often it occurs, and how often longer words begin with it. Exact."""
     asked = asked.select("word").filter("word is not null").distinct()
-    known = counts.filter(F.col("n") >= KNOWN)
     lengths = sorted(r.length for r in asked.select(F.length("word").alias("length")).distinct().collect())  # a few
-    begins = known.select("word", "n").mapInArrow(_begin(lengths), "word string, longer long").groupBy("word").agg(F.max("longer").alias("longer"))
-    found = asked.join(known.select("word", F.col("n").alias("own")).hint("merge"), "word", "left").join(begins.hint("merge"), "word", "left")
-    return found.select("word", "own", "longer").mapInArrow(_half, "word string, half boolean")
+    begins = counts.select("word", "n").mapInArrow(_begin(lengths), "word string, longer long").groupBy("word").agg(F.sum("longer").alias("longer"))
+    found = asked.join(counts.select("word", F.col("n").alias("own")).hint("merge"), "word", "left").join(begins.hint("merge"), "word", "left")
+    return found.select("word", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("longer", F.lit(0)).alias("longer"))
 
 
-def _count(shared):
-    """(key, seen, closed) of the contexts that pass the filter, added up for each batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame, bits = shared.value
-        contexts, most = Contexts(frame), np.uint64(8 * len(bits) - 1)
-        for batch in batches:
-            keys, closing, row, _ = contexts(batch.column(0).to_pylist())
-            if not len(row):
-                continue
-            inner = np.concatenate([row[1:] == row[:-1], [False]])  # how a text's last word ends is what is asked
-            keys, closing = keys[:, inner].ravel(), np.tile(closing[inner], CONTEXTS)
-            at = keys & most
-            asked = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            found, which, seen = np.unique(keys[asked], return_inverse=True, return_counts=True)
-            closed = np.bincount(which[closing[asked]], minlength=len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(seen.astype(np.int64)), pa.array(closed.astype(np.int64))], ["key", "seen", "closed"])
-
-    return run
-
-
-def context_counts(texts: DataFrame, frame: set[str], asked: DataFrame, most: int = FILTER) -> DataFrame:
-    """(key, seen, closed): how often the contexts of asked(key), distinct, occur in all texts and a sentence closes behind them.
-
-    Exact (up to 64-bit hashes). A bit filter of the asked keys, of 16 bits a key up to `most`, goes to the
-    tasks, so that few other contexts are passed on; those are dropped by a join.
-    """
+def _bits(asked: DataFrame, most: int = FILTER) -> np.ndarray:
+    """A bit filter of asked(key), of 16 bits a key up to `most`."""
     size = max(PART, min(most, 1 << (16 * asked.count()).bit_length()))
     at = asked.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("at"))
     parts = at.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(PART - 1))).alias("bits"))
     bits = np.zeros(size // 8, dtype=np.uint8)
     for row in parts.collect():  # at most FILTER / PART rows of PART bits
         bits[row.part * PART // 8 : (row.part + 1) * PART // 8] = np.frombuffer(row.bits, dtype=np.uint8)
-    shared = texts.sparkSession.sparkContext.broadcast((frame, bits))
-    counts = texts.select("text").mapInArrow(_count(shared), "key long, seen long, closed long").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("closed").alias("closed"))
-    return counts.join(asked.select("key").hint("merge"), "key", "left_semi")
-
-
-def terminality(texts: DataFrame, frame: set[str], asked: DataFrame, least: tuple[int, ...] = (12, 8, 12, 12, 12)) -> DataFrame:
-    """(contexts, terminality) of the distinct contexts of asked(contexts ARRAY<BIGINT>): how likely a sentence closes after this word, by the most telling context seen often enough."""
-    asked = cut_lineage(asked.filter("contexts is not null").select("contexts").distinct())
-    each = asked.select("contexts", F.posexplode("contexts").alias("t", "key"))
-    counts = cut_lineage(context_counts(texts, frame, each.select("key").distinct()))
-    found = join_small(each, counts, ["key"], ["contexts"], "left")
-    pick = lambda c, t: F.max(F.when(F.col("t") == t, F.col(c))).alias(f"{c}{t}")
-    found = found.groupBy("contexts").agg(*(pick(c, t) for c in ("seen", "closed") for t in range(CONTEXTS)))
-    rate = F.lit(0.1)
-    for t in (4, 3, 2, 1, 0):
-        rate = F.when(F.col(f"seen{t}") >= least[t], (F.col(f"closed{t}") + 2 * rate) / (F.col(f"seen{t}") + 2)).otherwise(rate)
-    return found.select("contexts", rate.alias("terminality"))
+    return bits
+
+
+def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+ASKED = "doc_id long, source string, chars int, ending string, sig long, contexts array<long>, word string, keys array<long>"
 
 
 def _endings(shared):
+    """Every text's ending; of open ones also their last contexts, last word and the keys that near-copies must have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, hasher = Contexts(shared.value), Hasher()
-        # odd multipliers: each gives the runs another order
-        seeds = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1))
+        lexicon = Lexicon(shared.value)
         for batch in batches:
             docs, sources, texts = (c.to_pylist() for c in batch.columns)
-            read = [ending(t) for t in texts]
-            asked = [i for i, (kind, _) in enumerate(read) if kind not in ("ended", "empty")]
-            own: list = [None] * len(texts)
-            last: list = [None] * len(texts)
-            keys, _, row, words = contexts([read[i][1] for i in asked])
-            for at in np.flatnonzero(np.concatenate([np.diff(row) != 0, [True]]) if len(row) else []):
-                i, word = asked[row[at]], words[at]
-                own[i] = keys[:, at].view(np.int64).tolist()
-                if word.isalpha() and "://" not in read[i][1].split()[-1]:
+            found = [ending(t) for t in texts]
+            asked = [i for i, (kind, _) in enumerate(found) if kind not in ("ended", "empty")]
+            own, last, keys = ([None] * len(texts) for _ in range(3))
+            read = Read([found[i][1] for i in asked], lexicon)
+            contexts = read.contexts()
+            for i, first, size in zip(asked, read.first.tolist(), read.sizes.tolist(), strict=True):
+                if not size:
+                    continue
+                own[i] = contexts[:, first + size - 1].view(np.int64).tolist()
+                word = read.words[first + size - 1].lower().rstrip(",:;")
+                if word.isalpha() and "://" not in found[i][1].split()[-1]:
                     last[i] = word
-            bands: list = [None] * len(texts)
-            row, tokens, first = batch_sets(texts, 5, hasher)
-            if len(row):
-                least = np.stack([np.minimum.reduceat(tokens * s, first) for s in seeds])
-                parts = mix(least.reshape(BANDS, ROWS, -1) + np.arange(ROWS, dtype=np.uint64)[None, :, None])
-                values = mix(np.bitwise_xor.reduce(parts, axis=1) + np.arange(BANDS, dtype=np.uint64)[:, None]).view(np.int64)
-                for i, v in zip(row[first].tolist(), values.T.tolist(), strict=True):
-                    bands[i] = v
-            bodies = [t.rstrip() for t in texts]
-            out = [docs, sources, [len(x) for x in bodies], [len(x.encode()) for x in bodies], [k for k, _ in read], own, last, bands]
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "source", "chars", "bytes", "ending", "contexts", "word", "bands"])
+                exact = read.exact[first : first + size]
+                runs = runs_of(exact, WIDTH)
+                sizes = levels(len(runs))[-1:]
+                if sizes:
+                    tails = runs_of(exact, TAIL)
+                    tails = np.array([tails[-1 - b] for b in BEHIND if b < len(tails)])
+                    keys[i] = mix(bands(runs, sizes)[0][:, None] + mix(tails)[None, :]).ravel().view(np.int64).tolist()
+            sigs = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]
+            out = [docs, sources, [len(t.rstrip()) for t in texts], [k for k, _ in found], sigs, own, last, keys]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "source", "chars", "ending", "sig", "contexts", "word", "keys"])
 
     return run
 
 
-def ends_early(short: str, long: str, similarity: float = 0.8) -> int:
-    """1 if `short` stops inside a sentence where its near-copy `long` goes on; -1 if both end alike; else 0."""
-    hasher = Hasher()
-    a, b = shingle_set(short, 5, hasher), shingle_set(long, 5, hasher)
-    if a is None or b is None:
-        return 0
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    if common < similarity * (len(a) + len(b) - common):
-        return 0
-    left, right = terms(short), list(_WORD.finditer(long))
-    words = [m.group().lower() for m in right]
-    blocks = [m for m in difflib.SequenceMatcher(None, left, words, autojunk=False).get_matching_blocks() if m.size >= 3]
-    if not blocks:
+#: What the second reading finds: of a context how often it occurs and a unit ends behind it; of an asked key a text that has it.
+FOUND = "kind int, key long, sig long, doc_id long, seen long, closed long"
+
+
+def _survey(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame, contexts, tails = shared.value
+        lexicon = Lexicon(frame)
+        for batch in batches:
+            docs, texts = (c.to_pylist() for c in batch.columns)
+            read = Read(texts, lexicon)
+            keys = read.contexts()
+            if not len(read.row):
+                continue
+            # how the last word of an open text ends is what is asked
+            told = read.closes | ~read.last
+            closing = np.tile(read.closes[told], CONTEXTS)
+            keys = keys[:, told].ravel()
+            asked = np.flatnonzero(_in(contexts, keys))
+            found, which, seen = np.unique(keys[asked], return_inverse=True, return_counts=True)
+            closed = np.bincount(which[closing[asked]], minlength=len(found))
+            none = np.zeros(len(found), dtype=np.int64)
+            columns = [(np.zeros(len(found), np.int32), found.view(np.int64), none, none, seen.astype(np.int64), closed.astype(np.int64))]
+            runs, row, _ = read.runs(WIDTH)
+            edges = np.searchsorted(row, np.arange(len(texts) + 1))
+            short, owner, _ = read.runs(TAIL)
+            ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+            for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                mine = runs[edges[i] : edges[i + 1]]
+                every = mix(bands(mine, levels(len(mine))).ravel()[:, None] + mix(short[ends[i] : ends[i + 1]])[None, :]).ravel()
+                hits = np.unique(every[_in(tails, every)]).view(np.int64)
+                if len(hits):
+                    one, zero = np.ones(len(hits), dtype=np.int32), np.zeros(len(hits), dtype=np.int64)
+                    sig = np.full(len(hits), xxhash.xxh3_64_intdigest(texts[i]) - (1 << 63), dtype=np.int64)
+                    columns.append((one, hits, sig, np.full(len(hits), docs[i], dtype=np.int64), zero, zero))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], ["kind", "key", "sig", "doc_id", "seen", "closed"])
+
+    return run
+
+
+def survey(texts: DataFrame, frame: set[str], contexts: DataFrame, tails: DataFrame, most: int = FILTER) -> DataFrame:
+    """FOUND for the distinct asked keys contexts(key) and tails(key), over all texts(doc_id, text), read once.
+
+    Counts are exact (up to 64-bit hashes): bit filters of the asked keys go to the tasks, so that few
+    others are passed on; those find no partner later. Equal texts count as one for tails.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((frame, _bits(contexts, most), _bits(tails, most)))
+    found = texts.select("doc_id", "text").mapInArrow(_survey(shared), FOUND)
+    return found.groupBy("kind", "key", "sig").agg(F.min("doc_id").alias("doc_id"), F.sum("seen").alias("seen"), F.sum("closed").alias("closed"))
+
+
+def align(a: np.ndarray, b: np.ndarray, width: int = TAIL) -> tuple[int, int, float]:
+    """(i, j, share): the longest chain of common runs of two word lists ends behind word i of a and j of b.
+
+    share is how much of a's words up to i the chain covers. Runs are matched exactly and chained in order (a
+    longest increasing subsequence), so the work grows with n log n of the texts, whatever lies between.
+    """
+    left, right = runs_of(a, width), runs_of(b, width)
+    if not len(left) or not len(right):
+        return 0, 0, 0.0
+    order = np.argsort(right, kind="stable")
+    low, high = (np.searchsorted(right[order], left, side) for side in ("left", "right"))
+    tops: list[int] = []
+    at: list[tuple[int, int]] = []
+    back: list[int] = []
+    held: list[int] = []
+    for i, (x, y) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+        # of a run that is very frequent in b, the places about the diagonal are looked at
+        places = order[x:y] if y - x <= 16 else order[x:y][np.argsort(np.abs(order[x:y] - i), kind="stable")[:16]]
+        for j in sorted(places.tolist(), reverse=True):
+            k = bisect_left(tops, j)
+            if k == len(tops):
+                tops.append(j)
+                held.append(len(at))
+            else:
+                tops[k], held[k] = j, len(at)
+            back.append(held[k - 1] if k else -1)
+            at.append((i, j))
+    if not at:
+        return 0, 0, 0.0
+    k, chain = held[-1], []
+    while k >= 0:
+        chain.append(at[k])
+        k = back[k]
+    i, j = chain[0]
+    covered = np.zeros(len(a), dtype=bool)
+    for x, _ in chain:
+        covered[x : x + width] = True
+    return i + width, j + width, float(covered[: i + width].mean())
+
+
+def ends_early(short: str, long: str, lexicon: Lexicon | None = None, similarity: float = 0.8) -> int:
+    """1 if `short` stops inside a sentence where its near-copy `long` goes on; -1 if both end alike; else 0.
+
+    Near-copies: at least `similarity` of the runs of five words of the shorter one are in the other, and
+    the alignment covers as much of its words.
+    """
+    lexicon = Lexicon(set()) if lexicon is None else lexicon
+    read = Read([ending(short)[1], long], lexicon)
+    n, m = read.sizes.tolist()
+    a, b = read.exact[:n], read.exact[n:]
+    left, right = np.unique(runs_of(a, WIDTH)), np.unique(runs_of(b, WIDTH))
+    if not len(left) or len(np.intersect1d(left, right, assume_unique=True)) < similarity * len(left):
         return 0
-    last = blocks[-1]
-    rest = left[last.a + last.size :]
-    at = last.b + last.size
-    if len(rest) > 1:
+    i, j, share = align(a, b)
+    rest = n - i
+    if share < similarity or rest > max(BEHIND):
         return 0
-    if rest:  # half a word
-        return 1 if at < len(words) and words[at] != rest[0] and words[at].startswith(rest[0]) else 0
-    if at >= len(words):
+    closes = read.closes[n:]
+    if rest:
+        half = read.words[n - 1].lower().rstrip(",:;")
+        # half a word, behind as many words as here; or the same number of changed words
+        at = j + rest - 1
+        if at >= m or np.any(closes[j:at]):
+            return 0
+        word = read.words[n + at].lower()
+        if rest == 1 and word != half and word.startswith(half):
+            return 1
+        j = at + 1
+        if j >= m:
+            return 0
+        return 0 if closes[j - 1] else 1
+    if j >= m:
         return -1
-    return 0 if _CLOSE.match(long, right[at - 1].end()) else 1
+    return 0 if closes[j - 1] else 1
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lexicon = Lexicon(set())
     for batch in batches:
-        doc, short, long = (batch.column(c).to_pylist() for c in ("doc_id", "text", "other_text"))
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([ends_early(s, x) for s, x in zip(short, long, strict=True)], pa.int32())], ["doc_id", "cut"])
+        short, long = (batch.column(c).to_pylist() for c in ("text", "other_text"))
+        yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array([ends_early(s, x, lexicon) for s, x in zip(short, long, strict=True)], pa.int32())], ["sig", "cut"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, sig, asks, n, chars): what ends_early() needs of a pair, as keys that both texts must have.
+def cut_copies(texts: DataFrame, asked: DataFrame, answers: DataFrame, step: int = 4) -> DataFrame:
+    """(sig): the asked texts that stop inside a sentence where a near-copy goes on.
 
-    A text asks with its last three words, and with the three before its last word and that one, as half
-    a word; it answers with each three words behind which its sentence goes on, and with each three and
-    every beginning of the next one. Keys hold the group.
+    asked(key, sig, doc_id) and answers(key, sig, doc_id): texts that share a band and the last words of the
+    asked one. Equal texts are one (sig; doc_id names one of them). The answers to a key are taken in
+    rounds, each of `step` times as many, until one settles the asked text or none is left: no partner
+    is left out, and a text with very many is rarely compared with all of them.
     """
-    hasher = Hasher()
-    for batch in batches:
-        k, sigs, asks, ns, chars = [], [], [], [], []
-        for sig, group, open_, text in zip(*(batch.column(c).to_pylist() for c in ("sig", "group", "open", "text")), strict=True):
-            tokens = shingle_set(text, 5, hasher)
-            if tokens is None:
-                continue
-            salt = np.uint64(group & 0xFFFFFFFFFFFFFFFF)
-            found = list(_WORD.finditer(text))
-            words = [m.group().lower() for m in found]
-            run = mix(runs_of(hasher(words), 3)[: max(0, len(words) - 3)] + salt)
-            begins = [(i, w[:j]) for i, w in enumerate(words[3:]) for j in range(1, len(w))]
-            halves = mix(run[[i for i, _ in begins]] + hasher([x for _, x in begins])) if begins else run[:0]
-            goes = np.array([not _CLOSE.match(text, m.end()) for m in found[2:-1]], dtype=bool)
-            answers = np.unique(np.concatenate([run[goes], halves]))
-            own = np.empty(0, np.uint64)
-            if open_ and ending(text)[0] in OPEN:
-                left = terms(text)
-                last = mix(runs_of(hasher(left[-4:]), 3) + salt)
-                own = np.concatenate([last[-1:], mix(last[:-1] + hasher(left[-1:]))])
-            every = np.concatenate([answers, own]).view(np.int64)
-            k.append(every)
-            asks.append(np.repeat([False, True], [len(answers), len(own)]))
-            for column, value in ((sigs, sig), (ns, len(tokens)), (chars, len(text.rstrip()))):
-                column.append(np.full(len(every), value, dtype=np.int64))
-        if k:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (k, sigs, asks, ns, chars)], ["k", "sig", "asks", "n", "chars"])
-
-
-def twins_that_go_on(rows: DataFrame, groups: DataFrame, similarity: float = 0.8, step: int = 4) -> DataFrame:
-    """(doc_id, cut = 1) of the open texts that stop inside a sentence where any near-copy of their group goes on.
-
-    rows(doc_id, text), groups(doc_id, group, open). Equal texts are one. A text's candidates are those of
-    its group that go on behind its last words and whose sets allow the similarity, from its own size
-    up, then the smaller ones. They are aligned in rounds, each of `step` times as many, until one
-    settles the text or none is left.
+    asked = cut_lineage(asked.distinct())
+    answers = answers.join(asked.select("key").distinct().hint("merge"), "key", "left_semi")
+    order = Window.partitionBy("key").orderBy("sig")
+    answers = answers.select("key", F.col("sig").alias("other"), F.col("doc_id").alias("other_id"), F.row_number().over(order).alias("place"))
+    # one answer to itself is no answer
+    many = answers.groupBy("key").agg(F.max("place").alias("most"))
+    answers = cut_lineage(answers)
+    asked = cut_lineage(asked.join(many.filter("most > 1").hint("merge"), "key"))
+    found, done, size = None, 0, step
+    while asked.filter(F.col("most") > done).limit(1).count():
+        turn = answers.filter((F.col("place") > done) & (F.col("place") <= done + size))
+        pairs = asked.join(turn.hint("merge"), "key").filter("other <> sig").groupBy("sig", "other").agg(F.min("doc_id").alias("doc_id"), F.min("other_id").alias("other_id"))
+        pairs = pairs.join(texts.select("doc_id", "text").hint("merge"), "doc_id").select("sig", "text", "other_id")
+        pairs = pairs.join(texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text")).hint("merge"), "other_id")
+        settled = pairs.repartition(parallelism(texts.sparkSession)).mapInArrow(_aligned, "sig long, cut int").filter("cut = 1")
+        settled = cut_lineage(settled.select("sig").distinct())
+        found = settled if found is None else found.unionByName(settled)
+        asked = cut_lineage(asked.join(settled.hint("merge"), "sig", "left_anti"))
+        done, size = done + size, size * step
+    return found if found is not None else asked.select("sig").limit(0)
+
+
+def terminality(opened: DataFrame, counts: DataFrame, base: float) -> DataFrame:
+    """(contexts, terminality) of the distinct contexts of opened(sig, contexts): how likely a unit ends behind these words.
+
+    counts(key, seen, closed) of each context. From the word alone to the whole unit so far, each context's
+    share is drawn towards that of the last one as by PSEUDO + 1 texts. A unit also ends where an open text
+    does: other texts that end with the same skeleton count (each different text once), with the same words
+    do not, since pieces of words are found nowhere else.
+    """
+    each = opened.filter("contexts is not null").groupBy("contexts").agg(F.count_distinct("sig").alias("texts")).select("contexts", "texts", F.posexplode("contexts").alias("t", "key"))
+    ends = each.filter(F.col("t").isin(*SKELETONS)).groupBy("key").agg(F.sum("texts").alias("ends"))
+    found = join_small(each.drop("texts"), counts.select("key", "seen", "closed"), ["key"], ["contexts"], "left")
+    found = join_small(found, ends, ["key"], ["contexts"], "left").withColumn("ends", F.coalesce(F.col("ends") - 1, F.lit(0)))
+    pick = lambda c, t: F.coalesce(F.max(F.when(F.col("t") == t, F.coalesce(c, F.lit(0)) + F.col("ends"))), F.lit(0)).alias(f"{c}{t}")
+    found = found.groupBy("contexts").agg(*(pick(c, t) for c in ("seen", "closed") for t in range(CONTEXTS)))
+    rate: Column = F.lit(base)
+    for t in (4, 3, 2, 1, 5, 0):
+        rate = (F.col(f"closed{t}") + (PSEUDO + 1) * rate) / (F.col(f"seen{t}") + (PSEUDO + 1))
+    return found.select("contexts", rate.alias("terminality"))
+
+
+def _odds(rate: Column) -> Column:
+    return F.log(rate / (1 - rate))
+
+
+def with_priors(rows: DataFrame, base: float) -> DataFrame:
+    """rows with `odds`: log odds that the text is cut, by its terminality and by priors of its source, ending and length.
+
+    rows(source, chars, ending, terminality, own, longer, ...). A whole text ends at a unit's end, as
+    likely behind a word as that is terminal (t); a cut falls anywhere. Two of its places leave a word whole
+    that goes on, before and after its space, one a word that only lacks its stop, and one leaves it a piece, as
+    much likelier as longer words occur oftener than the word itself. The priors are the shares of cut texts among the others of the same source, the same ending and, within a source, the same length (or
+    up to three characters more, which trimming may take off), estimated twice: first without, then with
+    priors. A field limit shows as a length at which most texts are cut. Nothing is tuned; each share counts
+    PSEUDO texts of the wider one.
     """
-    members = cut_lineage(rows.join(groups.hint("merge"), "doc_id").withColumn("sig", F.xxhash64("text")))
-    texts = cut_lineage(members.groupBy("sig").agg(F.first("text").alias("text"), F.min("group").alias("group"), F.max("open").alias("open")))
-    keys = cut_lineage(texts.select("sig", "group", "open", "text").mapInArrow(_runs, "k long, sig long, asks boolean, n long, chars long"))
-    asks = keys.filter("asks")
-    answers = keys.filter("not asks").join(asks.select("k").distinct().hint("merge"), "k", "left_semi")
-    # how many answers to a key are too small, smaller than the text, and not too large
-    marks = F.array(*(F.struct(F.lit(i).alias("mark"), (F.col("n") * size).alias("at"), F.lit(kind).alias("kind")) for i, size, kind in ((0, similarity - 1e-9, 0), (1, 1.0, 0), (2, 1 / similarity + 1e-9, 2))))
-    line = answers.select("k", "sig", "chars", F.lit(3).alias("mark"), F.col("n").cast("double").alias("at"), F.lit(1).alias("kind"))
-    line = line.unionByName(asks.select("k", "sig", "chars", F.explode(marks).alias("m")).select("k", "sig", "chars", "m.*"))
-    before = Window.partitionBy("k").orderBy("at", "kind", "sig").rowsBetween(Window.unboundedPreceding, 0)
-    line = cut_lineage(line.withColumn("place", F.sum((F.col("kind") == 1).cast("long")).over(before)))
-    answers = line.filter("mark = 3").select("k", "place", F.col("sig").alias("other"), F.col("chars").alias("other_chars"))
-    at = lambda i: F.max(F.when(F.col("mark") == i, F.col("place")))
-    asks = line.filter("mark < 3").groupBy("k", "sig", "chars").agg(at(0).alias("low"), at(1).alias("own"), at(2).alias("high")).filter("high > low")
-    asks = cut_lineage(asks)
-    own, low, high = F.col("own"), F.col("low"), F.col("high")
-    cut, done, many = None, 0, step
-    while asks.filter(high - low > done).limit(1).count():
-        turns = asks.filter(high - low > done).withColumn("turn", F.explode(F.sequence(F.lit(done + 1).cast("long"), F.least(high - low, F.lit(done + many).cast("long")))))
-        turns = turns.withColumn("place", F.when(own + F.col("turn") <= high, own + F.col("turn")).otherwise(low + F.col("turn") - (high - own)))
-        pairs = turns.join(answers.hint("merge"), ["k", "place"]).filter("other <> sig and other_chars >= chars").select("sig", "other").distinct()
-        pairs = pairs.join(texts.select("sig", "text").hint("merge"), "sig").join(texts.select(F.col("sig").alias("other"), F.col("text").alias("other_text")).hint("merge"), "other")
-        found = pairs.select(F.col("sig").alias("doc_id"), "text", "other_text").mapInArrow(_aligned, "doc_id long, cut int").filter("cut = 1")
-        found = cut_lineage(found.select(F.col("doc_id").alias("sig"), "cut").distinct())
-        cut = found if cut is None else cut.unionByName(found)
-        asks = cut_lineage(asks.join(found.select("sig").hint("merge"), "sig", "left_anti"))
-        done, many = done + many, many * step
-    if cut is None:
-        return members.limit(0).select("doc_id", F.lit(1).alias("cut"))
-    return join_small(members.select("doc_id", "sig"), cut, ["sig"], ["doc_id"]).select("doc_id", "cut")
+    t = F.col("terminality")
+    likely = F.log((1 - t / 2 + F.col("longer") / (2 * F.col("own") + PSEUDO)) / t) + float(np.log(base / (1 - base)))
+    rows = cut_lineage(rows.withColumn("likely", likely).withColumn("odds", F.col("likely")))
+    share = 1 / (1 + F.exp(-F.col("odds")))
+    for _ in range(2):
+        each = rows.withColumn("p", share)
+        whole = each.agg(F.avg("p")).first()[0]
+        if whole is None:
+            return rows
+        whole = min(max(whole, 1e-6), 1 - 1e-6)
+        rate = lambda p, n, wide: (p + PSEUDO * wide) / (n + PSEUDO)
+        cells = each.groupBy("source", "chars").agg(F.sum("p").alias("cp"), F.count(F.lit(1)).alias("cn"))
+        near = Window.partitionBy("source").orderBy("chars").rangeBetween(0, 3)
+        cells = cells.withColumns({"cp": F.sum("cp").over(near), "cn": F.sum("cn").over(near)}).withColumn("sk", F.coalesce("source", F.lit("\0"))).drop("source")
+        sources = each.groupBy(F.coalesce("source", F.lit("\0")).alias("sk")).agg(F.sum("p").alias("sp"), F.count(F.lit(1)).alias("sn"))
+        kinds = each.groupBy("ending").agg(F.sum("p").alias("kp"), F.count(F.lit(1)).alias("kn"))
+        each = join_small(each.withColumn("sk", F.coalesce("source", F.lit("\0"))), sources, ["sk"], ["doc_id"])
+        each = join_small(each, cells, ["sk", "chars"], ["doc_id"])
+        each = each.join(F.broadcast(kinds), "ending")  # half a dozen
+        own = F.col("p")
+        by_source = rate(F.col("sp") - own, F.col("sn") - 1, F.lit(whole))
+        by_kind = rate(F.col("kp") - own, F.col("kn") - 1, F.lit(whole))
+        by_length = rate(F.col("cp") - own, F.col("cn") - 1, by_source)
+        bounded = lambda r: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), r))
+        odds = F.col("likely") + _odds(bounded(by_length)) + _odds(bounded(by_kind)) - float(np.log(whole / (1 - whole)))
+        rows = cut_lineage(each.withColumn("odds", odds).select(*rows.columns))
+    return rows
 
 
 def truncations(documents: DataFrame, frame: int = FRAME_WORDS) -> DataFrame:
-    """(doc_id, source, ending, terminality, copy, spike, truncated) of every document with a text.
+    """(doc_id, source, ending, terminality, copy, odds, truncated) of every document with a text.
 
     documents(doc_id BIGINT unique, text, source). Null or blank texts are not truncated; null texts and
     ids are left out; repeated rows are documents of their own; a null source is a source. The text's
     ending is read first (see ending()). For texts that do not end in a stop:
 
-    - near-copies: documents meet in min-hash bands over runs of five words; in each band the longest
-      one is everyone's first partner; texts that it does not settle go on to every other one of their group
-      that goes on behind their last words (twins_that_go_on). Pairs of similarity 0.8 or more are
-      aligned word by word; a copy that ends inside a sentence, or a word,
-      where its partner goes on is cut (copy = 1); one that ends where its partner ends is not settled.
-    - the others: terminality is how often a sentence closes after such words, counted over all
-      documents (the sentence's skeleton, the last three, two and one words, the longest context with
-      evidence wins); spike compares, for the source, how many
-      unended and how many ended texts have this length in characters or in bytes.
+    - near-copies: a text meets those that share a min-hash band over runs of five words and its last words.
+      Bands are taken over the beginnings of texts at lengths that grow by the square root of two, up to the
+      whole text, so that a text meets the copies that go on however much of them it lacks. Pairs of which 0.8
+      of the shorter one's runs are in the other are aligned (see ends_early()); a text that ends
+      inside a sentence, or a word, where a partner goes on is cut (copy = 1).
+    - the others: terminality is how often a sentence, line or text ends behind such words, counted over all
+      documents (the unit's skeleton and kinds of words, the last three, two and one words). It is weighed with how often the last
+      word is the beginning of others and with priors of the source, the ending and the length; see
+      with_priors().
 
     Extra columns are ignored.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("source"), "text").filter("doc_id is not null and text is not null")
     every = cut_lineage(word_counts(rows))
-    words = {r.word for r in every.filter(F.col("n") >= KNOWN).orderBy(F.desc("n"), "word").limit(frame).collect()}
-    schema = "doc_id long, source string, chars int, bytes int, ending string, contexts array<long>, word string, bands array<long>"
-    judged = cut_lineage(rows.mapInArrow(_endings(spark.sparkContext.broadcast(words)), schema))
-    is_open = F.col("ending").isin(*OPEN)
-
-    banded = judged.filter("bands is not null").select("doc_id", "chars", "ending", F.posexplode("bands").alias("band", "value"))
-    buckets = banded.groupBy("band", "value").agg(
-        F.max(F.struct("chars", "doc_id")).alias("top"), F.min("doc_id").alias("least"), F.max(is_open).alias("asked"), F.count(F.lit(1)).alias("n")
-    )
-    longest = cut_lineage(buckets.filter("n > 1 and asked").drop("n", "asked"))
-    asked = banded.filter(is_open)
-    pairs = asked.join(longest.hint("merge"), ["band", "value"]).filter(F.col("top.doc_id") != F.col("doc_id")).filter(F.col("top.chars") >= F.col("chars"))
-    pairs = pairs.select("doc_id", F.col("top.doc_id").alias("other")).distinct()
-    texts = rows.select("doc_id", "text")
-    pairs = pairs.join(texts.hint("merge"), "doc_id").join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text")).hint("merge"), "other")
-    copies = pairs.select("doc_id", "text", "other_text").mapInArrow(_aligned, "doc_id long, cut int")
-    pairs = cut_lineage(copies.groupBy("doc_id").agg(F.max("cut").alias("copy")))
-    met = banded.join(longest.hint("merge"), ["band", "value"]).filter(F.col("least") != F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    groups = components(met).withColumnRenamed("node", "doc_id")
-    groups = groups.join(pairs.filter("copy = 1").hint("merge"), "doc_id", "left").select("doc_id", "group", F.col("copy").isNull().alias("open"))
-    more = twins_that_go_on(texts, groups).select("doc_id", F.col("cut").alias("copy"))
-    copies = pairs.unionByName(more).groupBy("doc_id").agg(F.max("copy").alias("copy"))
-
-    counted = judged.select("source", F.col("ending").isin("plain", "marked", "surely").cast("int").alias("o"), (F.col("ending") == "ended").cast("int").alias("e"), "chars", "bytes")
-    found = judged.drop("bands").join(copies.hint("merge"), "doc_id", "left")
-    found = join_small(found, cut_lineage(terminality(rows, words, judged)), ["contexts"], ["doc_id"], "left")
-    found = join_small(found, cut_lineage(half_words(judged, every)), ["word"], ["doc_id"], "left").withColumn("half", F.coalesce("half", F.lit(False)))
-    for unit in ("chars", "bytes"):
-        lengths = counted.groupBy("source", unit).agg(F.sum("o").alias("o"), F.sum("e").alias("e"))
-        near = Window.partitionBy("source").orderBy(unit).rangeBetween(0, 3)  # trimming may have taken a few characters off
-        lengths = lengths.select(
-            F.col("source").alias("s"), F.col(unit).alias("u"),
-            F.col("o").alias(unit + "_at"), F.col("e").alias(unit + "_ended_at"), F.sum("o").over(near).alias(unit + "_open"), F.sum("e").over(near).alias(unit + "_ended"),
-        )
-        found = found.join(lengths.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col(unit) == F.col("u"))).drop("s", "u")
-    # unended texts of exactly this length, or of about it, against the ended ones there
-    exact = F.greatest(*(F.log((F.col(u + "_at") + 0.5) / (F.col(u + "_ended_at") + 1.5)) for u in ("chars", "bytes")))
-    about = F.greatest(*(F.log((F.col(u + "_open") + 0.5) / (F.col(u + "_ended") + 2.0)) for u in ("chars", "bytes")))
-    found = found.withColumn("spike", F.greatest(exact, about))
-    rate = F.coalesce("terminality", F.lit(0.1))
-    cut = (
-        F.when(F.col("ending").isin("ended", "empty"), False)
-        .when(F.col("copy") == 1, True)
-        .when(F.col("ending").isin("broken", "surely"), True)
-        .when(F.col("ending") == "block", F.col("half") | (F.col("spike") > CAP))
-        .otherwise(F.col("half") | (F.col("spike") > CAP) | (F.log(rate / (1 - rate + 1e-9)) < SPIKE_WEIGHT * F.greatest("spike", F.lit(-0.3)) - CLOSING))
-    )
-    return found.select("doc_id", "source", "ending", "terminality", "copy", "spike", cut.alias("truncated"))
+    words = {r.word for r in every.orderBy(F.desc("n"), "word").limit(frame).collect()}
+    judged = cut_lineage(rows.mapInArrow(_endings(spark.sparkContext.broadcast(words)), ASKED))
+    is_open = ~F.col("ending").isin("ended", "empty")
+    opened = judged.filter(is_open)
+    asked = cut_lineage(opened.filter("contexts is not null").select("contexts").distinct())
+    tails = opened.filter("keys is not null").select(F.explode("keys").alias("key"), "sig", "doc_id")
+    tails = tails.groupBy("key", "sig").agg(F.min("doc_id").alias("doc_id"))
+    found = cut_lineage(survey(rows, words, asked.select(F.explode("contexts").alias("key")).distinct(), tails.select("key").distinct()))
+    copies = cut_copies(rows, tails, found.filter("kind = 1").select("key", "sig", "doc_id"))
+
+    totals = every.agg(F.sum("n")).first()[0] or 0
+    ends = judged.filter("ending <> 'empty'").count()
+    counts = found.filter("kind = 0")
+    rate = counts.agg(F.sum("closed") / F.sum("seen")).first()[0] if totals else None
+    base = min(max(rate if rate is not None else 0.5, 1e-3), 1 - 1e-3) if ends else 0.5
+    scored = opened.drop("keys")
+    scored = join_small(scored, cut_lineage(terminality(opened, counts, base)), ["contexts"], ["doc_id"], "left").fillna(base, ["terminality"])
+    scored = scored.withColumn("terminality", F.when(F.col("ending") == "markup", F.lit(BROKEN)).otherwise(F.col("terminality")))
+    scored = join_small(scored, cut_lineage(pieces(opened, every)), ["word"], ["doc_id"], "left").fillna(0, ["own", "longer"])
+    scored = with_priors(scored.select("doc_id", "source", "chars", "ending", "sig", "terminality", "own", "longer"), base)
+    copies = copies.withColumn("copy", F.lit(1))
+    scored = join_small(scored, cut_lineage(copies), ["sig"], ["doc_id"], "left")
+    scored = scored.select("doc_id", "source", "ending", "terminality", "copy", "odds", ((F.coalesce("copy", F.lit(0)) == 1) | (F.col("odds") > 0)).alias("truncated"))
+    closed = judged.filter(~is_open).select("doc_id", "source", "ending", *(F.lit(None).cast(t).alias(c) for c, t in (("terminality", "double"), ("copy", "int"), ("odds", "double"))), F.lit(False).alias("truncated"))
+    return scored.unionByName(closed)
 
 
 def truncation_by_source(documents: DataFrame) -> DataFrame:

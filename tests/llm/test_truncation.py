@@ -1,25 +1,24 @@
 import random
 
-from orrery.llm.truncation import HELD_WORDS, Contexts, beginnings, context_counts, ending, ends_early, is_half, truncation_by_source, truncations, twins_that_go_on, word_counts
+import numpy as np
+import pytest
+
+from orrery.llm import truncation
+from orrery.llm.truncation import CONTEXTS, HELD_WORDS, Lexicon, Read, align, bands, cut_copies, ending, ends_early, levels, pieces, survey, truncation_by_source, truncations, word_counts
+
+SCHEMA = "doc_id long, text string, source string"
 
 
 def test_endings():
     for text, kind in [
-        ("A b.", "ended"), ("A b!\" ", "ended"), ("A b", "plain"), ("A b...", "marked"), ("A b …", "marked"), ("A b [...]", "surely"), ("A b ... more", "surely"),
-        ("A <span cla", "broken"), ("A [x](http://y", "broken"), ("A &quo", "broken"), ("A b�", "broken"), ("```\nx\n```", "ended"), ("```\nx", "broken"),
-        ("A.\n- b c", "block"), ("A.\n| b | c |", "ended"), ("A.\n| b | c", "broken"), ("A b,", "broken"), ("A b, c", "plain"), ("A.\n\nTags: b, c", "block"), ("A.\n\nRegards\nXy", "block"), ("A. \U0001F44D", "ended"),
-        ("", "empty"), (" \n", "empty"), ("あ。", "ended"), ("It weighs 44.", "plain"), ("(a b)", "ended"),
+        ("A b.", "ended"), ("A b!\" ", "ended"), ("A b", "plain"), ("A b...", "dots"), ("A b …", "dots"), ("A b [...]", "bracket"), ("A b ... more", "more"),
+        ("A <span cla", "markup"), ("A [x](http://y", "markup"), ("A &quo", "markup"), ("A b�", "markup"), ("```\nx\n```", "ended"), ("```\nx", "markup"),
+        ("A.\n- b c", "plain"), ("A.\n| b | c |", "ended"), ("A.\n| b | c", "markup"), ("A b,", "comma"), ("A b, c", "plain"), ("A. \U0001F44D", "ended"),
+        ("", "empty"), (" \n", "empty"), ("あ。", "ended"), ("It weighs 44.", "plain"), ("(a b)", "ended"), ("x" * 5000 + ".", "ended"),
     ]:
         assert ending(text)[0] == kind, text
 
 
-def test_half_words():
-    known = {"collection": 500, "the": 900, "a": 1000, "c": 4}
-    begins = beginnings(known)
-    assert is_half("collec", known, begins) and is_half("c", known, begins)
-    assert not is_half("the", known, begins) and not is_half("a", known, begins) and not is_half("xyz", known, begins)
-
-
 def test_copies_that_go_on():
     text = " ".join(f"w{i}" for i in range(60)) + " collection ends here. Then more"
     assert ends_early(text[: text.index("lection")], text) == 1
@@ -27,19 +26,40 @@ def test_copies_that_go_on():
     assert ends_early(text[: text.index(" Then")], text) == 0
     assert ends_early(text, text) == -1
     assert ends_early("short", text) == 0 and ends_early("", "") == 0
+    changed = text[: text.index(" ends")].replace("w59", "v59")
+    assert ends_early(changed, text) == 1 and ends_early(" ".join(f"u{i}" for i in range(70)), text) == 0
 
 
-def corpus():
-    rnd = random.Random(3)
-    nouns = ["cluster", "planner", "mattress", "gardener", "village", "orchard", "painter", "engine"]
+def test_alignment_is_a_longest_chain():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        a = rng.integers(1, 12, 40).astype(np.uint64)
+        i, j, share = align(a, np.concatenate([a[:20], rng.integers(50, 60, 3).astype(np.uint64), a[20:]]))
+        assert (i, j, share) == (40, 43, 1.0)
+    assert align(np.arange(9, dtype=np.uint64), np.arange(20, 29, dtype=np.uint64)) == (0, 0, 0.0)
+
+
+def test_bands_of_beginnings_are_those_of_the_shorter_text():
+    runs = np.random.default_rng(2).integers(1, 2**63, 300).astype(np.uint64)
+    every = bands(runs, levels(300))
+    for i, size in enumerate(levels(300)):
+        assert (bands(runs[:size], [size])[0] == every[i]).all()
+    assert levels(3) == [] and bands(runs[:2], []).shape == (0, truncation.BANDS)
 
-    def sentence():
-        a, b, c = (rnd.choice(nouns) for _ in range(3))
-        return rnd.choice([f"The {a} watches a {b} behind the {c}.", f"Without this {a}, every {b} must wait for the {c}.", f"It is the {a}, not the {b}, that needs another {c}."])
 
+NOUNS = ["cluster", "planner", "mattress", "gardener", "village", "orchard", "painter", "engine", "harbor", "cellar", "bridge", "lantern"]
+
+
+def sentence(rnd):
+    a, b, c = (rnd.choice(NOUNS) for _ in range(3))
+    return rnd.choice([f"The {a} watches a {b} behind the {c}.", f"Without this {a}, every {b} must wait for the {c}.", f"It is the {a}, not the {b}, that needs another {c}."])
+
+
+def corpus():
+    rnd = random.Random(3)
     rows, cut = [], set()
     for i in range(1500):
-        text = " ".join(sentence() for _ in range(rnd.randrange(4, 12)))
+        text = " ".join(sentence(rnd) for _ in range(rnd.randrange(4, 12)))
         source = rnd.choice([" Forum", "forum", "wiki", None])
         if source and "orum" in source and len(text) > 300:
             if text[299] not in ".":
@@ -52,6 +72,10 @@ def corpus():
                 cut.add(i)
         elif rnd.random() < 0.05:
             text = text[:-1]
+        elif rnd.random() < 0.1:
+            text += rnd.choice(["\n\nThanks\n-- ", "\n\nBest, "]) + rnd.choice(["Ada", "Kurt", "Emmy", "Alonzo"]) + str(i)
+        elif rnd.random() < 0.1:
+            text += "\n\n- " + "\n- ".join(f"{rnd.choice(NOUNS)} {rnd.choice(NOUNS)}" for _ in range(3))
         rows.append((i, text, source, "x"))
     return rows + [(5000, None, "wiki", "x"), (5001, "", "wiki", "x"), (5002, "", None, "x"), (5002, "", None, "x")], cut
 
@@ -66,61 +90,75 @@ def test_cut_documents_are_found(spark):
     shares = {r.source: r for r in truncation_by_source(df).collect()}
     assert set(shares) == {"forum", "wiki", None} and shares["forum"].share > 0.5 > 0.2 > shares["wiki"].share
     assert truncations(df.limit(0)).count() == 0
+    # the same rows in other partitions give the same result
+    assert {r.doc_id for r in truncations(df.repartition(7)).filter("truncated").collect()} == found
+
+
+@pytest.mark.parametrize("edits", [0, 1])
+def test_near_copies_cut_anywhere_are_found_by_alignment(spark, edits):
+    rnd = random.Random(11 + edits)
+    rows, planted = [], set()
+    for i in range(160):
+        words = []
+        while len(words) < 90:
+            words += sentence(rnd).split()
+        words = [w if rnd.random() < 0.5 else f"{w.strip('.,')}{rnd.randrange(400)}{w[len(w.strip('.,')):]}" for w in words]
+        copy = list(words)
+        for _ in range(edits):
+            copy[rnd.randrange(len(copy))] = f"other{rnd.randrange(99)}"
+        text = " ".join(words)
+        at = int(len(text) * rnd.uniform(0.3, 0.95))
+        while text[at - 1] in ". ,":
+            at -= 1
+        rows += [(2 * i, " ".join(copy), "a"), (2 * i + 1, text[:at], "b")]
+        planted.add(2 * i + 1)
+    got = {r.doc_id for r in truncations(spark.createDataFrame(rows, SCHEMA)).filter("copy = 1").collect()}
+    assert len(got & planted) >= 0.9 * len(planted) and len(got - planted) <= 0.02 * len(planted), (len(got & planted), len(got - planted))
 
 
 def test_no_word_is_dropped_from_the_counts(spark):
     rare = [f"x{chr(97 + i % 26)}{i}" for i in range(25_000)]
     texts = [" ".join(rare[at : at + 100]) + "." for at in range(0, len(rare), 100) for _ in range(6)]
-    texts += ["They inform us with zyxwvutable ink." for _ in range(4)] + ["No information here." for _ in range(100)]
-    # a whole word that begins a commoner one, and half of a rare one
-    texts += ["All is said.\n- please inform", "All is said.\n- write zyxwvut"]
-    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    texts += ["They inform us with zyxwvutable ink." for _ in range(4)] + ["No information here." for _ in range(100)] + ["All is said. Please zyxwvut"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA)
     for held in (HELD_WORDS, 50):
-        counts = {r.word: r.n for r in word_counts(df, held).collect()}
-        assert all(counts[w] == 6 for w in rare) and counts["inform"] == 4 and "zyxwvut" not in counts
-    got = {r.doc_id: r.truncated for r in truncations(df).filter("ending = 'block'").collect()}
-    assert got == {len(texts) - 2: False, len(texts) - 1: True}
-
-
-def test_contexts_in_one_bucket_are_counted_apart(spark):
-    low = {}
-    for word in (f"q{i}" for i in range(100_000)):
-        seen = low.setdefault(int(Contexts(set())([word])[0][4, 0]) & 0x7FFFF, word)
-        if seen != word:
-            break
-    texts = [f"Here is {seen}. And more." for _ in range(60)] + [f"All of it was {word}"]
-    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
-    got = truncations(df).filter("ending = 'plain'").first()
-    assert got.doc_id == 60 and got.terminality == 0.1, got
+        counts = word_counts(df, held)
+        n = {r.word: r.n for r in counts.collect()}
+        assert all(n[w] == 6 for w in rare) and n["inform"] == 4 and "zyxwvut" not in n
+        asked = spark.createDataFrame([("inform",), ("zyxwvut",), ("none",), (None,)], "word string")
+        assert {tuple(r) for r in pieces(asked, counts).collect()} == {("inform", 4, 100), ("zyxwvut", 0, 4), ("none", 0, 0)}
 
 
-def test_context_counts_equal_plain_counting(spark):
+def test_surveys_equal_plain_counting(spark):
     rnd = random.Random(5)
-    texts = [" ".join(rnd.choice(["the", "a", "Cat", "sits.", "7", "down."]) for _ in range(30)) for _ in range(200)]
-    keys, closes, row, _ = Contexts({"the", "a"})(texts)
+    texts = [" ".join(rnd.choice(["the", "a", "Cat", "sits.", "7", "down,"]) for _ in range(30)) for _ in range(200)]
+    read = Read(texts, Lexicon({"the", "a"}))
+    keys = read.contexts()
     want = {}
-    for at in range(len(row) - 1):
-        if row[at] == row[at + 1]:
+    for at in range(len(read.row)):
+        if read.closes[at] or not read.last[at]:
             for key in keys[:, at].view("int64").tolist():
                 seen, closed = want.get(key, (0, 0))
-                want[key] = seen + 1, closed + int(closes[at])
+                want[key] = seen + 1, closed + int(read.closes[at])
     asked = {k: v for i, (k, v) in enumerate(sorted(want.items())) if i % 3 == 0}
-    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    keys = lambda values: spark.createDataFrame([(k,) for k in values], "key long")
     for most in (1 << 15, 1 << 27):
-        got = context_counts(df, {"the", "a"}, spark.createDataFrame([(k,) for k in [*asked, 77]], "key long"), most)
-        assert {r.key: (r.seen, r.closed) for r in got.collect()} == asked
+        got = survey(df, {"the", "a"}, keys([*asked, 77]), keys([1]), most).filter("kind = 0").collect()
+        found = {r.key: (r.seen, r.closed) for r in got}
+        assert {k: found[k] for k in asked} == asked and all(found[k] == want[k] for k in found)
+    assert len(Read(["", "a", "  "], Lexicon(set())).contexts()[0]) == 1 and Read([""], Lexicon(set())).contexts().shape == (CONTEXTS, 0)
 
 
-def test_the_twin_that_goes_on_is_found_behind_longer_copies(spark):
+def test_a_hot_band_loses_no_partner(spark):
     words = [f"w{i}" for i in range(80)]
     text = " ".join(words)
-    # the longest of every band has too much else to be a near-copy
-    rows = [(i, " ".join([*words, *(f"more{i}x{j}" for j in range(30))]) + ".") for i in range(60)]
-    rows += [(100, text), (101, text), (102, text + " goes on here."), (103, text[:-1] + "x"), (104, "Quite another text that nobody ever copied in this table")]
-    rows += [(200 + i, text.replace("w20 ", f"v{i} ") + ".") for i in range(30)]
-    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    # very many texts share band and last words with the asked one, few go on there
+    rows = [(i, text + f". Another{i} text.") for i in range(120)] + [(500, text), (501, text), (502, text + " goes on here."), (503, "Quite another text that nobody ever copied in this table")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], SCHEMA)
     got = {r.doc_id: r.copy for r in truncations(df).collect()}
-    assert got[100] == got[101] == 1 and got[103] != 1 and got[104] is None
-    groups = spark.createDataFrame([(i, 7, True) for i, _ in rows], "doc_id long, group long, open boolean")
-    for step in (2, 4):
-        assert {r.doc_id for r in twins_that_go_on(df.select("doc_id", "text"), groups, step=step).collect()} == {100, 101}
+    assert got[500] == got[501] == 1 and got[503] is None
+    asked = spark.createDataFrame([(1, 10, 500)], "key long, sig long, doc_id long")
+    answers = spark.createDataFrame([(1, 1000 + i, i) for i in range(120)] + [(1, 10, 500), (1, 9999, 502)], "key long, sig long, doc_id long")
+    for step in (2, 4, 500):
+        assert [r.sig for r in cut_copies(df, asked, answers, step).collect()] == [10]
