@@ -47,21 +47,52 @@ class Side:
         self.codes, self.scale, self.rest = quantise(x)
         self.length = np.sqrt((x * x).sum(axis=1))
 
-    def left(self, space: str, at: slice) -> np.ndarray:
-        """Factors whose product with right() is a lower bound of the distance, up to left_offset()."""
-        two = 2.0 if space == "l2" else 1.0
-        n, e = self.length[at], self.rest[at]
-        codes = self.codes[at].astype(np.float32) * (-two * self.scale[at]).astype(np.float32)[:, None]
-        return np.column_stack([codes, -two * (n + e), -two * e, np.ones(len(n))]).astype(np.float32)
-
-    def left_offset(self, space: str, at: slice) -> np.ndarray:
-        return self.length[at] ** 2 * (1 - 1e-5) if space == "l2" else 1 - 1e-5 * self.length[at] ** 2
-
-    def right(self, space: str, at: slice) -> np.ndarray:
-        n = self.length[at]
-        own = n * n * (1 - 1e-5) if space == "l2" else -1e-5 * n * n
-        codes = self.codes[at].astype(np.float32) * self.scale[at].astype(np.float32)[:, None]
-        return np.column_stack([codes, self.rest[at], n, own]).astype(np.float32)
+    def tile(self, at: slice) -> np.ndarray:
+        """The codes as floats, for matrix products of which every partial sum is a whole number."""
+        return self.codes[at].astype(np.float32)
+
+    def ask(self, space: str, at: slice, worst: np.ndarray) -> np.ndarray:
+        """Factors whose product with offer() bounds a product of codes from below, for pairs that may be among a row's k best.
+
+        Rows, of codes q, scale s, rest e and length n, ask with the k-th distance w so far. Since
+        |x.y - sx sy qx.qy| <= (nx + ex) ey + ex ny, a pair is only near if qx.qy is at least
+        (nx^2 + ny^2 - w) / (2 sx sy) - ((nx + ex) ey + ex ny) / (sx sy) for l2, and
+        (1 - w) / (sx sy) - the same for the others. Lengths are taken a little too small (l2), errors too large.
+        """
+        n, e, s = self.length[at], self.rest[at], self.scale[at]
+        less, more = 1 - 1e-10, 1 + 1e-10
+        if space == "l2":
+            own, other = (n * n * less - worst) / (2 * s), 1 / (2 * s)
+        else:
+            own, other = (1 - worst - 1e-10 * (1 + n)) / s, np.zeros(len(n))
+        return np.column_stack([own, other, -(n + e) * more / s, -(e + 1e-12 * n) * more / s])
+
+    def offer(self, at: slice) -> np.ndarray:
+        n, e, s = self.length[at], self.rest[at], self.scale[at]
+        return np.column_stack([1 / s, n * n * (1 - 1e-10) / s, e / s, n / s])
+
+
+def least(ask: np.ndarray, offer: np.ndarray) -> np.ndarray:
+    """ask @ offer.T, not above it: in single precision where nothing overflows, less what its roundings may add."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        bounded = np.abs(np.where(np.isfinite(ask), ask, 0)).max(initial=0) * np.abs(offer).max(initial=0) < 1e37 and np.isfinite(offer).all()
+        if not bounded:
+            return (ask - 1e-12 * np.abs(ask)) @ offer.T
+        # four products and three sums of numbers rounded once: less than 16 roundings of 2^-24
+        return (ask - 16 * 2.0**-24 * np.abs(ask)).astype(np.float32) @ offer.astype(np.float32).T
+
+
+def products(left: np.ndarray, right: np.ndarray, span: int = 1024) -> tuple[np.ndarray, float]:
+    """(left @ right.T, slack): sums of products of codes, and how much they may be too small.
+
+    Up to `span` dimensions every partial sum is a whole number below 2^24, hence exact. Sums of several
+    such parts are rounded once a part, by at most 2^-24 of the largest sum that the dimensions allow.
+    """
+    d = left.shape[1]
+    total = left[:, :span] @ right[:, :span].T
+    for at in range(span, d, span):
+        total += left[:, at : at + span] @ right[:, at : at + span].T
+    return total, max(0, -(-d // span) - 1) * 2.0**-24 * 127 * 127 * d
 
 
 class Heaps:
@@ -103,24 +134,24 @@ def few(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def strip(space: str, k: int, rows: Side, columns: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, neighbour id, distance) of the k nearest columns of each row, a row not being its own neighbour.
 
-    A tile is the product of int8 codes, held in floats, where sums of their products are exact. It
-    gives a lower bound of each distance: |x.y - sx.sy.qx.qy| <= |x||ey| + |ex|(|y| + |ey|) with e the
-    quantisation rests. Pairs whose bound is above the row's k-th distance so far are dropped; the
-    others are recomputed from the stored floats in double precision and go into the row's heap. The
-    bound is not-greater in the sense that NaN and overflow survive.
+    A tile is the product of int8 codes, held in floats and not scaled, so that it is exact up to 1,024
+    dimensions and has a proven slack beyond (see products()). A pair is dropped if its product is below
+    the least that one of the row's k best could have (see Side.ask()); the others are recomputed from the
+    stored floats in double precision and go into the row's heap. Comparisons are made so that NaN and
+    overflow survive.
     """
     many = len(rows.ids)
     best = [Heaps(min(TILE_ROWS, many - a), k) for a in range(0, many, TILE_ROWS)]
     at, width = 0, 128
     while at < len(columns.ids):
         span = slice(at, at + width)
-        right = columns.right(space, span).T.copy()
+        with np.errstate(over="ignore", invalid="ignore"):
+            right, offer = columns.tile(span), columns.offer(span)
         for t, heaps in enumerate(best):
             own = slice(t * TILE_ROWS, t * TILE_ROWS + len(heaps.distance))
             with np.errstate(over="ignore", invalid="ignore"):
-                tile = rows.left(space, own) @ right
-                limit = (heaps.worst() - rows.left_offset(space, own)).astype(np.float32)
-                i, j = few(~(tile > np.nextafter(limit, np.float32(np.inf))[:, None]))
+                tile, slack = products(rows.tile(own), right)
+                i, j = few(~(tile < least(rows.ask(space, own, heaps.worst()), offer) - np.float32(slack)))
             keep = rows.ids[own.start + i] != columns.ids[at + j]
             i, j = i[keep], j[keep]
             for part in range(0, len(i), 200_000):

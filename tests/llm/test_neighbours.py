@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from orrery.llm.neighbours import Side, nearest, quantise, similar_pairs, strip
+from orrery.llm.neighbours import Side, nearest, products, quantise, similar_pairs, strip
 
 
 def brute(space, ids, x, k):
@@ -41,6 +41,31 @@ def test_strip_equals_brute_force(space):
     assert got == brute(space, ids, x, 5)
 
 
+@pytest.mark.parametrize("d", [384, 1536, 2500])
+@pytest.mark.parametrize("space", ["l2", "ip", "cosine"])
+def test_strip_is_exact_in_many_dimensions(space, d):
+    rng = np.random.default_rng(d)
+    x = (rng.normal(size=(20, d))[rng.integers(0, 20, 700)] + 1e-4 * rng.normal(size=(700, d))).astype(np.float32)
+    x[:9] = x[9:18]
+    ids = np.arange(700)
+    side = Side(ids, x, space)
+    row, name, _ = strip(space, 5, side, side)
+    got = {}
+    for r, n in zip(row, name, strict=True):
+        got.setdefault(ids[r], []).append(n)
+    assert got == brute(space, ids, x, 5)
+
+
+def test_products_of_codes_are_whole_numbers():
+    rng = np.random.default_rng(9)
+    for d in (1024, 1536, 5000):
+        a, b = rng.choice([-127, 127, 100], (30, d)), rng.choice([-127, 127, 126], (40, d))
+        a[0], b[0] = 127, 127
+        got, slack = products(a.astype(np.float32), b.astype(np.float32))
+        wrong = np.abs(got.astype(np.float64) - a @ b.T).max()
+        assert wrong <= slack and (slack == 0) == (d <= 1024)
+
+
 @pytest.mark.parametrize("blocks", [{}, {"row_block": 64, "column_block": 100}])
 def test_nearest_in_collections(spark, blocks):
     rng = np.random.default_rng(4)
