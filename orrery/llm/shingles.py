@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from orrery.llm.terms import terms
 
+#: Bits of a part of a filter of asked keys, and of the whole filter at most; it only spares rows, results are exact.
+PART, FILTER = 1 << 15, 1 << 27
+
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(29)
 
@@ -78,3 +83,20 @@ def batch_sets(texts: list[str | None], width: int, hasher: Hasher, least_terms:
     new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
     row, found = row[new], found[new]
     return row, found, np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+
+
+def bit_filter(asked: DataFrame, most: int = FILTER) -> np.ndarray:
+    """A bit filter of asked(key BIGINT), of 16 bits a key up to `most`."""
+    size = max(PART, min(most, 1 << (16 * asked.count()).bit_length()))
+    at = asked.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("at"))
+    parts = at.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(PART - 1))).alias("bits"))
+    bits = np.zeros(size // 8, dtype=np.uint8)
+    for row in parts.collect():  # at most FILTER / PART rows of PART bits
+        bits[row.part * PART // 8 : (row.part + 1) * PART // 8] = np.frombuffer(row.bits, dtype=np.uint8)
+    return bits
+
+
+def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys pass the filter."""
+    at = keys & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.runtime import join_small
+from orrery.runtime import cut_lineage, join_small
 
 #: Python's word class without the underscore: exactly the Unicode classes L and N (see the tests).
 _WORD = re.compile(r"[^\W_]+")
@@ -21,122 +21,211 @@ def terms(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+#: A container's counters in one number: occurrences below, records above.
+RECORD = 1 << 48
+
+
+class Node:
+    """A burst container: a child for each next character, and the counters of the term that ends here."""
+
+    __slots__ = ("children", "end")
+
+    def __init__(self):
+        self.children: dict = {}
+        self.end = 0
+
+
 class BurstTrie:
     """Counters of (occurrences, records) by term, in containers that burst into children by prefix.
 
     A container is a plain table of term suffixes; above `burst` entries it is replaced by a node
     with a child container for each next character, so frequent prefixes get deep routes and rare ones
-    stay compact.
+    stay compact. Counters are packed: occurrences + records * RECORD.
     """
 
     def __init__(self, burst: int = 2048):
         self.burst = burst
-        self.root: dict = {}  # first character -> node; a node is a _Leaf or a dict with "" for the term ending here
-        self.entries = 0
-
-    def add(self, term: str, occurrences: int, records: int) -> None:
-        node, depth, parent, key = self.root, 0, None, None
-        while type(node) is dict:
-            parent, key = node, term[depth : depth + 1]
-            depth += len(key)
-            node = parent.get(key)
+        self.root: dict | Node = {}
+
+    def add_text(self, words: list[str]) -> None:
+        """One record's terms."""
+        counts = Counter(words)
+        table = self.root
+        if type(table) is dict:
+            get = table.get
+            for term, n in counts.items():
+                table[term] = get(term, 0) + n + RECORD
+            if len(table) > self.burst:
+                self.root = self._burst(table)
+        else:
+            for term, n in counts.items():
+                self.add(term, n + RECORD)
+
+    def add(self, term: str, packed: int) -> None:
+        node, depth, parent, key = self.root, 0, None, ""
+        while type(node) is not dict:
+            if depth == len(term):
+                node.end += packed
+                return
+            parent, key = node, term[depth]
+            depth += 1
+            node = parent.children.get(key)
             if node is None:
-                node = parent[key] = _Leaf()
-            if not key:
-                break
-        table = node.table
+                node = parent.children[key] = {}
         suffix = term[depth:]
-        old = table.get(suffix)
-        if old is None:
-            table[suffix] = [occurrences, records]
-            self.entries += 1
-            if len(table) > self.burst and key:
-                parent[key] = self._burst(table)
-        else:
-            old[0] += occurrences
-            old[1] += records
+        node[suffix] = node.get(suffix, 0) + packed
+        if len(node) > self.burst:
+            if parent is None:
+                self.root = self._burst(node)
+            else:
+                parent.children[key] = self._burst(node)
 
     @staticmethod
-    def _burst(table: dict) -> dict:
-        node: dict = {}
-        for suffix, counts in table.items():
-            child = node.setdefault(suffix[:1], _Leaf())
-            child.table[suffix[1:]] = counts
+    def _burst(table: dict) -> Node:
+        node = Node()
+        for suffix, packed in table.items():
+            if suffix:
+                node.children.setdefault(suffix[0], {})[suffix[1:]] = packed
+            else:
+                node.end = packed
         return node
 
-    def subtrees(self) -> Iterator[tuple[str, dict[str, list[int]]]]:
-        """Every container as (prefix, {suffix: [occurrences, records]})."""
+    def containers(self) -> Iterator[tuple[str, dict[str, int]]]:
+        """Every container as (prefix, {suffix: packed counters})."""
         stack = [("", self.root)]
         while stack:
             prefix, node = stack.pop()
             if type(node) is dict:
-                stack.extend((prefix + key, child) for key, child in node.items())
-            elif node.table:
-                yield prefix, node.table
+                if node:
+                    yield prefix, node
+            else:
+                if node.end:
+                    yield prefix, {"": node.end}
+                stack.extend((prefix + key, child) for key, child in node.children.items())
 
+    def entries(self) -> int:
+        return sum(len(table) for _, table in self.containers())
 
-class _Leaf:
-    __slots__ = ("table",)
 
-    def __init__(self):
-        self.table: dict[str, list[int]] = {}
+#: A subtree on its way: the container of a prefix, its suffixes and their counters. A null prefix tells a scope's number of texts.
+SUBTREE = "field string, scope string, prefix string, suffixes array<string>, occurrences array<long>, records array<long>"
+_COLUMNS = ["field", "scope", "prefix", "suffixes", "occurrences", "records"]
+_TYPES = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+
+
+def _batches(rows: Iterator[tuple], names: list[str], types: tuple, weight=lambda row: len(row[3])) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += weight(row) + 1
+        if size > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+
+def _subtree(field: str, scope: str, prefix: str, table: dict[str, int]) -> tuple:
+    packed = table.values()
+    return field, scope, prefix, list(table), [p & (RECORD - 1) for p in packed], [p >> 48 for p in packed]
 
 
 def _count(burst: int, most_entries: int):
     """Count a partition's texts, a trie for each scope; empty all tries when they hold too many entries."""
 
-    def flush(tries: dict) -> Iterator[pa.RecordBatch]:
-        columns: list[list] = [[], [], [], [], []]
-
-        def batch() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())],
-                ["field", "scope", "term", "occurrences", "records"],
-            )
-            for c in columns:
-                c.clear()
-            return made
-
-        for (field, scope), trie in tries.items():
-            for prefix, table in trie.subtrees():
-                columns[0].extend([field] * len(table))
-                columns[1].extend([scope] * len(table))
-                columns[2].extend([prefix + suffix for suffix in table])
-                columns[3].extend([v[0] for v in table.values()])
-                columns[4].extend([v[1] for v in table.values()])
-                if len(columns[0]) > 20_000:
-                    yield batch()
-        if columns[0]:
-            yield batch()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         tries: dict[tuple, BurstTrie] = {}
-        for rows in batches:
-            by_scope: dict[tuple, list[str]] = {}
-            for field, scope, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                by_scope.setdefault((field, scope), []).append(text)
-            for scope, found in by_scope.items():
-                occurrences: Counter = Counter()
-                records: Counter = Counter()
-                for text in found:
-                    words = terms(text)
-                    occurrences.update(words)
-                    records.update(set(words))
-                trie = tries.get(scope)
+        texts: Counter = Counter()
+        for batch in batches:
+            for field, scope, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = field, scope
+                trie = tries.get(key)
                 if trie is None:
-                    trie = tries[scope] = BurstTrie(burst)
-                for term, n in occurrences.items():
-                    trie.add(term, n, records[term])
-            if sum(t.entries for t in tries.values()) > most_entries:
-                yield from flush(tries)
+                    trie = tries[key] = BurstTrie(burst)
+                texts[key] += 1
+                trie.add_text(terms(text))
+            if sum(t.entries() for t in tries.values()) > most_entries:
+                yield from (_subtree(*key, *c) for key, trie in tries.items() for c in trie.containers())
                 tries = {}
-        yield from flush(tries)
-
-    return run
+        yield from (_subtree(*key, *c) for key, trie in tries.items() for c in trie.containers())
+        yield from ((*key, None, [], [n], []) for key, n in texts.items())
+
+    return lambda batches: _batches(rows(batches), _COLUMNS, _TYPES)
+
+
+def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Split each subtree by the routes beneath its prefix, and by further characters where a route is too large."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            columns = (batch.column(n).to_pylist() for n in (*_COLUMNS, "deeper", "more"))
+            for field, scope, prefix, suffixes, occurrences, records, deeper, more in zip(*columns, strict=True):
+                if not deeper and not more:
+                    yield field, scope, prefix, suffixes, occurrences, records
+                    continue
+                routes = {prefix: more or 0} | {d["prefix"]: d["more"] for d in deeper or ()}
+                lengths = sorted({len(r) for r in routes}, reverse=True)
+                parts: dict[str, list] = {}
+                for suffix, n, m in zip(suffixes, occurrences, records, strict=True):
+                    term = prefix + suffix
+                    own = next(term[:i] for i in lengths if term[:i] in routes)
+                    own = term[: len(own) + routes[own]]
+                    part = parts.setdefault(own, [[], [], []])
+                    for column, value in zip(part, (term[len(own) :], n, m), strict=True):
+                        column.append(value)
+                for own, part in parts.items():
+                    yield field, scope, own, *part
+
+    return _batches(rows(), _COLUMNS, _TYPES)
+
+
+def _merge(burst: int):
+    """Merge the matching subtrees of all workers, which come sorted, and tell their terms."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        key, trie = None, BurstTrie(burst)
+
+        def told() -> Iterator[tuple]:
+            for prefix, table in trie.containers():
+                for suffix, packed in table.items():
+                    yield key[0], key[1], key[2] + prefix + suffix, packed & (RECORD - 1), packed >> 48
+
+        for batch in batches:
+            for field, scope, prefix, suffixes, occurrences, records in zip(*(batch.column(n).to_pylist() for n in _COLUMNS), strict=True):
+                if (field, scope, prefix) != key:
+                    if key is not None:
+                        yield from told()
+                    key, trie = (field, scope, prefix), BurstTrie(burst)
+                for suffix, n, m in zip(suffixes, occurrences, records, strict=True):
+                    trie.add(suffix, n + m * RECORD)
+        if key is not None:
+            yield from told()
+
+    names = ["field", "scope", "term", "occurrences", "records"]
+    return lambda batches: _batches(rows(batches), names, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), lambda row: 1)
+
+
+def routed(subtrees: DataFrame, most: int) -> DataFrame:
+    """Subtrees cut and named so that those that match have one prefix, whatever workers burst.
+
+    A route is the prefix of any container that some worker has; a term takes the longest one that begins
+    it. A route whose containers hold more than `most` entries altogether is cut further, by as many
+    characters as bring them below it at a branching of eight.
+    """
+    sizes = subtrees.groupBy("field", "scope", "prefix").agg(F.sum(F.size("suffixes")).alias("n"))
+    more = F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / most) / F.log(F.lit(8.0)))).cast("int")
+    routes = cut_lineage(sizes.select("field", "scope", "prefix", more.alias("more")))
+    if not routes.filter("prefix <> '' or more > 0").take(1):
+        return subtrees
+    beneath = routes.filter("prefix <> ''").select("field", "scope", F.explode(F.sequence(F.lit(0), F.length("prefix") - 1)).alias("i"), F.struct("prefix", "more").alias("d"))
+    beneath = beneath.select("field", "scope", F.substring("d.prefix", F.lit(1), F.col("i")).alias("prefix"), "d").groupBy("field", "scope", "prefix").agg(F.collect_list("d").alias("deeper"))
+    plans = routes.join(beneath, ["field", "scope", "prefix"], "left").filter("deeper is not null or more > 0")
+    found = join_small(subtrees, cut_lineage(plans), ["field", "scope", "prefix"], ["suffixes"], "left")
+    return found.select(*_COLUMNS, "deeper", "more").mapInArrow(_route, SUBTREE)
 
 
 def term_counts(
-    texts: DataFrame, rare: int = 1, common: float = 0.5, least_texts: int = 0, burst: int = 2048, most_entries: int = 400_000,
+    texts: DataFrame, rare: int = 1, common: float = 0.5, least_texts: int = 0, burst: int = 2048, most_entries: int = 400_000, most_route: int = 400_000,
 ) -> DataFrame:
     """Every distinct term of every scope: (field, scope, term, occurrences, records, texts, mark).
 
@@ -147,16 +236,20 @@ def term_counts(
     are left out; repeated rows count as often as they occur. Empty input gives an empty result. Terms:
     see terms(); no normalization, so Unicode forms stay apart.
 
-    Each task counts its texts in burst tries, at most `most_entries` entries before it passes the
-    subtrees on. Subtrees are merged by term, so a scope that holds a third of all texts is spread over
-    all tasks and a term costs few rows a task.
+    The texts are read once. Each task counts its texts in burst tries, one a scope, at most `most_entries`
+    entries before it passes the subtrees on as compact rows, which are written out. Subtrees are routed
+    by adaptive prefixes (see routed()) and the matching ones of all workers merged in a trie, so a scope
+    that holds a third of all texts is spread over tasks by its prefixes, and no route holds much more
+    than `most_route` entries.
     """
     rows = texts.select("field", "scope", "text").filter("text is not null and scope is not null and field is not null")
-    scopes = rows.groupBy("field", "scope").agg(F.count(F.lit(1)).alias("texts"))
+    parts = cut_lineage(rows.mapInArrow(_count(burst, most_entries), SUBTREE))
+    scopes = parts.filter("prefix is null").groupBy("field", "scope").agg(F.sum(F.col("occurrences")[0]).alias("texts"))
     if least_texts:
         scopes = scopes.filter(F.col("texts") >= least_texts)
-    parts = rows.mapInArrow(_count(burst, most_entries), "field string, scope string, term string, occurrences long, records long")
-    merged = parts.groupBy("field", "scope", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    found = routed(parts.filter("prefix is not null"), most_route)
+    found = found.repartition("field", "scope", "prefix").sortWithinPartitions("field", "scope", "prefix")
+    merged = found.mapInArrow(_merge(burst), "field string, scope string, term string, occurrences long, records long")
     marked = join_small(merged, scopes, ["field", "scope"], ["term"])
     mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > common * F.col("texts"), "common")
     return marked.withColumn("mark", mark)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.mixture import source_key
-from orrery.llm.shingles import mix, runs_of
+from orrery.llm.shingles import FILTER, among, bit_filter, mix, runs_of
 from orrery.llm.terms import terms
 from orrery.runtime import cut_lineage, join_small, parallelism
 
@@ -22,14 +22,13 @@ from orrery.runtime import cut_lineage, join_small, parallelism
 CONTEXTS, SKELETONS = 6, (0, 3, 5)
 #: Terminality of an open tag, link, entity or half character: nothing ends there.
 BROKEN = 1e-3
-#: Bits of a part of a filter of asked keys, and of the whole filter at most; it only spares rows, results are exact.
-PART, FILTER = 1 << 15, 1 << 27
 #: Words this frequent are kept in a sentence's skeleton; the others count by their kind only.
 FRAME_WORDS = 80
 #: Distinct words that a task counts before it passes their counts on.
 HELD_WORDS = 200_000
-#: Bands of the min-hash, each of ROWS values. At a similarity of 0.8 all bands miss one pair in 300.
-BANDS, ROWS = 8, 3
+#: Bands of the min-hash, each of ROWS values; last words tell candidates apart too, so bands are wide. At a similarity
+#: of 0.8 all bands miss one pair in 3,500, at 0.65 (short texts with one edit) one in 70.
+BANDS, ROWS = 8, 2
 #: Words of a run that is hashed, and of the run at a text's end that its near-copies are asked for.
 WIDTH, TAIL = 5, 3
 #: How many last words may lie behind that run: none, half a word or a changed one, a few changed ones.
@@ -255,22 +254,6 @@ def pieces(asked: DataFrame, counts: DataFrame) -> DataFrame:
     return found.select("word", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("longer", F.lit(0)).alias("longer"))
 
 
-def _bits(asked: DataFrame, most: int = FILTER) -> np.ndarray:
-    """A bit filter of asked(key), of 16 bits a key up to `most`."""
-    size = max(PART, min(most, 1 << (16 * asked.count()).bit_length()))
-    at = asked.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("at"))
-    parts = at.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(PART - 1))).alias("bits"))
-    bits = np.zeros(size // 8, dtype=np.uint8)
-    for row in parts.collect():  # at most FILTER / PART rows of PART bits
-        bits[row.part * PART // 8 : (row.part + 1) * PART // 8] = np.frombuffer(row.bits, dtype=np.uint8)
-    return bits
-
-
-def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(8 * len(bits) - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 ASKED = "doc_id long, source string, chars int, ending string, sig long, contexts array<long>, word string, keys array<long>"
 
 
@@ -326,7 +309,7 @@ def _survey(shared):
             told = read.closes | ~read.last
             closing = np.tile(read.closes[told], CONTEXTS)
             keys = keys[:, told].ravel()
-            asked = np.flatnonzero(_in(contexts, keys))
+            asked = np.flatnonzero(among(contexts, keys))
             found, which, seen = np.unique(keys[asked], return_inverse=True, return_counts=True)
             closed = np.bincount(which[closing[asked]], minlength=len(found))
             none = np.zeros(len(found), dtype=np.int64)
@@ -338,7 +321,7 @@ def _survey(shared):
             for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
                 mine = runs[edges[i] : edges[i + 1]]
                 every = mix(bands(mine, levels(len(mine))).ravel()[:, None] + mix(short[ends[i] : ends[i + 1]])[None, :]).ravel()
-                hits = np.unique(every[_in(tails, every)]).view(np.int64)
+                hits = np.unique(every[among(tails, every)]).view(np.int64)
                 if len(hits):
                     one, zero = np.ones(len(hits), dtype=np.int32), np.zeros(len(hits), dtype=np.int64)
                     sig = np.full(len(hits), xxhash.xxh3_64_intdigest(texts[i]) - (1 << 63), dtype=np.int64)
@@ -354,7 +337,7 @@ def survey(texts: DataFrame, frame: set[str], contexts: DataFrame, tails: DataFr
     Counts are exact (up to 64-bit hashes): bit filters of the asked keys go to the tasks, so that few
     others are passed on; those find no partner later. Equal texts count as one for tails.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((frame, _bits(contexts, most), _bits(tails, most)))
+    shared = texts.sparkSession.sparkContext.broadcast((frame, bit_filter(contexts, most), bit_filter(tails, most)))
     found = texts.select("doc_id", "text").mapInArrow(_survey(shared), FOUND)
     return found.groupBy("kind", "key", "sig").agg(F.min("doc_id").alias("doc_id"), F.sum("seen").alias("seen"), F.sum("closed").alias("closed"))
 
@@ -421,7 +404,7 @@ def ends_early(short: str, long: str, lexicon: Lexicon | None = None, similarity
         half = read.words[n - 1].lower().rstrip(",:;")
         # half a word, behind as many words as here; or the same number of changed words
         at = j + rest - 1
-        if at >= m or np.any(closes[j:at]):
+        if at >= m:
             return 0
         word = read.words[n + at].lower()
         if rest == 1 and word != half and word.startswith(half):

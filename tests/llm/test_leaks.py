@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from orrery.llm.leaks import held_out, leaks, myers
+from orrery.llm.leaks import Items, held_out, leaks, myers, search
 from orrery.llm.terms import terms
 
 
@@ -66,6 +66,19 @@ def test_leaks_equal_brute_force(spark):
     assert leaks(df.limit(0), items).count() == 0 and leaks(df, items.limit(0)).count() == 0
 
 
+def test_few_hits_are_held_at_once():
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(4)]
+    rows = [(i, " ".join(rng.choice(words, 20))) for i in range(15)]
+    items = Items(rows, 9, 2)
+    symbols = np.concatenate([np.append(rng.integers(0, 5, 60), 0) for _ in range(12)])
+    document = np.repeat(np.arange(12), 61)
+    want = {x[:3] + (x[3],) for x in zip(*(c.tolist() for c in search(items, symbols, document)), strict=True)}
+    assert len(want) > 30
+    for held in (3, 40, 1000):
+        assert set(zip(*(c.tolist() for c in search(items, symbols, document, held=held)), strict=True)) == want
+
+
 def test_held_out_fields(spark):
     rows = [(1, "test", "q1", None), (2, "train", "q2", "s2"), (3, "validation", None, "s3"), (4, None, "q", "s")]
     df = spark.createDataFrame(rows, "item_id long, split string, question string, support string")

@@ -3,7 +3,7 @@ import sys
 import unicodedata
 from collections import Counter
 
-from orrery.llm.terms import _WORD, BurstTrie, term_counts, terms
+from orrery.llm.terms import _WORD, RECORD, BurstTrie, term_counts, terms
 
 
 def test_word_class_is_letters_and_numbers():
@@ -13,17 +13,17 @@ def test_word_class_is_letters_and_numbers():
 
 def test_trie_counts_like_a_dictionary():
     rnd = random.Random(1)
-    for burst in (1, 3, 50):
+    for burst in (1, 3, 50, 5000):
         trie, want = BurstTrie(burst), {}
-        for _ in range(4000):
-            term = "".join(rnd.choice("abcé") for _ in range(rnd.randrange(0, 7)))
-            a, b = rnd.randrange(5), rnd.randrange(3)
-            trie.add(term, a, b)
-            old = want.setdefault(term, [0, 0])
-            old[0] += a
-            old[1] += b
-        got = {p + s: v for p, t in trie.subtrees() for s, v in t.items()}
-        assert got == want and trie.entries == len(want)
+        for _ in range(600):
+            words = ["".join(rnd.choice("abcé") for _ in range(rnd.randrange(0, 7))) for _ in range(7)]
+            trie.add_text(words)
+            for w in words:
+                want[w] = want.get(w, 0) + 1
+            for w in set(words):
+                want[w] += RECORD
+        got = {p + s: v for p, t in trie.containers() for s, v in t.items()}
+        assert got == want and trie.entries() == len(want)
 
 
 def test_counts_against_brute_force(spark):
@@ -47,7 +47,8 @@ def test_counts_against_brute_force(spark):
     for key, n in records.items():
         mark = "rare" if n <= 1 else "common" if n > 0.5 * texts[key[:2]] else None
         want.add((*key, occurrences[key], n, texts[key[:2]], mark))
-    for entries in (400_000, 20):
-        got = term_counts(df, burst=4, most_entries=entries).select("field", "scope", "term", "occurrences", "records", "texts", "mark").collect()
+    # tries that burst or not, tasks that burst apart, routes that are cut further
+    for burst, entries, route in ((2048, 400_000, 400_000), (4, 400_000, 400_000), (4, 20, 400_000), (300, 2000, 50), (2048, 400_000, 5)):
+        got = term_counts(df.repartition(5), burst=burst, most_entries=entries, most_route=route).select("field", "scope", "term", "occurrences", "records", "texts", "mark").collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert term_counts(df.limit(0)).count() == 0
