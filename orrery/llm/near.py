@@ -1,4 +1,4 @@
-"""Near-duplicate texts: exact set-similarity links by a pigeonhole over cost-ordered segments."""
+"""Near-duplicate texts: exact set-similarity links, by a universe partition or by prefixes of rare tokens."""
 
 from __future__ import annotations
 
@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.shingles import Hasher, mix, shingle_set
+from orrery.llm.shingles import Hasher, among, bit_filter, mix, shingle_set
 from orrery.runtime import BROADCAST_ROWS, at_most, cut_lineage
 
 #: Counters of the cost sketch (each 4 bytes), cut into chunks that are summed apart.
 SKETCH, CHUNK = 1 << 20, 1 << 14
 #: Parity segments of the universe, as words of 64 bits.
 WORDS = 4
+#: Similarity from which the universe is partitioned; below, segments hold too few tokens to tell sets apart.
+UNIVERSE = 0.7
 #: Bytes kept of a token: two different runs of a pair are taken for one with a chance of 2^-48.
 TOKEN_BYTES = 6
 #: Groups of texts with equal sets up to this size are written out as all their pairs; larger ones as links to their least key.
@@ -102,8 +104,8 @@ def cost_sketch(sets: DataFrame) -> np.ndarray:
     return total
 
 
-def _segments(cost, similarity: float):
-    """The cheapest segments of each set, as many as its error budget needs: (token, key, n, place)."""
+def _prefixes(cost, similarity: float):
+    """The rarest tokens of each set, one more than its error budget: (token, key, n, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         price = cost.value
@@ -123,6 +125,99 @@ def _segments(cost, similarity: float):
     return run
 
 
+def size_band(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Bands of sizes, each from one size to that over the similarity: linked sets lie in one or in neighbouring bands."""
+    return np.floor(np.log(np.maximum(n, 1) + 0.0) / -np.log(similarity) + 1e-9).astype(np.int64)
+
+
+def band_segments(band: np.ndarray, similarity: float) -> np.ndarray:
+    """Segments of a band: one more than its largest sets may differ in."""
+    largest = np.floor(similarity ** -(band + 1.0) + 1e-6)
+    return np.floor((1 - similarity) / (1 + similarity) * 2 * largest + 1e-9).astype(np.int64) + 1
+
+
+def _cut(tokens: np.ndarray, row: np.ndarray, rows: int, band: np.ndarray, similarity: float):
+    """The segments of sets in the given bands: (first, segment of each token, sum of each segment, part of each token)."""
+    many = band_segments(band, similarity)
+    first = np.concatenate([[0], np.cumsum(many)])
+    turned = mix(tokens + (band[row].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    segment = first[row] + (turned % many[row].astype(np.uint64)).astype(np.int64)
+    part = mix(turned)
+    total = np.zeros(first[-1], dtype=np.uint64)
+    np.add.at(total, segment, part)
+    owner = np.repeat(np.arange(rows), many)
+    name = mix(band[owner].astype(np.uint64) * np.uint64(1 << 32) + (np.arange(first[-1]) - first[owner]).astype(np.uint64))
+    return first, owner, segment, total, part, name
+
+
+#: The three ways in which two segments may differ by at most one token: equal, one too many in the index, one in the probe.
+EQUAL, LACKS, HAS = (np.uint64(x) for x in (11, 13, 17))
+
+
+def _index(similarity: float, asked):
+    """(sig, key, n): what each set is indexed by in its own band and the next, as far as some set asks for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = asked.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            tokens, row = _lists(batch.column(2))
+            for step in (0, 1):
+                _, owner, segment, total, part, name = _cut(tokens, row, len(n), size_band(n, similarity) + step, similarity)
+                whole = total + name
+                sigs = np.concatenate([mix(whole ^ EQUAL), mix(whole ^ HAS), mix((whole[segment] - part) ^ LACKS)])
+                owners = np.concatenate([owner, owner, row])
+                keep = np.flatnonzero(among(bits, sigs))
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[keep].view(np.int64)), pa.array(key[owners[keep]]), pa.array(n[owners[keep]].astype(np.int32))], ["sig", "key", "n"])
+
+    return run
+
+
+def _probe(similarity: float, cost):
+    """(sig, key, n): what each set asks the index of its band for, with thresholds allotted to its segments by their cost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        price = cost.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            tokens, row = _lists(batch.column(2))
+            first, owner, segment, total, part, name = _cut(tokens, row, len(n), size_band(n, similarity), similarity)
+            # a segment costs what its rarest token occurs; with one token less, what its second one does; an empty one, all
+            dear = float(price.sum()) + 1
+            order = np.lexsort((price[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)], segment))
+            rare = price[(tokens[order] & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.float64)
+            at = segment[order]
+            begin = np.searchsorted(at, np.arange(first[-1]))
+            size = np.bincount(at, minlength=first[-1])
+            padded = np.append(rare, [dear, dear])
+            zero = np.where(size > 0, padded[np.minimum(begin, len(rare))], dear)
+            one = np.where(size > 1, padded[np.minimum(begin + 1, len(rare))], 2 * dear)
+            budget = np.floor((1 - similarity) / (1 + similarity) * 2 * n + 1e-9).astype(np.int64) + 1
+            place = np.arange(first[-1]) - first[owner]
+            spare = np.diff(first) - budget
+            dearest, cheapest = np.lexsort((place, -zero, owner)), np.lexsort((place, one, owner))
+            threshold = np.zeros(first[-1], dtype=np.int64)
+            threshold[dearest[place < spare[owner]]] = -1
+            # the dearest of the others are given up for a second token in the cheapest, where that costs less
+            j = place - spare[owner]
+            mine = np.flatnonzero(j >= 0)
+            swap = zero[dearest[mine]] > one[cheapest[(first[owner[mine]] + j[mine])]]
+            threshold[dearest[mine[swap]]] = -1
+            threshold[cheapest[(first[owner[mine]] + j[mine])[swap]]] = 1
+            whole = total + name
+            a, b = np.flatnonzero(threshold >= 0), np.flatnonzero(threshold == 1)
+            c = np.flatnonzero(threshold[segment] == 1)
+            sigs = np.concatenate([mix(whole[a] ^ EQUAL), mix(whole[b] ^ LACKS), mix((whole[segment[c]] - part[c]) ^ HAS)])
+            owners = np.concatenate([owner[a], owner[b], row[c]])
+            yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(key[owners]), pa.array(n[owners].astype(np.int32))], ["sig", "key", "n"])
+
+    return run
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The common tokens of each pair, counted."""
     for batch in batches:
@@ -143,18 +238,28 @@ class Near:
     texts with fewer than max(least_terms, width) terms, or null, take no part. A link joins two
     different sets with |A n B| >= similarity * |A u B|. Links are exact (up to 48-bit hashes of runs).
 
-    Method. Of two linked sets the smaller, of size n, lacks at most e = n - o tokens in the other, o
-    being the least overlap their sizes allow. Each set's tokens are put in one global order, by cost
-    (how often their bucket of the universe is used, from a sketch of fixed size), and cut into segments
-    of two tokens; a segment with threshold 1 is indexed by its one-deletion neighbourhood, its two
-    single tokens. The error budget e + 1 is spent on the cheapest segments and the others get threshold
-    -1: no link can miss all of them. Candidates that meet are dropped if their places leave too little
-    to share, or if the parities of the 256 hash segments of the universe differ more often than the
-    pair's symmetric difference may; those left are counted in full.
+    Two methods give the same links.
+
+    universe (for a similarity of 0.7 or more): sizes are cut into bands, so that linked sets lie in one
+    or in neighbouring bands. A band hashes the universe of tokens into one segment more than its sets may
+    differ in. A set is indexed, in its own band and the next, by its segments and their one-deletion
+    neighbourhoods; it asks in its own band with thresholds -1, 0 or 1 for each segment, allotted by cost (how often
+    the segment's rarest tokens occur) so that they add up to its error budget: of two linked sets the larger
+    one's question is always answered by the smaller one. Of the index only what some set asks for is kept.
+
+    prefix (below, where segments would hold about one token each): of two linked sets the smaller, of size
+    n, lacks at most e = n - o tokens in the other, o being the least overlap their sizes allow. With all
+    tokens in one global order, by cost, two linked sets share one of their e + 1 rarest.
+
+    Candidates are dropped if their sizes or places leave too little to share, or if the parities of
+    the 256 hash segments of the universe differ more often than the pair's symmetric difference may; those
+    left are counted in full. Costs come from a sketch of fixed size; it only decides the order of tokens, any
+    order gives the same links.
     """
 
-    def __init__(self, texts: DataFrame, similarity: float = 0.8, width: int = 5, least_terms: int = 0):
+    def __init__(self, texts: DataFrame, similarity: float = 0.8, width: int = 5, least_terms: int = 0, method: str | None = None):
         self.similarity = similarity
+        self.method = method or ("universe" if similarity >= UNIVERSE else "prefix")
         rows = texts.select("key", "text").filter("key is not null and text is not null")
         # signs are written out; the sets, several times their size, are made again from the texts where needed
         self.all = cut_lineage(rows.mapInArrow(_signs(width, least_terms), SIGNS))
@@ -171,9 +276,35 @@ class Near:
     def links(self) -> DataFrame:
         """(a, b, na, nb, common): the links between different sets, each named by the least key of its texts."""
         t, sets = self.similarity, self.sets
-        context = sets.sparkSession.sparkContext
-        cost = context.broadcast(cost_sketch(sets))
-        rows = sets.select("key", "n", "tokens").mapInArrow(_segments(cost, t), "token long, key long, np long")
+        cost = sets.sparkSession.sparkContext.broadcast(cost_sketch(sets))
+        pairs = (self._by_universe if self.method == "universe" else self._by_prefixes)(cost).repartition("a").distinct()
+        for side in ("a", "b"):
+            own = self.signs.select(F.col("key").alias(side), F.col("n").alias("n" + side), *(F.col(p).alias(side + p) for p in _PARITY))
+            pairs = pairs.join(own.hint("merge"), side)
+        differ = sum((F.bit_count(F.col("a" + p).bitwiseXOR(F.col("b" + p))) for p in _PARITY), F.lit(0))
+        least = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)
+        pairs = pairs.filter(differ <= F.col("na") + F.col("nb") - 2 * least).select("a", "b", "na", "nb")
+        for side in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("tokens").alias("t" + side)).hint("merge"), side)
+        counted = pairs.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_overlaps, "a long, b long, na int, nb int, common long")
+        return counted.filter(F.col("common") >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)
+
+    def _by_universe(self, cost) -> DataFrame:
+        """(a, b): candidates by the partition of the universe, a the smaller set."""
+        t = self.similarity
+        kind = "sig long, key long, n int"
+        narrow = self.sets.select("key", "n", "tokens")
+        probes = cut_lineage(narrow.mapInArrow(_probe(t, cost), kind))
+        asked = narrow.sparkSession.sparkContext.broadcast(bit_filter(probes.select(F.col("sig").alias("key"))))
+        a, b = narrow.mapInArrow(_index(t, asked), kind).alias("a"), probes.alias("b")
+        smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.key") < F.col("b.key")))
+        met = b.hint("merge").join(a, (F.col("a.sig") == F.col("b.sig")) & smaller & (F.col("a.n") >= F.lit(t) * F.col("b.n") - 1e-9))
+        return met.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+
+    def _by_prefixes(self, cost) -> DataFrame:
+        """(a, b): candidates by the rarest tokens, a the smaller set."""
+        t = self.similarity
+        rows = self.sets.select("key", "n", "tokens").mapInArrow(_prefixes(cost, t), "token long, key long, np long")
         # size and place travel as one number through the exchange
         size = lambda side: F.shiftright(F.col(side + "np"), 32).cast("int")
         place = lambda side: F.col(side + "np").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
@@ -185,17 +316,8 @@ class Near:
         least = F.ceil(F.lit(t / (1 + t)) * (na + nb) - 1e-9)
         fits = (na >= F.lit(t) * nb - 1e-9) & (F.least(na - place("a."), nb - place("b.")) >= least)
         met = a.hint("merge").join(b, (F.col("a.token") == F.col("b.token")) & smaller & fits)
-        pairs = met.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).repartition("a").distinct()
-        for side in ("a", "b"):
-            own = self.signs.select(F.col("key").alias(side), F.col("n").alias("n" + side), *(F.col(p).alias(side + p) for p in _PARITY))
-            pairs = pairs.join(own.hint("merge"), side)
-        differ = sum((F.bit_count(F.col("a" + p).bitwiseXOR(F.col("b" + p))) for p in _PARITY), F.lit(0))
-        least = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)
-        pairs = pairs.filter(differ <= F.col("na") + F.col("nb") - 2 * least).select("a", "b", "na", "nb")
-        for side in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("tokens").alias("t" + side)).hint("merge"), side)
-        counted = pairs.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_overlaps, "a long, b long, na int, nb int, common long")
-        return counted.filter(F.col("common") >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)
+        return met.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+
 
 
 def near_pairs(texts: DataFrame, similarity: float = 0.8, width: int = 5, least_terms: int = 0, expand: int = EXPAND) -> DataFrame:

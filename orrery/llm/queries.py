@@ -26,6 +26,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_kinds(table(spark, sf_dir, "records"), table(spark, sf_dir, "collections"))
 
 
+def p3_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every oversized document put together again of its pieces without their overlaps, and whether all pieces keep the limit."""
+    from pyspark.sql import Window
+
+    from orrery.llm.split import split_documents
+
+    pieces = split_documents(table(spark, sf_dir, "records"), table(spark, sf_dir, "collections"))
+    before = F.lag("stop", 1, 0).over(Window.partitionBy("rowid").orderBy("start"))
+    pieces = pieces.withColumn("own", F.expr("substring(encode(piece, 'utf-8'), 1)")).withColumn("skip", (before - F.col("start")).cast("int"))
+    pieces = pieces.withColumn("own", F.expr("substring(own, skip + 1)"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "own"))), lambda p: p["own"])
+    whole = pieces.groupBy("rowid").agg(F.md5(F.aggregate(parts, F.lit(b""), lambda x, y: F.concat(x, y))).alias("document"), F.max(F.octet_length("piece")).alias("longest"))
+    limits = table(spark, sf_dir, "records").join(table(spark, sf_dir, "collections"), "collection_id").select("rowid", "chunk_limit")
+    return whole.join(limits, "rowid").select("rowid", "document", (F.col("longest") <= F.col("chunk_limit")).alias("within"))
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every oversized document."""
     from orrery.llm.split import split_documents
@@ -74,6 +90,17 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of p5_found: every text that shares its set of runs of three terms, with the least key of its class and its size.
+
+    Classes of more than EXPAND texts come out of p5_found as pairs with that key.
+    """
+    from orrery.llm.near import Near
+
+    parts = [Near(texts, 0.5, 3, 10).members.select(F.lit(field).alias("field"), "key", "rep", "copies") for field, texts in keyed_texts(spark, sf_dir).items()]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a passage of twelve terms of a held-out item, up to two edits."""
     from orrery.llm.leaks import held_out, leaks
@@ -85,8 +112,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_leaks(spark, sf_dir).filter(F.col("run") >= 12).select("doc_id", "item_id")
 
 
-#: Rank file of a public byte-pair vocabulary; a parameter of the mixture.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+def vocabulary(spark: SparkSession) -> str:
+    """Rank file of a public byte-pair vocabulary, on every worker; named by the session's spark.orrery.vocabulary."""
+    return spark.conf.get("spark.orrery.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,14 +127,14 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mixture with their copies, sized in tokens."""
     from orrery.llm.mixture import Mixture
 
-    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), VOCABULARY).copies()
+    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), vocabulary(spark)).copies()
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares that the sources of the mixture really reach, in tokens."""
     from orrery.llm.mixture import Mixture
 
-    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), VOCABULARY).report()
+    return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), vocabulary(spark)).report()
 
 
 def p7_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +159,7 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_by_source(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_groups": p5_groups, "p6_leaks": p6_leaks, "p6_found": p6_found, "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_terms": p7_terms, "p8_found": p8_found, "p8_sources": p8_sources}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_rejoined": p3_rejoined, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_groups": p5_groups, "p5_classes": p5_classes, "p6_leaks": p6_leaks, "p6_found": p6_found, "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_terms": p7_terms, "p8_found": p8_found, "p8_sources": p8_sources}
 
 SQL: dict[str, str] = {}
 
@@ -258,3 +286,19 @@ SELECT t.field, t.key, coalesce(n.grp, c.rep, t.key) AS "group", coalesce(c.copi
 FROM texts t LEFT JOIN classes c ON c.field = t.field AND c.key = t.key
 LEFT JOIN named n ON n.field = t.field AND n.node = coalesce(c.rep, t.key) LEFT JOIN degree d ON d.field = t.field AND d.node = coalesce(c.rep, t.key)
 """
+
+SQL["p5_classes"] = r"""
+WITH texts AS (
+  SELECT 'document' AS field, rowid AS key, document AS text FROM records
+  UNION ALL SELECT 'overview', movie_key, overview FROM movies),
+words AS (SELECT field, key, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM texts WHERE text IS NOT NULL),
+runs AS (SELECT DISTINCT field, key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT field, key, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 10)),
+sets AS (SELECT field, key, md5(string_agg(s, '|' ORDER BY s)) AS whole FROM runs GROUP BY ALL),
+classes AS (SELECT field, key, min(key) OVER (PARTITION BY field, whole) AS rep, count(*) OVER (PARTITION BY field, whole) AS copies FROM sets)
+SELECT field, key, rep, copies FROM classes WHERE copies > 1
+"""
+
+SQL["p3_rejoined"] = r"""
+SELECT r.rowid, md5(r.document) AS document, true AS within FROM records r JOIN collections c ON r.collection_id = c.collection_id
+WHERE r.document IS NOT NULL AND c.chunk_limit IS NOT NULL AND strlen(r.document) > c.chunk_limit
+"""

@@ -38,6 +38,27 @@ def corpus(seed, n=260):
     return rows + [(2, None, "x"), (5, "", "x"), (8, "w1 w2", "x")]
 
 
+@pytest.mark.parametrize("method", ["universe", "prefix"])
+@pytest.mark.parametrize("similarity,width", [(0.8, 1), (0.8, 3), (0.9, 2), (0.7, 2), (0.5, 3)])
+def test_both_methods_find_every_link(spark, method, similarity, width):
+    rnd = random.Random(int(100 * similarity) + width)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rnd.choice(words) for _ in range(n)) for n in (1, 2, 3, 5, 8, 13, 40, 90, 200, 400) for _ in range(4)]
+    for _ in range(220):
+        w = rnd.choice(texts).split()
+        for _ in range(rnd.choice([1, 1, 2, 3, max(1, len(w) // 15)])):
+            at = rnd.randrange(len(w) + 1)
+            w[at : at + rnd.randrange(2)] = [rnd.choice(words)] * rnd.randrange(2)
+        texts.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(dict.fromkeys(texts)) if t]
+    want = brute(rows, similarity, width, 0)
+    got = Near(spark.createDataFrame(rows, "key long, text string"), similarity, width, method=method)
+    reps = {r.key: r.rep for r in got.members.collect()}
+    want = {tuple(sorted((reps.get(a, a), reps.get(b, b)))) for a, b in want}
+    found = [tuple(sorted((r.a, r.b))) for r in got.links().collect()]
+    assert len(want) > 20 and set(found) == {x for x in want if x[0] != x[1]} and len(found) == len(set(found))
+
+
 @pytest.mark.parametrize("similarity,width,least", [(0.5, 3, 10), (0.8, 5, 0), (0.6, 2, 0)])
 def test_pairs_equal_brute_force(spark, similarity, width, least):
     rows = corpus(int(similarity * 10) + width)
