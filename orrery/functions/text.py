@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.errors import InvalidArgument
+
 # The English stop words that encoders drop.
 STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "he",
@@ -172,3 +174,14 @@ def hashing_embedder(dimension: int):
         return pd.Series(list(embed_all([t or "" for t in texts], dimension)), index=texts.index)
 
     return embedded
+
+
+def embedder(config: Mapping | None = None):
+    """The column function that a configuration names: {"type": "hashing", "dimension": 384}, the default.
+
+    Embedders that ask a network service are not part of this library.
+    """
+    config = {"type": "hashing", "dimension": 384} | dict(config or {})
+    if config["type"] != "hashing":
+        raise InvalidArgument(f"unknown embedder: {config['type']}")
+    return hashing_embedder(int(config["dimension"]))

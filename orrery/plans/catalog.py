@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.errors import AlreadyExists, InvalidArgument, NotFound
-from orrery.functions.values import BUCKETS, METADATA
+from orrery.functions.values import BUCKETS, METADATA, parse_metadata
+from orrery.functions.vectors import parse_vector
 from orrery.operators import records as log
 from orrery.operators.filters import MapBinding, compile_filter, parse
 from orrery.plans import schema as schemas
@@ -73,6 +74,27 @@ def _now() -> str:
     return datetime.now(UTC).isoformat()
 
 
+def batch_of(
+    spark: SparkSession, ids: Sequence[str], embeddings: Sequence | None = None, documents: Sequence | None = None, uris: Sequence | None = None,
+    metadatas: Sequence | None = None, update: bool = False,
+) -> DataFrame:
+    """The batch of a request's parallel lists, which must be as long as its ids.
+
+    Embeddings are lists of numbers or base64 texts, metadatas mappings or JSON texts; with update, null
+    metadata values delete their keys, else they are refused. What validate() checks comes later.
+    """
+    log.check_lengths(ids, embeddings, documents, uris, metadatas)
+
+    def of(values: Sequence | None, i: int, read=lambda v: v):
+        return None if values is None or values[i] is None else read(values[i])
+
+    def metadata(value) -> dict | None:
+        return parse_metadata(value if isinstance(value, str) else json.dumps(value), update)
+
+    rows = [(i, id, of(embeddings, i, parse_vector), of(documents, i), of(uris, i), of(metadatas, i, metadata)) for i, id in enumerate(ids)]  # noqa: A001
+    return spark.createDataFrame(rows, f"ord long, id string, embedding array<float>, document string, uri string, metadata {METADATA}")
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.files = spark, Files(spark, root)

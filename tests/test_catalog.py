@@ -7,7 +7,7 @@ from orrery.errors import AlreadyExists, InvalidArgument, NotFound, Unprocessabl
 from orrery.functions.values import METADATA, METADATA_TYPE, encode_value, parse_metadata, parse_value
 from orrery.operators import records as log
 from orrery.plans import schema as schemas
-from orrery.plans.catalog import Catalog
+from orrery.plans.catalog import Catalog, batch_of
 from orrery.sources.files import corpus_object, movies_csv, movies_jsonl, text_lines
 from orrery.streaming.sink import write_stream
 
@@ -76,6 +76,19 @@ def test_record_log(spark, catalog):
     assert c.info["schema"]["keys"]["k"].keys() == {"int", "float"} and c.indexing_status()["op_indexing_progress"] == 1.0
 
 
+def test_requests_of_parallel_lists(spark, catalog):
+    c = catalog.create_collection("requests")
+    made = batch_of(spark, ["a", "b"], ["AACAPgAAQD8AAAAA", [1, 2, 3]], ["one", None], None, [{"k": 1, "f": 1.0}, '{"t": ["x"]}'])
+    assert c.write("add", made) == 2
+    assert plain(c.records()) == {"a": ([0.25, 0.75, 0], "one", None, {"k": 1, "f": 1.0}), "b": ([1, 2, 3], None, None, {"t": ["x"]})}
+    assert c.write("update", batch_of(spark, ["a"], metadatas=[{"k": None}], update=True)) == 1
+    assert plain(c.records())["a"][3] == {"f": 1.0}
+    with pytest.raises(InvalidArgument, match="Inconsistent number"):
+        batch_of(spark, ["a", "b"], [[1.0]])
+    with pytest.raises(InvalidArgument):
+        batch_of(spark, ["a"], [[1.0]], metadatas=[{"k": None}])
+
+
 def test_merging_in_one_batch(spark):
     state = spark.createDataFrame([(1, "a", [1.0, 0.0], None, "u1", {"x": "1", "y": "keep"}, 1), (2, "b", [0.0, 1.0], None, None, {"only": "1"}, 1)],
                                   "rowid long, id string, embedding array<float>, document string, uri string, metadata map<string,string>, seq long")

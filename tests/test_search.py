@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from orrery.errors import EngineError, InvalidArgument, Unprocessable, Validation
-from orrery.functions.text import embed, encode_document, encode_query, fnv, split_words, term_dimensions
+from orrery.functions.text import embed, embedder, encode_document, encode_query, fnv, split_words, term_dimensions
 from orrery.functions.vectors import decode_base64, distance_to, encode_base64, parse_vector
 from orrery.operators.grouping import parse_group_by
 from orrery.operators.knn import Ivf, knn, knn_batch, knn_join, knn_two_stage, restrict_ids
@@ -218,6 +218,14 @@ def test_encoders():
     assert near > far
 
 
+def test_configured_embedder(spark):
+    df = spark.createDataFrame([("green field",), (None,)], "t string")
+    rows = [r.v for r in df.select(embedder({"dimension": 16})("t").alias("v")).collect()]
+    assert np.allclose(rows[0], embed("green field", 16)) and rows[1][0] == 1 and len(df.select(embedder()("t").alias("v")).first().v) == 384
+    with pytest.raises(InvalidArgument):
+        embedder({"type": "other"})
+
+
 def test_base64(spark):
     assert parse_vector("AACAPgAAQD8AAAAA") == [0.25, 0.75, 0.0]
     df = spark.createDataFrame([([0.25, 0.75, 0.0],), (None,)], "v array<float>")
