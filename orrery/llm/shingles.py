@@ -85,9 +85,9 @@ def batch_sets(texts: list[str | None], width: int, hasher: Hasher, least_terms:
     return row, found, np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
 
 
-def bit_filter(asked: DataFrame, most: int = FILTER) -> np.ndarray:
-    """A bit filter of asked(key BIGINT), of 16 bits a key up to `most`."""
-    size = max(PART, min(most, 1 << (16 * asked.count()).bit_length()))
+def bit_filter(asked: DataFrame, most: int = FILTER, each: int = 16) -> np.ndarray:
+    """A bit filter of asked(key BIGINT), of `each` bits a key up to `most`."""
+    size = max(PART, min(most, 1 << (each * asked.count()).bit_length()))
     at = asked.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("at"))
     parts = at.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(PART - 1))).alias("bits"))
     bits = np.zeros(size // 8, dtype=np.uint8)

@@ -254,7 +254,7 @@ def pieces(asked: DataFrame, counts: DataFrame) -> DataFrame:
     return found.select("word", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("longer", F.lit(0)).alias("longer"))
 
 
-ASKED = "doc_id long, source string, chars int, ending string, sig long, contexts array<long>, word string, keys array<long>"
+ASKED = "doc_id long, source string, chars int, ending string, sig long, contexts array<long>, word string, bands array<long>, tails array<long>"
 
 
 def _endings(shared):
@@ -266,7 +266,7 @@ def _endings(shared):
             docs, sources, texts = (c.to_pylist() for c in batch.columns)
             found = [ending(t) for t in texts]
             asked = [i for i, (kind, _) in enumerate(found) if kind not in ("ended", "empty")]
-            own, last, keys = ([None] * len(texts) for _ in range(3))
+            own, last, own_bands, own_tails = ([None] * len(texts) for _ in range(4))
             read = Read([found[i][1] for i in asked], lexicon)
             contexts = read.contexts()
             for i, first, size in zip(asked, read.first.tolist(), read.sizes.tolist(), strict=True):
@@ -280,24 +280,24 @@ def _endings(shared):
                 runs = runs_of(exact, WIDTH)
                 sizes = levels(len(runs))[-1:]
                 if sizes:
-                    tails = runs_of(exact, TAIL)
-                    tails = np.array([tails[-1 - b] for b in BEHIND if b < len(tails)])
-                    keys[i] = mix(bands(runs, sizes)[0][:, None] + mix(tails)[None, :]).ravel().view(np.int64).tolist()
+                    tails = runs_of(exact, TAIL).view(np.int64)
+                    own_tails[i] = [int(tails[-1 - b]) for b in BEHIND if b < len(tails)]
+                    own_bands[i] = bands(runs, sizes)[0].view(np.int64).tolist()
             sigs = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]
-            out = [docs, sources, [len(t.rstrip()) for t in texts], [k for k, _ in found], sigs, own, last, keys]
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "source", "chars", "ending", "sig", "contexts", "word", "keys"])
+            out = [docs, sources, [len(t.rstrip()) for t in texts], [k for k, _ in found], sigs, own, last, own_bands, own_tails]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "source", "chars", "ending", "sig", "contexts", "word", "bands", "tails"])
 
     return run
 
 
-#: What the second reading finds: of a context how often it occurs and a unit ends behind it; of an asked key a text that has it.
+#: What the second reading finds: of a context how often it occurs and a unit ends behind it; of an asked band a text that has it.
 FOUND = "kind int, key long, sig long, doc_id long, seen long, closed long"
 
 
 def _survey(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame, contexts, tails = shared.value
+        frame, contexts, banded = shared.value
         lexicon = Lexicon(frame)
         for batch in batches:
             docs, texts = (c.to_pylist() for c in batch.columns)
@@ -316,12 +316,10 @@ def _survey(shared):
             columns = [(np.zeros(len(found), np.int32), found.view(np.int64), none, none, seen.astype(np.int64), closed.astype(np.int64))]
             runs, row, _ = read.runs(WIDTH)
             edges = np.searchsorted(row, np.arange(len(texts) + 1))
-            short, owner, _ = read.runs(TAIL)
-            ends = np.searchsorted(owner, np.arange(len(texts) + 1))
             for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
                 mine = runs[edges[i] : edges[i + 1]]
-                every = mix(bands(mine, levels(len(mine))).ravel()[:, None] + mix(short[ends[i] : ends[i + 1]])[None, :]).ravel()
-                hits = np.unique(every[among(tails, every)]).view(np.int64)
+                every = bands(mine, levels(len(mine))).ravel()
+                hits = np.unique(every[among(banded, every)]).view(np.int64)
                 if len(hits):
                     one, zero = np.ones(len(hits), dtype=np.int32), np.zeros(len(hits), dtype=np.int64)
                     sig = np.full(len(hits), xxhash.xxh3_64_intdigest(texts[i]) - (1 << 63), dtype=np.int64)
@@ -331,17 +329,54 @@ def _survey(shared):
     return run
 
 
-def survey(texts: DataFrame, frame: set[str], contexts: DataFrame, tails: DataFrame, most: int = FILTER) -> DataFrame:
-    """FOUND for the distinct asked keys contexts(key) and tails(key), over all texts(doc_id, text), read once.
+def survey(texts: DataFrame, frame: set[str], contexts: DataFrame, banded: DataFrame, most: int = FILTER) -> DataFrame:
+    """FOUND for the distinct asked keys contexts(key) and banded(key), over all texts(doc_id, text), read once.
 
     Counts are exact (up to 64-bit hashes): bit filters of the asked keys go to the tasks, so that few
-    others are passed on; those find no partner later. Equal texts count as one for tails.
+    others are passed on; those find no partner later. Equal texts count as one for bands.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((frame, bit_filter(contexts, most), bit_filter(tails, most)))
+    shared = texts.sparkSession.sparkContext.broadcast((frame, bit_filter(contexts, most), bit_filter(banded, most, 64)))
     found = texts.select("doc_id", "text").mapInArrow(_survey(shared), FOUND)
     return found.groupBy("kind", "key", "sig").agg(F.min("doc_id").alias("doc_id"), F.sum("seen").alias("seen"), F.sum("closed").alias("closed"))
 
 
+def _tails(shared):
+    """(band, tail, sig, doc_id): the runs of a text's last words that are asked for, with each of its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, bits = Lexicon(set()), shared.value
+        for batch in batches:
+            docs, sigs, own, texts = (batch.column(c).to_pylist() for c in ("doc_id", "sig", "own", "text"))
+            runs, row, _ = Read(texts, lexicon).runs(TAIL)
+            keep = np.flatnonzero(among(bits, runs)) if len(runs) else np.empty(0, np.int64)
+            out: list[tuple] = []
+            for tail, i in set(zip(runs[keep].view(np.int64).tolist(), row[keep].tolist(), strict=True)):
+                out.extend((band, tail, sigs[i], docs[i]) for band in own[i])
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["band", "tail", "sig", "doc_id"])
+
+    return run
+
+
+def candidates(texts: DataFrame, opened: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, answers), each (key, sig, doc_id): open texts and those that share a band and a run of their last words.
+
+    opened(sig, doc_id, bands, tails); met(key, sig, doc_id): who has which band. Only bands that different
+    texts have are looked at, and only the texts that have them are read again.
+    """
+    own = opened.filter("bands is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("tails").alias("tails"))
+    own = cut_lineage(own.select("sig", "doc_id", F.explode("bands").alias("band"), "tails"))
+    met = met.join(own.select(F.col("band").alias("key")).distinct().hint("merge"), "key", "left_semi")
+    shared = met.groupBy(F.col("key").alias("band")).agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi").select("band")
+    shared = cut_lineage(shared)
+    asked = cut_lineage(own.join(shared.hint("merge"), "band").select("band", F.explode("tails").alias("tail"), "sig", "doc_id"))
+    holders = met.withColumnRenamed("key", "band").join(shared.hint("merge"), "band").groupBy("doc_id", "sig").agg(F.collect_set("band").alias("own"))
+    bits = texts.sparkSession.sparkContext.broadcast(bit_filter(asked.select(F.col("tail").alias("key")).distinct(), each=64))
+    answers = holders.join(texts.select("doc_id", "text").hint("merge"), "doc_id").mapInArrow(_tails(bits), "band long, tail long, sig long, doc_id long")
+    keyed = lambda df: df.select(F.xxhash64("band", "tail").alias("key"), "sig", "doc_id")
+    return keyed(asked), keyed(answers).distinct()
+
+
 def align(a: np.ndarray, b: np.ndarray, width: int = TAIL) -> tuple[int, int, float]:
     """(i, j, share): the longest chain of common runs of two word lists ends behind word i of a and j of b.
 
@@ -546,17 +581,16 @@ def truncations(documents: DataFrame, frame: int = FRAME_WORDS) -> DataFrame:
     is_open = ~F.col("ending").isin("ended", "empty")
     opened = judged.filter(is_open)
     asked = cut_lineage(opened.filter("contexts is not null").select("contexts").distinct())
-    tails = opened.filter("keys is not null").select(F.explode("keys").alias("key"), "sig", "doc_id")
-    tails = tails.groupBy("key", "sig").agg(F.min("doc_id").alias("doc_id"))
-    found = cut_lineage(survey(rows, words, asked.select(F.explode("contexts").alias("key")).distinct(), tails.select("key").distinct()))
-    copies = cut_copies(rows, tails, found.filter("kind = 1").select("key", "sig", "doc_id"))
+    banded = opened.filter("bands is not null").select(F.explode("bands").alias("key")).distinct()
+    found = cut_lineage(survey(rows, words, asked.select(F.explode("contexts").alias("key")).distinct(), banded))
+    copies = cut_copies(rows, *candidates(rows, opened, found.filter("kind = 1").select("key", "sig", "doc_id")))
 
     totals = every.agg(F.sum("n")).first()[0] or 0
     ends = judged.filter("ending <> 'empty'").count()
     counts = found.filter("kind = 0")
     rate = counts.agg(F.sum("closed") / F.sum("seen")).first()[0] if totals else None
     base = min(max(rate if rate is not None else 0.5, 1e-3), 1 - 1e-3) if ends else 0.5
-    scored = opened.drop("keys")
+    scored = opened.drop("bands", "tails")
     scored = join_small(scored, cut_lineage(terminality(opened, counts, base)), ["contexts"], ["doc_id"], "left").fillna(base, ["terminality"])
     scored = scored.withColumn("terminality", F.when(F.col("ending") == "markup", F.lit(BROKEN)).otherwise(F.col("terminality")))
     scored = join_small(scored, cut_lineage(pieces(opened, every)), ["word"], ["doc_id"], "left").fillna(0, ["own", "longer"])
