@@ -149,7 +149,7 @@ def knn_two_stage(records: DataFrame, query: Sequence[float], n: int = DEFAULT_R
 
 
 def _probed(queries: list[tuple[int, np.ndarray]], lists: list[set[int]], n: int, space: str):
-    """The n best of a partition for each query among the rows of its own lists: (qid, rowid, raw)."""
+    """The n best of each list of a partition for each query that asks for it: (qid, rowid, raw)."""
     asked: dict[int, list[int]] = {}
     for i, own in enumerate(lists):
         for c in own:
@@ -158,19 +158,21 @@ def _probed(queries: list[tuple[int, np.ndarray]], lists: list[set[int]], n: int
     matrix = np.stack([v for _, v in queries])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {i: Best(matrix[i : i + 1], n, space) for own in asked.values() for i in own}
+        best: dict[int, Best] = {}  # by list, over all queries that ask for it
         for batch in batches:
             if not batch.num_rows or not n:
                 continue
             rowid, at = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             for c in np.unique(at).tolist():
-                own = np.flatnonzero(at == c)
-                for i in asked.get(c, ()):
-                    best[i].see(rowid[own], vectors[own])
-        for i, found in best.items():
-            _, rowid, distance = found.rows()
-            yield pa.RecordBatch.from_pydict({"qid": pa.array(np.full(len(rowid), ids[i])), "rowid": pa.array(rowid), "raw": pa.array(distance)})
+                if c in asked:
+                    own = np.flatnonzero(at == c)
+                    if c not in best:
+                        best[c] = Best(matrix[asked[c]], n, space)
+                    best[c].see(rowid[own], vectors[own])
+        for c, found in best.items():
+            q, rowid, distance = found.rows()
+            yield pa.RecordBatch.from_pydict({"qid": pa.array(ids[np.array(asked[c])[q]]), "rowid": pa.array(rowid), "raw": pa.array(distance)})
 
     return run
 
