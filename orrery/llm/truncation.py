@@ -186,21 +186,41 @@ def levels(most: int) -> list[int]:
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)  # odd multipliers: each gives the runs another order
 
 
-def bands(runs: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """(levels, BANDS) min-hash keys of the first sizes[i] runs of a text."""
-    if not len(runs) or not sizes:
-        return np.empty((0, BANDS), np.uint64)
-    parts = []
-    at = 0
-    least = None
-    for size in sizes:
-        found = (runs[at:size][None, :] * _SEEDS[:, None]).min(axis=1)
-        least = found if least is None else np.minimum(least, found)
-        parts.append(least)
-        at = size
-    values = mix(np.stack(parts).reshape(len(sizes), BANDS, ROWS) + np.arange(ROWS, dtype=np.uint64))
-    number = np.array(sizes, dtype=np.uint64)[:, None] * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)[None, :]
-    return mix(np.bitwise_xor.reduce(values, axis=2) + number)
+def bands(runs: np.ndarray, edges: np.ndarray, longest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, keys): BANDS min-hash keys of the first runs of each text, at every level, or at its longest only.
+
+    The runs of text i lie from edges[i] to edges[i + 1]. All texts are done at once: the least values
+    between two levels first, then each level's and all below.
+    """
+    many = np.diff(edges)
+    sizes = np.array(levels(int(many.max(initial=0))), dtype=np.int64)
+    deep = np.searchsorted(sizes, many, side="right")
+    total = int(deep.sum())
+    if not total:
+        return np.empty(0, np.int64), np.empty((0, BANDS), np.uint64)
+    row = np.repeat(np.arange(len(many)), deep)
+    first = np.cumsum(deep) - deep
+    level = np.arange(total) - first[row]
+    low = edges[row] + np.where(level > 0, sizes[level - 1], 0)
+    # what lies behind a text's last level is a stretch of its own, of no use
+    rest = edges[:-1] + np.where(deep > 0, sizes[np.maximum(deep - 1, 0)], 0)
+    rest = rest[(rest < edges[1:]) | (deep == 0) & (many > 0)]
+    starts = np.concatenate([low, rest])
+    order = np.argsort(starts, kind="stable")
+    least = np.empty((BANDS * ROWS, total), dtype=np.uint64)
+    for i, seed in enumerate(_SEEDS):
+        found = np.empty(len(starts), dtype=np.uint64)
+        found[order] = np.minimum.reduceat(runs * seed, starts[order])
+        least[i] = found[:total]
+    for l in range(1, len(sizes)):  # noqa: E741
+        at = first[deep > l] + l
+        least[:, at] = np.minimum(least[:, at], least[:, at - 1])
+    if longest:
+        keep = (first + deep - 1)[deep > 0]
+        row, level, least = row[keep], level[keep], least[:, keep]
+    values = mix(least.reshape(BANDS, ROWS, -1) + np.arange(ROWS, dtype=np.uint64)[None, :, None])
+    number = sizes[level].astype(np.uint64)[:, None] * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)[None, :]
+    return row, mix(np.bitwise_xor.reduce(values, axis=1).T + number)
 
 
 def _words(held: int):
@@ -269,6 +289,10 @@ def _endings(shared):
             own, last, own_bands, own_tails = ([None] * len(texts) for _ in range(4))
             read = Read([found[i][1] for i in asked], lexicon)
             contexts = read.contexts()
+            runs, row, _ = read.runs(WIDTH)
+            banded, keys = bands(runs, np.searchsorted(row, np.arange(len(asked) + 1)), longest=True)
+            for at, key in zip(banded.tolist(), keys.view(np.int64).tolist(), strict=True):
+                own_bands[asked[at]] = key
             for i, first, size in zip(asked, read.first.tolist(), read.sizes.tolist(), strict=True):
                 if not size:
                     continue
@@ -277,12 +301,9 @@ def _endings(shared):
                 if word.isalpha() and "://" not in found[i][1].split()[-1]:
                     last[i] = word
                 exact = read.exact[first : first + size]
-                runs = runs_of(exact, WIDTH)
-                sizes = levels(len(runs))[-1:]
-                if sizes:
-                    tails = runs_of(exact, TAIL).view(np.int64)
+                if own_bands[i] is not None:
+                    tails = runs_of(exact[-TAIL - max(BEHIND) :], TAIL).view(np.int64)
                     own_tails[i] = [int(tails[-1 - b]) for b in BEHIND if b < len(tails)]
-                    own_bands[i] = bands(runs, sizes)[0].view(np.int64).tolist()
             sigs = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]
             out = [docs, sources, [len(t.rstrip()) for t in texts], [k for k, _ in found], sigs, own, last, own_bands, own_tails]
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -315,15 +336,13 @@ def _survey(shared):
             none = np.zeros(len(found), dtype=np.int64)
             columns = [(np.zeros(len(found), np.int32), found.view(np.int64), none, none, seen.astype(np.int64), closed.astype(np.int64))]
             runs, row, _ = read.runs(WIDTH)
-            edges = np.searchsorted(row, np.arange(len(texts) + 1))
-            for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-                mine = runs[edges[i] : edges[i + 1]]
-                every = bands(mine, levels(len(mine))).ravel()
-                hits = np.unique(every[among(banded, every)]).view(np.int64)
-                if len(hits):
-                    one, zero = np.ones(len(hits), dtype=np.int32), np.zeros(len(hits), dtype=np.int64)
-                    sig = np.full(len(hits), xxhash.xxh3_64_intdigest(texts[i]) - (1 << 63), dtype=np.int64)
-                    columns.append((one, hits, sig, np.full(len(hits), docs[i], dtype=np.int64), zero, zero))
+            which, every = bands(runs, np.searchsorted(row, np.arange(len(texts) + 1)))
+            hits = np.flatnonzero(among(banded, every.ravel()))
+            who = np.repeat(which, BANDS)[hits]
+            sigs = {i: xxhash.xxh3_64_intdigest(texts[i]) - (1 << 63) for i in np.unique(who).tolist()}
+            one, zero = np.ones(len(hits), dtype=np.int32), np.zeros(len(hits), dtype=np.int64)
+            sig = np.array([sigs[i] for i in who.tolist()], dtype=np.int64)
+            columns.append((one, every.ravel()[hits].view(np.int64), sig, np.array(docs, dtype=np.int64)[who], zero, zero))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], ["kind", "key", "sig", "doc_id", "seen", "closed"])
 
     return run

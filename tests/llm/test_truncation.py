@@ -42,10 +42,20 @@ def test_alignment_is_a_longest_chain():
 
 def test_bands_of_beginnings_are_those_of_the_shorter_text():
     runs = np.random.default_rng(2).integers(1, 2**63, 300).astype(np.uint64)
-    every = bands(runs, levels(300))
-    for i, size in enumerate(levels(300)):
-        assert (bands(runs[:size], [size])[0] == every[i]).all()
-    assert levels(3) == [] and bands(runs[:2], []).shape == (0, truncation.BANDS)
+    edges = np.array([0, 0, 3, 3, 100, 104, 111, 300, 300])
+    row, every = bands(runs, edges)
+    want = []
+    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        for size in levels(b - a):
+            at, key = bands(runs[a : a + size], np.array([0, size]), longest=True)
+            values = (runs[a : a + size][None, :] * truncation._SEEDS[:, None]).min(axis=1)
+            want.append((i, size, key[0].tolist()))
+            assert at.tolist() == [0] and len(set(values.tolist())) > 1
+    assert row.tolist() == [w[0] for w in want] and every.tolist() == [w[2] for w in want]
+    # the keys are those of the least values
+    one, two = (bands(x, np.array([0, 8]), longest=True)[1] for x in (runs[:8], runs[:8][::-1].copy()))
+    assert (one == two).all() and (one != bands(runs[1:9], np.array([0, 8]), longest=True)[1]).any()
+    assert levels(3) == [] and bands(runs[:2], np.array([0, 2]))[1].shape == (0, truncation.BANDS)
 
 
 NOUNS = ["cluster", "planner", "mattress", "gardener", "village", "orchard", "painter", "engine", "harbor", "cellar", "bridge", "lantern"]
