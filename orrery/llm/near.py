@@ -4,27 +4,31 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.shingles import Hasher, among, bit_filter, mix, shingle_set
 from orrery.runtime import BROADCAST_ROWS, at_most, cut_lineage
 
-#: Counters of the cost sketch (each 4 bytes), cut into chunks that are summed apart.
-SKETCH, CHUNK = 1 << 20, 1 << 14
-#: Parity segments of the universe, as words of 64 bits.
-WORDS = 4
+#: Counters of the cost sketch at most (4 bytes in a task, 1 once they are prices), cut into chunks that are summed apart.
+SKETCH, CHUNK = 1 << 24, 1 << 16
+#: Parity segments of a set, in words of 64 bits: four for each of its tokens, as a power of two of words.
+WORDS, MOST_WORDS = 4, 256
+#: Words that a prefix row has for the parities of the tokens from its own on: 1 for sets up to the first size, then 2, 4, 8.
+SUFFIX = (48, 96, 256)
 #: Similarity from which the universe is partitioned; below, segments hold too few tokens to tell sets apart.
 UNIVERSE = 0.7
 #: Bytes kept of a token: two different runs of a pair are taken for one with a chance of 2^-48.
 TOKEN_BYTES = 6
 #: Groups of texts with equal sets up to this size are written out as all their pairs; larger ones as links to their least key.
 EXPAND = 100
-_PARITY = [f"p{i}" for i in range(WORDS)]
-SIGNS = "key long, n int, s1 long, s2 long, " + ", ".join(f"{p} long" for p in _PARITY)
+SETS = "key long, n int, tokens binary"
+SIGNS = "key long, n int, s1 long, s2 long, parity binary"
+_WORDS = [f"w{i}" for i in range(2 ** len(SUFFIX))]
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -40,10 +44,14 @@ def _short(tokens: np.ndarray) -> bytes:
     return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]).tobytes()
 
 
-def _tokens(width: int, least_terms: int):
+def _tokens(width: int, least_terms: int, asked=None):
+    """The sets of texts; with a bit filter, of those whose key passes it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
+            if asked is not None:
+                batch = batch.filter(pa.array(among(asked.value, mix(batch.column(0).to_numpy().view(np.uint64)))))
             found = [(k, shingle_set(t, width, hasher, least_terms)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             keys, sets = [k for k, s in found if s is not None], [s for _, s in found if s is not None]
             columns = [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([_short(s) for s in sets], pa.binary())]
@@ -52,6 +60,21 @@ def _tokens(width: int, least_terms: int):
     return run
 
 
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["key"])
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit filter of keys(key BIGINT), whatever pattern they have, for `_tokens`."""
+    return bit_filter(keys.mapInArrow(_mixed, "key long"))
+
+
+def parity_words(n: np.ndarray) -> np.ndarray:
+    """Words of the parities of sets of n tokens: a power of two, so that those of a larger set fold onto a smaller one's."""
+    return np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1) / 16)).astype(np.int64).clip(0), WORDS, MOST_WORDS)
+
+
 def _signs(width: int, least_terms: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -68,44 +91,56 @@ def _signs(width: int, least_terms: int):
             every = np.concatenate(sets)
             row = np.repeat(np.arange(len(sets)), n)
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            parity = np.bincount(row * (64 * WORDS) + (mix(every) % np.uint64(64 * WORDS)).astype(np.int64), minlength=len(sets) * 64 * WORDS) & 1
-            parity = np.packbits(parity.astype(np.uint8).reshape(len(sets), WORDS, 64), axis=2, bitorder="little").view(np.int64).reshape(len(sets), WORDS)
+            words = parity_words(n)
+            ends = np.cumsum(words)
+            at = (64 * (ends - words))[row] + (mix(every) & (np.uint64(64) * words.astype(np.uint64) - np.uint64(1))[row]).astype(np.int64)
+            parity = np.packbits((np.bincount(at, minlength=64 * ends[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
             columns = [pa.array(keys, pa.int64()), pa.array(n, pa.int32())]
             columns += [pa.array(np.add.reduceat(mix(every + np.uint64(salt)), starts).view(np.int64)) for salt in (1, 2)]
-            columns += [pa.array(np.ascontiguousarray(parity[:, i])) for i in range(WORDS)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "s1", "s2", *_PARITY])
+            columns.append(pa.array([parity[8 * (e - w) : 8 * e] for e, w in zip(ends.tolist(), words.tolist(), strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "s1", "s2", "parity"])
 
     return run
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SKETCH, dtype=np.uint32)
-    for batch in batches:
-        tokens, _ = _lists(batch.column(0))
-        counts += np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
-    used = [c for c in range(SKETCH // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
-    yield pa.RecordBatch.from_pydict({"chunk": pa.array(used, pa.int32()), "counts": pa.array([zlib.compress(counts[c * CHUNK : (c + 1) * CHUNK].tobytes(), 1) for c in used], pa.binary())})
+def _sketch(size: int):
+    chunk = min(size, CHUNK)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, dtype=np.uint32)
+        for batch in batches:
+            tokens, _ = _lists(batch.column(0))
+            np.add.at(counts, (tokens & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
+        used = [c for c in range(size // chunk) if counts[c * chunk : (c + 1) * chunk].any()]
+        # the bytes of one weight lie together: the upper ones are mostly zeros
+        planes = [zlib.compress(counts[c * chunk : (c + 1) * chunk].view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for c in used]
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(used, pa.int32()), "counts": pa.array(planes, pa.binary())})
 
-def _add(table: pa.Table) -> pa.Table:
-    total = np.zeros(CHUNK, dtype=np.uint64)
+    return run
+
+
+def _price(table: pa.Table) -> pa.Table:
+    """The sum of the counts of a chunk as prices of one byte: eight steps for each doubling."""
+    total: np.ndarray | int = 0
     for raw in table.column("counts").to_pylist():
-        total += np.frombuffer(zlib.decompress(raw), dtype=np.uint32)
-    low = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([low.tobytes()], pa.binary())})
+        total = total + np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.uint64)
+    price = np.minimum(np.ceil(8 * np.log2(total + 1.0)), 255).astype(np.uint8)
+    return pa.table({"chunk": table.column("chunk").slice(0, 1), "price": pa.array([price.tobytes()], pa.binary())})
 
 
-def cost_sketch(sets: DataFrame) -> np.ndarray:
-    """How often the tokens of each hash bucket occur: SKETCH counters, whatever the collection's size."""
-    parts = sets.select("tokens").mapInArrow(_sketch, "chunk int, counts binary")
-    total = np.zeros(SKETCH, dtype=np.uint32)
-    for row in parts.groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").collect():
-        total[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, dtype=np.uint32)
-    return total
+def cost_sketch(sets: DataFrame, tokens: int) -> np.ndarray:
+    """Prices by how often the tokens of each hash bucket occur: about one counter for each token, up to SKETCH."""
+    size = 1 << min(max(int(tokens), 1 << 12).bit_length(), SKETCH.bit_length() - 1)
+    chunk = min(size, CHUNK)
+    parts = sets.select("tokens").mapInArrow(_sketch(size), "chunk int, counts binary")
+    price = np.zeros(size, dtype=np.uint8)
+    for row in parts.groupBy("chunk").applyInArrow(_price, "chunk int, price binary").collect():
+        price[row.chunk * chunk : (row.chunk + 1) * chunk] = np.frombuffer(row.price, dtype=np.uint8)
+    return price
 
 
 def _prefixes(cost, similarity: float):
-    """The rarest tokens of each set, one more than its error budget: (token, key, n, place)."""
+    """The rarest tokens of each set, one more than its error budget: (token, key, n, place), and the parities of the tokens from there on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         price = cost.value
@@ -114,17 +149,36 @@ def _prefixes(cost, similarity: float):
                 continue
             key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
             tokens, row = _lists(batch.column(2))
-            order = np.lexsort((tokens, price[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)], row))
-            place = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            keep = place < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[row]
-            tokens, row, place = tokens[order][keep].view(np.int64), row[keep], place[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens), pa.array(key[row]), pa.array(((n[row] << 32) | place))], ["token", "key", "np"]
-            )
+            order = np.lexsort((tokens, price[(tokens & np.uint64(len(price) - 1)).astype(np.int64)], row))
+            tokens, ends = tokens[order], np.cumsum(n)
+            place = np.arange(len(row)) - (ends - n)[row]
+            keep = np.flatnonzero(place < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[row])
+            own = np.uint64(1) << (mix(tokens) & np.uint64(63))
+            segment = (mix(tokens) >> np.uint64(6)).astype(np.int64) & (2 ** np.searchsorted(SUFFIX, n) - 1)[row]
+            words = []
+            for i in range(len(_WORDS)):
+                # parities of all tokens from each on; those from the next set on are taken off again
+                after = np.append(np.bitwise_xor.accumulate(np.where(segment == i, own, np.uint64(0))[::-1])[::-1], np.uint64(0))
+                words.append(pa.array((after[keep] ^ after[ends[row[keep]]]).view(np.int64)))
+            tokens, row, place = tokens[keep].view(np.int64), row[keep], place[keep]
+            columns = [pa.array(tokens), pa.array(key[row]), pa.array((n[row] << 32) | place), *words]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "key", "np", *_WORDS])
 
     return run
 
 
+def _suffixes_differ(na):
+    """How many parities of the tokens from a met one on differ, those of the larger set b folded onto the words that a has."""
+    many, found = len(_WORDS), None
+    for most in (None, *reversed(SUFFIX)):
+        b = [F.col(f"b.{w}") for w in _WORDS]
+        folded = [reduce(Column.bitwiseXOR, b[i::many]) for i in range(many)]
+        differ = reduce(Column.__add__, (F.bit_count(F.col(f"a.{_WORDS[i]}").bitwiseXOR(folded[i])) for i in range(many)))
+        found = differ if most is None else F.when(na <= most, differ).otherwise(found)
+        many //= 2
+    return found
+
+
 def size_band(n: np.ndarray, similarity: float) -> np.ndarray:
     """Bands of sizes, each from one size to that over the similarity: linked sets lie in one or in neighbouring bands."""
     return np.floor(np.log(np.maximum(n, 1) + 0.0) / -np.log(similarity) + 1e-9).astype(np.int64)
@@ -188,8 +242,8 @@ def _probe(similarity: float, cost):
             first, owner, segment, total, part, name = _cut(tokens, row, len(n), size_band(n, similarity), similarity)
             # a segment costs what its rarest token occurs; with one token less, what its second one does; an empty one, all
             dear = float(price.sum()) + 1
-            order = np.lexsort((price[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)], segment))
-            rare = price[(tokens[order] & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.float64)
+            order = np.lexsort((price[(tokens & np.uint64(len(price) - 1)).astype(np.int64)], segment))
+            rare = price[(tokens[order] & np.uint64(len(price) - 1)).astype(np.int64)].astype(np.float64)
             at = segment[order]
             begin = np.searchsorted(at, np.arange(first[-1]))
             size = np.bincount(at, minlength=first[-1])
@@ -218,6 +272,26 @@ def _probe(similarity: float, cost):
     return run
 
 
+def _alike(similarity: float):
+    """(a, b, na, nb) of the pairs whose parities differ no more often than linked sets' may; a is the smaller set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy().astype(np.int64), batch.column("nb").to_numpy().astype(np.int64)
+            pa_, pb = batch.column("pa"), batch.column("pb")
+            wa, wb = parity_words(na), parity_words(nb)
+            differ = np.zeros(len(na), dtype=np.int64)
+            for x, y in set(zip(wa.tolist(), wb.tolist(), strict=True)):
+                at = np.flatnonzero((wa == x) & (wb == y))
+                left, right = (np.frombuffer(b"".join(side.take(pa.array(at)).to_pylist()), dtype=np.uint64) for side in (pa_, pb))
+                folded = np.bitwise_xor.reduce(right.reshape(len(at), y // x, x), axis=1)
+                differ[at] = np.bitwise_count(left.reshape(len(at), x) ^ folded).sum(axis=1)
+            least = np.ceil(similarity / (1 + similarity) * (na + nb) - 1e-9).astype(np.int64)
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(differ <= na + nb - 2 * least))
+
+    return run
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The common tokens of each pair, counted."""
     for batch in batches:
@@ -252,9 +326,12 @@ class Near:
     tokens in one global order, by cost, two linked sets share one of their e + 1 rarest.
 
     Candidates are dropped if their sizes or places leave too little to share, or if the parities of
-    the 256 hash segments of the universe differ more often than the pair's symmetric difference may; those
-    left are counted in full. Costs come from a sketch of fixed size; it only decides the order of tokens, any
-    order gives the same links.
+    the hash segments of the universe differ more often than the pair's symmetric difference may; those
+    left are counted in full, and only their sets are made again. With prefixes, parities are first compared in
+    the join itself, of the tokens from the met one on: at the first token that linked sets share, all that they
+    share is there, so these may differ by what their tokens from there on exceed the least overlap. What is written of
+    candidates so stays near the number of links, while the pairs that meet grow with the square of the texts.
+    Costs come from a sketch of bounded size; it only decides the order of tokens, any order gives the same links.
     """
 
     def __init__(self, texts: DataFrame, similarity: float = 0.8, width: int = 5, least_terms: int = 0, method: str | None = None):
@@ -269,25 +346,34 @@ class Near:
         classes = F.broadcast(classes) if at_most(classes, BROADCAST_ROWS) else classes
         self.members = cut_lineage(narrow.join(classes, ["n", "s1", "s2"]).select("key", "rep", "copies").distinct())
         others = self.members.filter("key <> rep").select("key")
-        others = F.broadcast(others) if at_most(others, BROADCAST_ROWS) else others
+        make = _tokens(width, least_terms)
+        if at_most(others, BROADCAST_ROWS):
+            others = F.broadcast(others)
+            kept = rows.join(others, "key", "left_anti")
+        else:
+            # texts don't travel to a join: a bit filter of all sets' names leaves a few of the others, whose pairs meet no sign
+            reps = self.all.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key")
+            kept, make = rows, _tokens(width, least_terms, rows.sparkSession.sparkContext.broadcast(key_filter(reps)))
         self.signs = self.all.join(others, "key", "left_anti")
-        self.sets = rows.join(others, "key", "left_anti").mapInArrow(_tokens(width, least_terms), "key long, n int, tokens binary")
+        self.sets = kept.mapInArrow(make, SETS)
+        self._asked = lambda bits: rows.mapInArrow(_tokens(width, least_terms, bits), SETS)
 
     def links(self) -> DataFrame:
         """(a, b, na, nb, common): the links between different sets, each named by the least key of its texts."""
-        t, sets = self.similarity, self.sets
-        cost = sets.sparkSession.sparkContext.broadcast(cost_sketch(sets))
+        t, context = self.similarity, self.sets.sparkSession.sparkContext
+        cost = context.broadcast(cost_sketch(self.sets, self.all.agg(F.sum("n")).first()[0] or 0))
         pairs = (self._by_universe if self.method == "universe" else self._by_prefixes)(cost).repartition("a").distinct()
         for side in ("a", "b"):
-            own = self.signs.select(F.col("key").alias(side), F.col("n").alias("n" + side), *(F.col(p).alias(side + p) for p in _PARITY))
+            own = self.signs.select(F.col("key").alias(side), F.col("n").alias("n" + side), F.col("parity").alias("p" + side))
             pairs = pairs.join(own.hint("merge"), side)
-        differ = sum((F.bit_count(F.col("a" + p).bitwiseXOR(F.col("b" + p))) for p in _PARITY), F.lit(0))
-        least = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)
-        pairs = pairs.filter(differ <= F.col("na") + F.col("nb") - 2 * least).select("a", "b", "na", "nb")
+        pairs = cut_lineage(pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_alike(t), "a long, b long, na int, nb int"))
+        asked = context.broadcast(key_filter(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+        sets = self._asked(asked)
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("tokens").alias("t" + side)).hint("merge"), side)
         counted = pairs.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_overlaps, "a long, b long, na int, nb int, common long")
-        return counted.filter(F.col("common") >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)
+        # repeated rows give a link as often as they repeat
+        return counted.filter(F.col("common") >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9).distinct()
 
     def _by_universe(self, cost) -> DataFrame:
         """(a, b): candidates by the partition of the universe, a the smaller set."""
@@ -304,7 +390,7 @@ class Near:
     def _by_prefixes(self, cost) -> DataFrame:
         """(a, b): candidates by the rarest tokens, a the smaller set."""
         t = self.similarity
-        rows = self.sets.select("key", "n", "tokens").mapInArrow(_prefixes(cost, t), "token long, key long, np long")
+        rows = self.sets.select("key", "n", "tokens").mapInArrow(_prefixes(cost, t), "token long, key long, np long, " + ", ".join(f"{w} long" for w in _WORDS))
         # size and place travel as one number through the exchange
         size = lambda side: F.shiftright(F.col(side + "np"), 32).cast("int")
         place = lambda side: F.col(side + "np").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
@@ -315,7 +401,8 @@ class Near:
         smaller = (na < nb) | ((na == nb) & (F.col("a.key") < F.col("b.key")))
         least = F.ceil(F.lit(t / (1 + t)) * (na + nb) - 1e-9)
         fits = (na >= F.lit(t) * nb - 1e-9) & (F.least(na - place("a."), nb - place("b.")) >= least)
-        met = a.hint("merge").join(b, (F.col("a.token") == F.col("b.token")) & smaller & fits)
+        alike = _suffixes_differ(na) <= na - place("a.") + nb - place("b.") - 2 * least
+        met = a.hint("merge").join(b, (F.col("a.token") == F.col("b.token")) & smaller & fits & alike)
         return met.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
 
 
@@ -338,8 +425,9 @@ def near_pairs(texts: DataFrame, similarity: float = 0.8, width: int = 5, least_
     x, y = small.alias("x"), small.alias("y")
     within = x.join(y, (F.col("x.rep") == F.col("y.rep")) & (F.col("x.key") < F.col("y.key"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
     stars = members.filter((F.col("copies") > expand) & (F.col("key") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    # links join different sets and members are distinct, so no pair comes twice
     every = links.unionByName(within).unionByName(stars)
-    return every.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).filter("key_a < key_b").distinct()
+    return every.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
 
 
 def _marks(edges: DataFrame) -> tuple:

@@ -89,6 +89,35 @@ def test_large_classes_are_stars_and_keep_links(spark):
     assert Near(df.selectExpr("key", "cast(null as string) text")).links().count() == 0
 
 
+def test_texts_that_only_share_common_runs_hardly_meet(spark, monkeypatch):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.choice((30, 60, 120, 300)))) for _ in range(300)]
+    texts += [t + " a" for t in texts[:40]]
+    rows = list(enumerate(dict.fromkeys(texts)))
+    met, by_prefixes = [], Near._by_prefixes
+    monkeypatch.setattr(Near, "_by_prefixes", lambda self, cost: met.append(by_prefixes(self, cost).distinct().count()) or by_prefixes(self, cost))
+    df = spark.createDataFrame(rows, "key long, text string")
+    want = brute(rows, 0.5, 3, 0)
+    assert {tuple(r) for r in near_pairs(df, 0.5, 3).collect()} == want
+    assert len(want) > 30 and met[0] < 2 * len(want), (met, len(want))
+
+
+def test_many_repeated_texts_do_not_travel_to_a_join(spark, monkeypatch):
+    monkeypatch.setattr(near, "BROADCAST_ROWS", 5)
+    rows = [r[:2] for r in corpus(12)]
+    rows += [(k + 10_000, t) for k, t in rows]
+    found = Near(spark.createDataFrame(rows, "key long, text string"), 0.6, 2)
+    assert "Join" not in found.sets._jdf.queryExecution().optimizedPlan().toString()
+    assert found.sets.count() < len(rows) // 2
+    assert {tuple(r) for r in near_pairs(spark.createDataFrame(rows, "key long, text string"), 0.6, 2).collect()} == brute(rows, 0.6, 2, 0)
+
+
+def test_links_of_repeated_rows_come_once(spark):
+    rows = [r[:2] for r in corpus(3, 80)]
+    links = [tuple(r) for r in Near(spark.createDataFrame(rows + rows[:40], "key long, text string"), 0.6, 2).links().collect()]
+    assert links and len(links) == len(set(links))
+
+
 def grouped(pairs, keys):
     root = {k: k for k in keys}
 
